@@ -2,7 +2,30 @@
 
 from __future__ import annotations
 
-_ORACLES: dict[str, str] = {}
+_ORACLES: dict[str, str] = {
+    "op4_url_filter": r"""
+        WITH cut AS (
+            SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), parts AS (
+            SELECT page_id,
+                   translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path
+            FROM cut
+        ), ruled AS (
+            SELECT *, CASE
+                WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND prefix(path, '/en/1') THEN 'example.org/en/1'
+                WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND prefix(path, '/es/') THEN 'example.org/es/'
+                WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/fr/') THEN 'com/fr/'
+                WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/de/') THEN 'com/de/'
+                WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/') THEN 'org/'
+            END AS rule FROM parts
+        )
+        SELECT page_id, host, path, rule, CASE
+            WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
+            WHEN rule IS NOT NULL THEN 'block'
+            WHEN md5(host) < '4' THEN 'block' ELSE 'allow' END AS verdict
+        FROM ruled""",
+}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitlens.llm import decontamination, packing
+from splitlens.llm import bloom_cascade, decontamination, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,25 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "padding", "step_group")
 
 
+#: Fixed values of the result: verdict, host, path.
+URL_RULES = [
+    bloom_cascade.Rule("allow", "org", "/"),
+    bloom_cascade.Rule("block", "example.org", "/es/"),
+    bloom_cascade.Rule("block", "example.org", "/en/1"),
+    bloom_cascade.Rule("allow", "com", "/fr/"),
+    bloom_cascade.Rule("block", "com", "/de/"),
+]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list stands in for an external block list: the hosts whose md5 begins with 0 to 3."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    host = bloom_cascade.url_host(F.col("url"))
+    listed = pages.select(host.alias("key")).where(F.md5(F.col("key").cast("binary")) < "4").distinct()
+    judged = bloom_cascade.filter_urls(pages, URL_RULES, listed)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.hit_spans(docs, table(spark, sf_dir, "benchmark"))
