@@ -25,6 +25,32 @@ _ORACLES: dict[str, str] = {
             WHEN rule IS NOT NULL THEN 'block'
             WHEN md5(host) < '4' THEN 'block' ELSE 'allow' END AS verdict
         FROM ruled""",
+    "op9_line_dedup": r"""
+        WITH split AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents
+        ), lines AS (
+            SELECT doc_id, line_no, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM split
+        ), sized AS (
+            SELECT *, len(w) AS n, doc_id * 1000000 + line_no AS pos, array_to_string(w, ' ') AS s FROM lines
+        ), contents AS (
+            SELECT s, min(pos) AS pos, any_value(w) AS w, any_value(n) AS n FROM sized WHERE n > 0 GROUP BY s
+        ), places AS (
+            SELECT pos, w, n, s, unnest(range(0, n + 1)) AS i FROM contents WHERE n >= 8
+        ), variants AS (
+            SELECT pos, n AS length, i, s AS rest FROM places
+            UNION ALL
+            SELECT pos, n - 1, i, array_to_string(list_concat(w[1:i], w[i + 2:]), ' ') FROM places WHERE i < n
+        ), keys AS (
+            SELECT length, i, rest, min(pos) AS first FROM variants GROUP BY ALL HAVING min(pos) < max(pos)
+        ), near AS (
+            SELECT DISTINCT v.pos FROM variants AS v JOIN keys AS k ON v.length = k.length AND v.i = k.i AND v.rest = k.rest WHERE v.pos > k.first
+        ), judged AS (
+            SELECT z.doc_id, z.line_no, z.line, z.n > 0 AND (z.pos > c.pos OR z.pos IN (SELECT pos FROM near)) AS gone
+            FROM sized AS z LEFT JOIN contents AS c ON z.s = c.s AND z.n > 0
+        )
+        SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT coalesce(gone, false)), '')) AS kept_sha256
+        FROM judged GROUP BY doc_id""",
     "op6_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
