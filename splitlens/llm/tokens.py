@@ -5,7 +5,8 @@ reaches from a character that isn't white space over white space that follows. S
 before any run of ASCII white space that follows such a character, and the ids of the parts, joined,
 are the ids of the whole. Such parts, words with the space before them, repeat: in each slice of a
 megabyte every different part is looked up once, and only parts that this worker hasn't kept are given
-to the library. ``CACHE_PARTS`` bounds what a worker keeps; it holds no results, only known parts.
+to the library. Parts are told apart by 64-bit fingerprints. ``CACHE_PARTS`` bounds what a worker keeps;
+beyond it parts are asked for again.
 Texts with other white space than ASCII's go to the library whole. Strings of special tokens are
 ordinary text.
 """
@@ -22,7 +23,7 @@ import pyarrow as pa
 
 from splitlens.llm.textscan import BYTE_POWERS, BYTE_VALUES, SLICE_BYTES, WHITESPACE, mix, prefix_sums, text_buffers
 
-CACHE_PARTS = 500_000
+CACHE_PARTS = 3_000_000  # some 40 bytes each
 JOINED = 256
 
 
@@ -47,6 +48,29 @@ def odd_white_space(data: np.ndarray) -> np.ndarray:
     return lead[odd]
 
 
+@dataclass
+class Known:
+    """Parts by ascending fingerprint: where their ids begin, and how many they are."""
+
+    marks: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
+
+    @staticmethod
+    def empty() -> Known:
+        return Known(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+    def find(self, marks: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        if len(self.marks):
+            place = np.minimum(np.searchsorted(self.marks, marks), len(self.marks) - 1)
+            hit = self.marks[place] == marks
+            at[hit], size[hit] = self.at[place[hit]], self.size[place[hit]]
+
+    def merged(self, other: Known) -> Known:
+        place = np.searchsorted(self.marks, other.marks)
+        return Known(np.insert(self.marks, place, other.marks), np.insert(self.at, place, other.at), np.insert(self.size, place, other.size))
+
+
 class Encoder:
     def __init__(self, path: str, cache_parts: int = CACHE_PARTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,9 +79,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.limit = cache_parts
-        self.slot: dict[bytes, int] = {}
-        self.at = np.zeros(1, np.int64)  # where the ids of each slot begin, and the end of the last
-        self.flat = np.zeros(0, np.uint32)
+        self.known, self.recent = Known.empty(), Known.empty()
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0  # ids of known parts, one after another
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of text of each id: a character of the vocabulary is a byte
         for word, i in vocabulary.items():
@@ -73,31 +96,38 @@ class Encoder:
         ids = np.array([i for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False) for i in x.ids], np.uint32)
         return ids, np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(x) for x in parts])) + 1
 
-    def _parts(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all slots, and where those of each part begin and end."""
-        kept = len(self.at) - 1
-        new = [x for x in parts if x not in self.slot]
-        inner = [x for x in new if WHITESPACE[x[0]] and not WHITESPACE[x[-1]]]
-        if inner:
-            ids, ends = self._ask(inner)
-            self._add(inner, ids, ends)
-        outer = [x for x in new if x not in self.slot]
-        if outer:
-            each = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast([x.decode() for x in outer], add_special_tokens=False)]
-            self._add(outer, np.concatenate(each), np.cumsum([len(x) for x in each]))
-        slots = np.fromiter(map(self.slot.__getitem__, parts), np.int64, len(parts))
-        flat, at = self.flat, self.at
-        if len(self.slot) > self.limit:  # full: what came first, frequent parts among it, stays
-            for x in new:
-                del self.slot[x]
-            self.at, self.flat = self.at[: kept + 1], self.flat[: self.at[kept]]
-        return flat, at[slots], at[slots + 1]
-
-    def _add(self, parts: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
-        n = len(self.at) - 1
-        self.slot.update(zip(parts, range(n, n + len(parts)), strict=True))
-        self.at = np.concatenate([self.at, self.at[-1] + ends])
-        self.flat = np.concatenate([self.flat, ids])
+    def _append(self, ids: np.ndarray) -> int:
+        at, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.flat):
+            self.flat = np.concatenate([self.flat[:at], np.zeros(max(self.used, len(self.flat)), np.uint32)])
+        self.flat[at : self.used] = ids
+        return at
+
+    def _parts(self, marks: np.ndarray, part) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``flat`` the ids of each part lie; ``marks`` ascend, ``part(i)`` gives the bytes of one."""
+        at, size = np.zeros(len(marks), np.int64), np.full(len(marks), -1, np.int64)
+        for level in (self.known, self.recent):
+            level.find(marks, at, size)
+        new = np.flatnonzero(size < 0)
+        if not len(new):
+            return at, size
+        before = self.used
+        parts = [part(i) for i in new.tolist()]
+        inner = np.array([bool(WHITESPACE[x[0]] and not WHITESPACE[x[-1]]) for x in parts])
+        if inner.any():
+            ids, ends = self._ask([x for x, y in zip(parts, inner.tolist(), strict=True) if y])
+            at[new[inner]], size[new[inner]] = self._append(ids) + np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0)
+        if not inner.all():
+            each = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode() for x, y in zip(parts, inner.tolist(), strict=True) if not y], add_special_tokens=False)]
+            ends = np.cumsum([len(x) for x in each])
+            at[new[~inner]], size[new[~inner]] = self._append(np.array([i for x in each for i in x], np.uint32)) + np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0)
+        if len(self.known.marks) + len(self.recent.marks) + len(new) > self.limit:
+            self.used = before  # full: what came first, frequent parts among it, stays
+        else:
+            self.recent = self.recent.merged(Known(marks[new], at[new], size[new]))
+            if len(self.recent.marks) > 20_000 + len(self.known.marks) // 8:
+                self.known, self.recent = self.known.merged(self.recent), Known.empty()
+        return at, size
 
     def _slice(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts that have no odd white space, and their bounds."""
@@ -111,11 +141,11 @@ class Encoder:
         up, down = BYTE_POWERS(len(data) + 1)
         sums = prefix_sums(BYTE_VALUES[data], up[:-1])
         marks = mix((sums[ends] - sums[starts]) * down[starts])
-        _, first, inverse = np.unique(marks, return_index=True, return_inverse=True)
-        flat, a, b = self._parts([data[i:j].tobytes() for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
-        a, sizes = a[inverse], (b - a)[inverse]
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        ids = flat[np.repeat(a - total[:-1], sizes) + np.arange(total[-1])]
+        different, first, inverse = np.unique(marks, return_index=True, return_inverse=True)
+        at, size = self._parts(different, lambda i: data[starts[first[i]] : ends[first[i]]].tobytes())
+        at, size = at[inverse], size[inverse]
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
         return ids, total[np.searchsorted(ends, cuts, "right")]
 
     def scan(self, texts: pa.Array, slice_bytes: int = SLICE_BYTES) -> Iterator[TokenSlice]:
