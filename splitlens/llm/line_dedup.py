@@ -5,17 +5,17 @@ one into the other; lines of fewer than ``LEAST_WORDS`` words must be equal. A l
 is equal or near stands earlier, in order of document id and line number; what was decided for that one does
 not matter. Lines without words stay.
 
-Equal lines meet by a 128-bit key of their words and are combined before they are shuffled. For the others,
-each different line is once in play, as its earliest occurrence:
+Equal lines meet by a 128-bit key of their words and are combined before they are shuffled. For the others:
 
 1. One edit leaves the first or the second half of the shorter line as it is, so near lines share a half,
    named by the shorter length. Lines none of whose halves occur in a different line are done.
-2. Each line left emits its deletion neighbourhood as hashed keys: (length, place i, words without word i)
-   and, for the line that may be the shorter, (length, i, all words). Keys are the XOR of hashes of (word,
-   place) before and after the gap, running sums over the line, so a line costs as many steps as it has words.
-   Two lines share a key if and only if one edit at that place does it: place and rest are the key, which is
-   the check of the distance; length and both 64-bit hashes must agree.
-3. The least position of a key decides for all its lines; no pair of lines is ever made.
+2. Each different line left is cut into ``PARTS`` parts, at places that follow from the shorter length: one edit
+   falls into one part and leaves all before and after it. Lines that share this with no other are done too.
+3. For the part that is left, a line emits its deletion neighbourhood as hashed keys: (length, place i, words
+   without word i) and, for the line that may be the shorter, (length, i, all words). Two lines share a key if
+   and only if one edit at that place does it: place and rest are the key, which is the check of the
+   distance; length and both 64-bit hashes of the rest must agree.
+4. The least position of a key decides for all its lines; no pair of lines is ever made.
 
 Defined results: a null text has no lines and stays null; an empty text is one blank line; a row without id
 stays as it is and is no source; rows with the same id and text are judged alike; ties in id and line number
@@ -24,18 +24,22 @@ go by a fingerprint of the text; an empty table gives no rows; other columns pas
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from splitlens.llm.common import release, saved
 
-LEAST_WORDS = 8
+LEAST_WORDS, PARTS = 8, 8
+KEYS = "array<struct<k1:bigint,k2:bigint>>"
 BLANK = " \t\n\x0b\x0c\r"
 
 
 def words(line: Column) -> Column:
-    return F.split(F.btrim(line, F.lit(BLANK)), r"[\x20\x09-\x0D]+")
+    """The words; one empty word where there are none. Most lines have single spaces only, which is quicker."""
+    odd = reduce(Column.__or__, [F.contains(line, F.lit(x)) for x in ("  ", "\t", "\x0b", "\x0c", "\r")])
+    return F.when(odd, F.split(F.btrim(line, F.lit(BLANK)), r"[\x20\x09-\x0D]+")).otherwise(F.split(F.btrim(line), " "))
 
 
 def _half_keys(w: Column, n: Column) -> Column:
@@ -48,6 +52,33 @@ def _half_keys(w: Column, n: Column) -> Column:
     return F.array(*out)
 
 
+def _part_keys(w: Column, n: Column) -> Column:
+    """For each part of the line, as the shorter and as the longer one of a pair: what stands before and after it."""
+    out = []
+    for shorter in (n, n - 1):
+        for j in range(PARTS):
+            begin, end = (F.floor(shorter * i / PARTS).cast("int") for i in (j, j + 1))
+            s = shorter - end
+            key = F.xxhash64(F.lit(7), shorter, F.lit(j), F.slice(w, F.lit(1), begin), F.lit(8), F.slice(w, n - s + 1, s))
+            out.append(F.struct(key.alias("part"), shorter.alias("shorter"), begin.alias("begin"), end.alias("end")))
+    return F.array(*out)
+
+
+def _neighbourhood(w: Column, n: Column, shorter: Column, begin: Column, end: Column) -> Column:
+    """Keys of the line for edits between two places."""
+
+    def key(length: Column, place: Column, rest: Column) -> Column:
+        return F.struct(F.xxhash64(F.lit(5), length, place, rest).alias("k1"), F.xxhash64(F.lit(6), length, place, rest).alias("k2"))
+
+    def without(i: Column) -> Column:
+        return key(n - 1, i, F.concat(F.slice(w, F.lit(1), i), F.slice(w, i + 2, n)))
+
+    longer = F.transform(F.sequence(begin, end), without)
+    changed = F.when(begin < end, F.transform(F.sequence(begin, end - 1), without)).otherwise(F.array().cast(KEYS))
+    whole = F.transform(F.sequence(begin, end), lambda i: key(n, i, w))
+    return F.when(shorter < n, longer).otherwise(F.concat(changed, whole))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("rk", F.xxhash64("text"))
 
@@ -60,43 +91,34 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     line = line.where(F.get("w", F.lit(0)) != "").select("doc_id", "rk", "line_no", F.size("w").alias("n"), "w")
     keyed = line.select(
         F.struct("doc_id", "line_no", "rk").alias("pos"),
-        "n",
         F.xxhash64(F.lit(3), "w").alias("k1"),
         F.xxhash64(F.lit(4), "w").alias("k2"),
         F.when(F.col("n") >= least_words, _half_keys(F.col("w"), F.col("n"))).alias("halves"),
     )
     lines = saved(keyed, "lines")
-    contents = saved(lines.groupBy("k1", "k2").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.first("n").alias("n"), F.first("halves").alias("halves")), "contents")
+    contents = saved(lines.groupBy("k1", "k2").agg(F.min("pos").alias("first"), F.max("pos").alias("last")), "contents")
     twice = saved(contents.where("first < last").select("k1", "k2", "first"), "twice")
     equal = lines.select("pos", "k1", "k2").join(twice, ["k1", "k2"]).where("pos > first").select("pos.*")
 
-    half = contents.select("k1", "first", F.explode("halves").alias("half"))
+    half = lines.select("k1", F.explode("halves").alias("half"))
     met = saved(half.groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a < b").select("half"), "halves")
-    near = half.join(met, "half").select("first").distinct().select("first.*")
-    near = saved(near, "near")
+    near = half.join(met, "half").select("k1").distinct()
+    near = saved(contents.join(near, "k1").select("first.*"), "near")
     release(spark)
 
-    asked = near.groupBy("doc_id", "rk").agg(F.collect_list("line_no").alias("asked"))
-    texts = own.join(asked, ["doc_id", "rk"]).select("doc_id", "rk", F.split("text", "\n").alias("all"), F.explode("asked").alias("line_no"))
-    # rows with the same id and text come out more than once here, and group to the same positions
-    word = texts.select("doc_id", "rk", "line_no", words(F.get("all", F.col("line_no"))).alias("w"))
-    word = word.dropDuplicates(["doc_id", "rk", "line_no"]).select("doc_id", "rk", "line_no", F.size("w").alias("n"), F.posexplode("w").alias("i", "x"))
-    whole = Window.partitionBy("doc_id", "rk", "line_no")
-    so_far = whole.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    i, n = F.col("i"), F.col("n")
-    for s in (1, 2):
-        word = word.withColumn(f"a{s}", F.xxhash64(F.lit(s), "x", i)).withColumn(f"b{s}", F.xxhash64(F.lit(s), "x", i - 1))
-    for s in (1, 2):
-        before = F.bit_xor(f"a{s}").over(so_far).bitwiseXOR(F.col(f"a{s}"))
-        after = F.bit_xor(f"b{s}").over(whole).bitwiseXOR(F.bit_xor(f"b{s}").over(so_far))
-        word = word.withColumn(f"r{s}", before.bitwiseXOR(after)).withColumn(f"t{s}", F.bit_xor(f"a{s}").over(whole))
-
-    def key(length: Column, place: Column, rest: str) -> Column:
-        return F.struct(F.xxhash64(F.lit(5), length, place, f"{rest}1").alias("k1"), F.xxhash64(F.lit(6), length, place, f"{rest}2").alias("k2"))
-
-    keys = F.array(key(n - 1, i, "r"), key(n, i, "t"), F.when(i == n - 1, key(n, n, "t")))
-    variants = word.select(F.struct("doc_id", "line_no", "rk").alias("pos"), F.explode(keys).alias("k")).where("k is not null").select("pos", "k.*")
-    variants = saved(variants, "variants")
+    asked = near.groupBy("doc_id", "rk").agg(F.collect_set("line_no").alias("asked"))
+    # merge: the same at every size, whether or not the list would fit a broadcast
+    texts = own.join(asked.hint("merge"), ["doc_id", "rk"]).select("doc_id", "rk", F.split("text", "\n").alias("all"), F.explode("asked").alias("line_no"))
+    # words as fingerprints; rows with the same id and text come out more than once, with the same positions
+    left = saved(texts.select(F.struct("doc_id", "line_no", "rk").alias("pos"), F.transform(words(F.get("all", F.col("line_no"))), lambda x: F.xxhash64(x)).alias("w")), "near-lines")
+    release(spark)
+    left = left.withColumn("n", F.size("w"))
+    parts = saved(left.select("pos", F.xxhash64(F.lit(3), "w").alias("k1"), F.explode(_part_keys(F.col("w"), F.col("n"))).alias("p")).select("pos", "k1", "p.*"), "parts")
+    shared_parts = saved(parts.groupBy("part").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a < b").select("part"), "shared-parts")
+    open_ = parts.join(shared_parts, "part").groupBy("pos").agg(F.collect_set(F.struct("shorter", "begin", "end")).alias("places"))
+    spread = left.join(open_, "pos").select("pos", "w", "n", F.explode("places").alias("p"))
+    around = _neighbourhood(F.col("w"), F.col("n"), F.col("p.shorter"), F.col("p.begin"), F.col("p.end"))
+    variants = saved(spread.select("pos", F.explode(around).alias("k")).select("pos", "k.*"), "variants")
     shared = saved(variants.groupBy("k1", "k2").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).where("first < last").select("k1", "k2", "first"), "shared")
     release(spark)
     close = variants.join(shared, ["k1", "k2"]).where("pos > first").select("pos.*")
