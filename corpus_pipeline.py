@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Each stage takes what its predecessor kept, whole, and its decisions take effect; all but the last return the
-columns of ``documents``. Rows without id pass the stages that compare ids unchanged.
+columns of ``documents``. A stage's result is written before the next begins, which then deletes the tables that its
+predecessor kept on the way. Rows without id pass the stages that compare ids unchanged.
 """
 
 from __future__ import annotations
@@ -10,17 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitlens.llm import decontamination, language_id, line_dedup, packing, partenum
-from splitlens.llm.common import saved
+from splitlens.llm.common import begin_stage, saved
 from splitlens.llm.queries import table, vocabulary
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no known language go. The text model learns from a bounded sample of labelled rows."""
+    begin_stage(spark)
     return language_id.accepted(docs, language_id.fit(docs), declared=F.col("lang"), host=F.col("source"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand earlier go; a document goes with its last line of words. ``n_chars`` follows the text."""
+    begin_stage(spark)
     kept = line_dedup.dedup_lines(docs, drop_emptied=True)
     n_chars = F.when(F.col("__n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", n_chars).select(docs.columns)
@@ -28,16 +31,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest id stays."""
+    begin_stage(spark)
     return partenum.one_of_each(docs)
 
 
 def drop_benchmark_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
+    begin_stage(spark)
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), mode="documents")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece, with its ids and its place in a sequence."""
+    begin_stage(spark)
     return packing.packed(docs, vocabulary(), end_id=0)
 
 
@@ -56,5 +62,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
