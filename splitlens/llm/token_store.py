@@ -138,7 +138,7 @@ class Store:
     path: str
 
     def chunks(self) -> DataFrame:
-        return self.spark.read.schema("key binary, payload binary").parquet(f"{self.path}/chunks/kind=chunk")
+        return self.spark.read.schema(ROWS).parquet(f"{self.path}/chunks").where("kind = 'chunk'").select("key", "payload")
 
     def recipes(self) -> DataFrame:
         """One row per document, with ``start``: the ids of all documents before it."""
@@ -148,11 +148,11 @@ class Store:
             starts.append((r.part, at))
             at += r.n_tokens
         before = self.spark.createDataFrame(starts, "part int, before long")
-        docs = self.spark.read.schema(RECIPES.replace("kind string, ", "")).parquet(f"{self.path}/recipes/kind=doc")
-        return docs.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("local_start")).drop("before", "n_docs")
+        docs = self.spark.read.schema(RECIPES).parquet(f"{self.path}/recipes").where("kind = 'doc'")
+        return docs.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("local_start")).drop("before", "n_docs", "kind")
 
     def parts(self) -> DataFrame:
-        return self.spark.read.schema("part int, n_tokens long, root binary, n_docs long").parquet(f"{self.path}/recipes/kind=part")
+        return self.spark.read.schema(RECIPES).parquet(f"{self.path}/recipes").where("kind = 'part'").select("part", "n_tokens", "root", "n_docs")
 
 
 def write(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, path: str | None = None) -> Store:
