@@ -2,7 +2,62 @@
 
 from __future__ import annotations
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 _ORACLES: dict[str, str] = {
+    "op2_jaccard_join": rf"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), links AS (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM shingles AS a JOIN shingles AS b ON a.s = b.s AND a.doc_id <> b.doc_id
+            JOIN sizes AS p ON p.doc_id = a.doc_id JOIN sizes AS q ON q.doc_id = b.doc_id
+            GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))
+        ), reach(x, y) AS (
+            SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM reach AS r JOIN links AS l ON r.y = l.x
+        )
+        SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, (SELECT min(r.y) FROM reach AS r WHERE r.x = d.doc_id) AS component_id
+        FROM documents AS d LEFT JOIN sizes AS z ON z.doc_id = d.doc_id""",
+    "op5_decontamination": rf"""
+        WITH items AS (
+            SELECT item_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+        ), grams AS (
+            SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+            FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0)
+        ), words AS (
+            SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), windows AS (
+            SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, (SELECT DISTINCT n FROM grams) WHERE len(w) >= n)
+        ), hits AS (
+            SELECT w.doc_id, w.i, w.n, g.item_id FROM windows AS w JOIN grams AS g ON w.n = g.n AND w.g = g.g
+        ), covered AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id
+        ), named AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+        )
+        SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items,
+               sha256(coalesce(n.ids, '')) AS items_sha256, c.n_hit IS NOT NULL AS contaminated
+        FROM words AS w LEFT JOIN covered AS c ON c.doc_id = w.doc_id LEFT JOIN named AS n ON n.doc_id = w.doc_id""",
+    "op10_substring_dedup": r"""
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), windows AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50)
+        ), firsts AS (
+            SELECT g, min(doc_id) AS first FROM windows GROUP BY g HAVING min(doc_id) < max(doc_id)
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM windows JOIN firsts ON windows.g = firsts.g AND windows.doc_id > firsts.first
+        ), each AS (
+            SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM words
+        ), kept AS (
+            SELECT e.doc_id, count(*) AS n, string_agg(e.x, ' ' ORDER BY e.p) AS t FROM each AS e LEFT JOIN gone AS g ON g.doc_id = e.doc_id AND g.p = e.p WHERE g.p IS NULL GROUP BY e.doc_id
+        )
+        SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) AS BIGINT) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+        FROM words AS w LEFT JOIN kept AS k ON k.doc_id = w.doc_id""",
     "op4_url_filter": r"""
         WITH cut AS (
             SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
