@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import threading
 import uuid
 
 import pyarrow as pa
@@ -23,10 +24,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the shared folder and read it back: cuts lineage, survives lost executors."""
+_scope = threading.local()
+
+
+def begin_stage(spark: SparkSession) -> None:
+    """For pipelines whose stages' results are written before the next begins: deletes the intermediate tables of
+    the stage before, in this thread, and notes those of the stage that begins."""
+    for path in getattr(_scope, "paths", ()):
+        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+    _scope.paths = []
+
+
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` below the shared folder and read it back: cuts lineage, survives lost executors. Unless ``keep``,
+    a pipeline may delete the table when its next stage begins."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not keep and getattr(_scope, "paths", None) is not None:
+        _scope.paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -10,8 +10,8 @@ Four sources of evidence about a document's language l are multiplied:
 * a prior of its host: votes of confident text decisions over the whole corpus, by grouped aggregation, smoothed
   hierarchically: host towards registered domain, domain towards corpus, corpus towards uniform.
 
-The model is fitted on a bounded sample: the ``SAMPLE`` labelled rows of at most ``SAMPLE_BYTES`` bytes with the
-least hash of id and text. Everything else covers all rows. A document is rejected if ``und`` is most probable.
+The model is fitted on a bounded sample: at most ``SAMPLE`` labelled rows of at most ``SAMPLE_BYTES`` bytes, those with
+the least hash of id and text. Everything else covers all rows. A document is rejected if ``und`` is most probable.
 
 Defined results: a null or empty text is ``und`` whatever is declared; an unknown declaration, suffix or host, or
 a null, is no evidence; ties go to the language first in order; rows with the same id and text are judged
@@ -36,7 +36,7 @@ UNKNOWN = "und"
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "uk": "en", "us": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl"}
 
 
-def trigrams(texts: pa.Array, slice_bytes: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def trigrams(texts: pa.Array, slice_bytes: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, buckets of all trigrams, and where each row's begin and end."""
     offsets, data = text_buffers(texts)
     row, n = 0, len(offsets) - 1
@@ -73,7 +73,11 @@ class Model:
 def fit(docs: DataFrame, *, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
     text, label = F.col(f"`{text_col}`"), F.col(f"`{label_col}`")
     rows = docs.where(label.isNotNull() & (label != UNKNOWN) & (F.octet_length(text) <= SAMPLE_BYTES) & (F.octet_length(text) > 0))
-    chosen = rows.select(label.alias("l"), text.alias("t"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("h")).orderBy("h", "l").limit(sample).collect()
+    n = rows.count()
+    # a share of the hash range that holds half as many again; the driver gets these rows and no more
+    share = min(1.0, 1.5 * sample / n) if n else 0.0
+    hashed = rows.select(label.alias("l"), text.alias("t"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("h"))
+    chosen = sorted(hashed.where(F.pmod("h", F.lit(1 << 31)) <= int(share * (1 << 31))).collect(), key=lambda r: (r.h % (1 << 31), r.h, r.l))[:sample]
     languages = sorted({r.l for r in chosen})
     weights = np.full((BUCKETS, len(languages) + 1), -np.log(BUCKETS), np.float32)
     for i, language in enumerate(languages):

@@ -7,17 +7,20 @@ same and not empty. With Jaccard similarity of ``t`` or more, sets of size s dif
 k = floor(s * (1 - t) / t) features and so in at most k partitions. Hence of the m > k partitions where a
 set is not empty, at least m - k agree. A signature is a subset of partitions with the set's projections:
 subsets of one partition in wide bands, of two in the band of the smallest sets. Under any one order of the
-projections, some agreeing subset lies among the first k + (subset size) of both sets, so only subsets of
-those are enumerated. (A set with m <= k would break this; it is looked for, and the domain is
+projections, j agreeing subsets of one lie among the first k + j of both sets, so only those are enumerated,
+with j = 1 + s / ``SPARE``. Of the groups of sets that meet in a signature, each set then does without as many of
+the largest as it shares for certain with any similar set but one: what only a common passage connects
+meets no more. (A set with fewer than k + j partitions would break this; it is looked for, and the domain is
 partitioned anew under another seed until there is none.)
 
 The order puts projections of very frequent features last: a bounded list of the most frequent features
 of the corpus (``FREQUENT``), counted over all of it. It is an order only; no feature is dropped.
 
 Links: sets that are equal link by their fingerprint. Sets that meet in a signature are checked exactly
-against the group's least document; members that are in different components after that are checked
-against each other where their sizes allow similarity, so no link between components is lost and no group
-is expanded into all pairs of copies.
+against the group's least document, after sizes and bit sketches have dropped pairs that can't be similar, by
+a bound that holds for certain. Of families, documents connected by groups, those that span several
+components after that are compared by sketch, each pair once, in blocks of ``BLOCK`` members, and pairs that may
+be similar are checked. So no link between components is lost and no group is expanded into pairs.
 
 Defined results: a null text, or one without words, has an empty set and no link; fewer words than ``n``
 make one feature; rows of one id are one document, each with its own size; a row without id has no
@@ -41,8 +44,10 @@ from splitlens.llm.textscan import LOWER, WHITESPACE, Slice, Spans, mix, scan, w
 N, PERCENT = 5, 75
 FREQUENT = 1 << 16
 #: Largest size of each band, partitions of the domain (None: each feature is one), subset size.
-BANDS = [(14, None, 2), (64, None, 1), *((64 * 4**i, 32 * 4**i, 1) for i in range(1, 20))]
+BANDS = [(14, None, 2), (64, None, 1), *((64 * 4**i, 64 * 4**i, 1) for i in range(1, 20))]
+SPARE = 10  # one signature more for each so many features
 _COUNT_AT = 2 << 20
+BLOCK = 2048  # members of a group that are compared at once
 
 
 def feature_sets(s: Slice, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -63,6 +68,12 @@ def different(size: int, percent: int) -> int:
     return size * (100 - percent) // percent
 
 
+def prefix_length(size: int, band: int, percent: int) -> int:
+    """Projections from which signatures are made."""
+    subset = BANDS[band][2]
+    return different(size, percent) + subset + (size // SPARE if subset == 1 else 0)
+
+
 def bands_of(size: int, percent: int) -> list[int]:
     own = next(i for i, b in enumerate(BANDS) if size <= b[0])
     return [own, own + 1] if size * 100 >= percent * (BANDS[own][0] + 1) else [own]
@@ -75,16 +86,33 @@ def projections(features: np.ndarray, band: int, seed: int) -> tuple[np.ndarray,
     mixed = mix(features + np.uint64(2 * seed + 1))
     if parts is None:
         return np.arange(len(features)), mix(mixed + np.uint64(band))
-    order = mix(features ^ np.uint64(0x5851F42D4C957F2D * (seed + 1) % (1 << 64)))
-    ranked = np.argsort(order)
-    place = ((order[ranked] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    ranked, place = dealt(features, seed, parts)
     starts = np.flatnonzero(np.diff(place, prepend=np.uint64(1 << 63)))
-    return starts, mix(np.add.reduceat(mixed[ranked], starts) + np.uint64(band))
+    return starts, mix(np.add.reduceat(mixed if ranked is None else mixed[ranked], starts) + np.uint64(band))
+
+
+def dealt(features: np.ndarray, seed: int, parts: int) -> tuple[np.ndarray | None, np.ndarray]:
+    """The order of the features by partition (None: as they are) and their partitions in it."""
+    if not seed:  # features are hashes and ascend
+        return None, ((features >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    order = mix(features ^ np.uint64(0x5851F42D4C957F2D * seed % (1 << 64)))
+    ranked = np.argsort(order)
+    return ranked, ((order[ranked] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
+
+def sketch(features: np.ndarray) -> np.ndarray:
+    """A bit for each of the least power of two (64 at least) that is four times the size, set where a feature falls.
+    Where only one of two sets has a bit, they differ in a feature, so bits that differ bound features that do."""
+    bits = 64
+    while bits < 4 * len(features):
+        bits *= 2
+    out = np.zeros(bits, np.uint8)
+    out[mix(features + np.uint64(12345)) & np.uint64(bits - 1)] = 1
+    return np.packbits(out, bitorder="little").view(np.int64)
 
 
 def signatures(features: np.ndarray, frequent: np.ndarray, seed: int, percent: int) -> np.ndarray:
     out = []
-    k = different(len(features), percent)
     if not len(features):
         return np.zeros(0, np.uint64)
     at = np.minimum(np.searchsorted(frequent, features), max(0, len(frequent) - 1))
@@ -96,17 +124,17 @@ def signatures(features: np.ndarray, frequent: np.ndarray, seed: int, percent: i
             if parts is None:
                 last = common
             else:
-                order = np.argsort(mix(features ^ np.uint64(0x5851F42D4C957F2D * (seed + 1) % (1 << 64))))
-                last = np.logical_and.reduceat(common[order], starts)
+                ranked = dealt(features, seed, parts)[0]
+                last = np.logical_and.reduceat(common if ranked is None else common[ranked], starts)
             marks = np.concatenate([np.sort(marks[~last]), np.sort(marks[last])])
         else:
             marks = np.sort(marks)
-        first = marks[: k + subset]
-        if subset == 1:
-            out.append(first)
+        first = marks[: prefix_length(len(features), band, percent)]
+        if subset == 1:  # the lowest bit tells a set's two bands apart
+            out.append(first & ~np.uint64(1) | np.uint64(band % 2))
         elif len(first) >= subset:
             i, j = np.triu_indices(len(first), 1)
-            out.append(mix(first[i] + first[j] + np.uint64(subset)))
+            out.append(mix(first[i] + first[j] + np.uint64(subset)) & ~np.uint64(1))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -115,35 +143,37 @@ def _first_pass(n: int, percent: int, seed: int):
     counts of features that are frequent within what a task has seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "size", "a", "b", "thin"]
+        names = ["kind", "doc_id", "size", "a", "b", "thin", "bits"]
+        empty = np.zeros(0, np.int64)
 
         def rows(kind: str, *columns) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(columns[0]), pa.string()), *(pa.array(c) for c in columns)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(columns[0]), pa.string()), *(pa.array(c) if isinstance(c, np.ndarray) else c for c in columns)], names=names)
 
         def counted(seen: list[np.ndarray]) -> pa.RecordBatch:
             features, counts = np.unique(np.concatenate(seen), return_counts=True)
             own = counts >= 4
             features, counts = features[own].view(np.int64), counts[own].astype(np.int64)
-            return rows("feature", features, counts, counts, counts, np.zeros(len(counts), bool))
+            return rows("feature", features, counts, counts, counts, np.zeros(len(counts), bool), pa.array([empty] * len(counts), pa.list_(pa.int64())))
 
         seen, held = [], 0
         for batch in batches:
             ids = column(batch, "doc_id")
             sizes, a, b, thin = (np.zeros(batch.num_rows, t) for t in (np.int64, np.int64, np.int64, bool))
+            bits = [empty] * batch.num_rows
             for s in scan(column(batch, "text"), WHITESPACE, LOWER):
                 for row, features in feature_sets(s, n):
                     sizes[row] = len(features)
                     if len(features):
+                        bits[row] = sketch(features)
                         a[row] = np.add.reduce(mix(features)).view(np.int64)
                         b[row] = np.bitwise_xor.reduce(mix(features + np.uint64(77))).view(np.int64)
-                        k = different(len(features), percent)
-                        thin[row] = any(len(projections(features, band, seed)[0]) <= k for band in bands_of(len(features), percent) if BANDS[band][1])
+                        thin[row] = any(len(projections(features, band, seed)[0]) < prefix_length(len(features), band, percent) for band in bands_of(len(features), percent) if BANDS[band][1])
                         seen.append(features)
                         held += len(features)
                 if held >= _COUNT_AT:
                     yield counted(seen)
                     seen, held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(["doc"] * batch.num_rows, pa.string()), ids, *(pa.array(x) for x in (sizes, a, b, thin))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(["doc"] * batch.num_rows, pa.string()), ids, *(pa.array(x) for x in (sizes, a, b, thin)), pa.array(bits, pa.list_(pa.int64()))], names=names)
         if seen:
             yield counted(seen)
 
@@ -183,6 +213,65 @@ def _sets(n: int):
     return run
 
 
+def _most_frequent(counts: DataFrame) -> list:
+    """Rows of the highest counts ``n``, at most ``FREQUENT``: whole steps of a count scale, whose sizes are counted first."""
+    step = F.floor(F.log2("n") * 8)
+    room, lowest = FREQUENT, None
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):  # some hundred steps
+        if r["count"] > room:
+            break
+        room, lowest = room - r["count"], r.step
+    return [] if lowest is None else counts.where(step >= lowest).collect()
+
+
+def may_link(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and sketches allow them to be similar: similar sets of sizes a and b differ in
+    (a + b) * (1 - t) / (1 + t) features at most."""
+    side = lambda c: sketches.select(F.col("doc_id").alias(c), F.col("size").alias(f"s{c}"), F.col("bits").alias(f"b{c}"))
+    both = pairs.join(side("v"), "v").where("sv > 0").join(side("u"), "u").where(f"100 * least(su, sv) >= {percent} * greatest(su, sv)")
+    most = (F.col("su") + F.col("sv")) * (100 - percent) / (100 + percent)
+    swap = F.size("bu") < F.size("bv")
+    wide, thin = F.when(swap, F.col("bv")).otherwise(F.col("bu")), F.when(swap, F.col("bu")).otherwise(F.col("bv"))
+    n = F.size("thin")
+    folded = F.when(F.size("wide") == n, F.col("wide")).otherwise(F.zip_with(F.slice("wide", F.lit(1), n), F.slice("wide", n + 1, n), lambda x, y: x.bitwiseOR(y)))
+    apart = F.aggregate(F.zip_with("folded", "thin", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    both = both.select("u", "v", most.alias("most"), wide.alias("wide"), thin.alias("thin")).withColumn("folded", folded)
+    return both.where((F.size("wide") > 2 * n) | (apart <= F.col("most"))).select("u", "v").distinct()
+
+
+def _near_in_block(percent: int):
+    """Pairs of different components whose sizes and sketches allow them to be similar, among the members of a
+    block or between two blocks of a family."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, component, size, own = (table[c].to_numpy() for c in ("doc_id", "component", "size", "own"))
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        lists = table["bits"].chunk(0)
+        words, flat, offsets = lists.value_lengths().to_numpy(), lists.values.to_numpy(), lists.offsets.to_numpy()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for width in np.unique(words).tolist():
+            rows = {w: np.flatnonzero(words == w) for w in (width, 2 * width)}
+            bits = {w: flat[offsets[r][:, None] + np.arange(w)].view(np.uint64) for w, r in rows.items()}
+            bits[2 * width] = bits[2 * width][:, :width] | bits[2 * width][:, width:]
+            for wide in (width, 2 * width):  # sets of similar sizes have sketches of one width, or of two and one
+                for at in range(0, len(rows[wide]), 128):
+                    part, other = rows[wide][at : at + 128], rows[width]
+                    apart = np.bitwise_count(bits[wide][at : at + 128][:, None, :] ^ bits[width][None, :, :]).sum(2, dtype=np.int64)
+                    a, b = size[part][:, None], size[other][None, :]
+                    may = (apart * (100 + percent) <= (a + b) * (100 - percent)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (component[part][:, None] != component[other][None, :])
+                    x, y = np.nonzero(may)
+                    out.append((part[x], other[y]))
+        x, y = (np.concatenate(z) for z in zip(*out, strict=True))
+        across = (np.isin(x, left) & np.isin(y, right)) | (np.isin(y, left) & np.isin(x, right))
+        u, v = np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y])
+        keep = across & (u != v)
+        return pa.table({"u": pa.array(u[keep]), "v": pa.array(v[keep])})
+
+    return run
+
+
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (``u``, ``v``) whose sets are similar enough, by exact intersection."""
     asked = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
@@ -200,12 +289,12 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     named = own.where("doc_id is not null")
     for seed in range(64):
-        first = saved(own.mapInArrow(_first_pass(n, percent, seed), "kind string, doc_id long, size long, a long, b long, thin boolean"), "sizes")
+        first = saved(own.mapInArrow(_first_pass(n, percent, seed), "kind string, doc_id long, size long, a long, b long, thin boolean, bits array<long>"), "sizes")
         if not first.where("kind = 'doc' and thin").head(1):
             break
     sizes = first.where("kind = 'doc'").select("doc_id", "size", "a", "b")
-    counts = first.where("kind = 'feature'").groupBy("doc_id").agg(F.sum("size").alias("n")).where("n >= 16")
-    listed = counts.orderBy(F.desc("n"), "doc_id").limit(FREQUENT).collect()
+    sketches = first.where("kind = 'doc' and doc_id is not null").select("doc_id", "size", "bits")
+    listed = _most_frequent(first.where("kind = 'feature'").groupBy("doc_id").agg(F.sum("size").alias("n")).where("n >= 16"))
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r.doc_id for r in listed], np.int64).view(np.uint64)))
 
     alike = sizes.where("doc_id is not null and size > 0")
@@ -214,23 +303,38 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     signed = named.mapInArrow(_second_pass(n, percent, seed, frequent), "signature long, doc_id long")
     group = Window.partitionBy("signature")
-    met = signed.withColumn("v", F.min("doc_id").over(group)).withColumn("hi", F.max("doc_id").over(group)).where("v < hi").drop("hi")
+    shared = lambda df: df.withColumn("v", F.min("doc_id").over(group)).withColumn("hi", F.max("doc_id").over(group))
+    met = shared(signed).withColumn("n", F.count(F.lit(1)).over(group)).where("v < hi").select("signature", "doc_id", "n")
+    # similar sets share more signatures than one, so each does without those of its largest groups
+    own = sketches.groupBy("doc_id").agg(F.min("size").alias("size"))
+    band = F.pmod("signature", F.lit(2))
+    spare = F.when((F.col("size") <= BANDS[0][0]) & (band == 0), 0).otherwise(F.floor(F.ceil(F.col("size") * percent / 100) / SPARE))
+    by_size = Window.partitionBy("doc_id", "band").orderBy(F.desc("n"), "signature")
+    met = met.join(own, "doc_id").withColumn("band", band).withColumn("spare", spare).withColumn("rank", F.row_number().over(by_size)).where("rank > spare").select("signature", "doc_id")
+    # signatures of the very same documents are one group
+    met = shared(met).withColumn("members", F.bit_xor(F.xxhash64("doc_id")).over(group)).where("v < hi").select("members", "doc_id", "v").distinct()
     met = saved(met, "met")
     release(spark)
     tried = saved(met.where("doc_id != v").select(F.col("doc_id").alias("u"), "v").distinct(), "tried")
-    links = saved(copies.unionByName(verified(tried, named, n, percent)), "links")
+    likely = saved(may_link(tried.join(copies, ["u", "v"], "left_anti"), sketches, percent), "likely")
+    links = saved(copies.unionByName(verified(likely, named, n, percent)), "links")
     release(spark)
     reached = components(links)
 
-    # groups of a signature that still span several components: their members against each other
-    size = sizes.where("doc_id is not null").groupBy("doc_id").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
-    placed = met.select("signature", "doc_id").join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    spanning = placed.groupBy("signature").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("signature")
-    open_ = saved(placed.join(spanning, "signature", "left_semi").join(size, "doc_id"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    fits = f"x.signature = y.signature and x.doc_id > y.doc_id and x.component != y.component and 100 * x.lo <= {10000 // percent + 1} * y.hi and 100 * y.lo <= {10000 // percent + 1} * x.hi"
-    rest = x.join(y, F.expr(fits)).select(F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-    rest = saved(rest, "rest")
+    # families, documents that groups connect, and that still span several components: sketches of their members
+    # against each other, in blocks
+    family = components(tried).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "family")
+    placed = met.select("doc_id").distinct().join(family, "doc_id", "left").join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = saved(placed.select("doc_id", F.coalesce("family", "doc_id").alias("family"), F.coalesce("component", "doc_id").alias("component")), "placed")
+    spanning = placed.groupBy("family").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b and n > 2")
+    blocks = spanning.select("family", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    open_ = placed.join(saved(blocks, "spanning"), "family").join(sketches, "doc_id")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    open_ = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    open_ = open_.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "size", "bits")
+    near = open_.groupBy("family", "i", "j").applyInArrow(_near_in_block(percent), "u long, v long").distinct()
+    rest = saved(near.join(tried, ["u", "v"], "left_anti"), "rest")
+    release(spark)
     if rest.head(1):
         links = links.unionByName(verified(rest, named, n, percent))
         reached = components(links)

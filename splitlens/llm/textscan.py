@@ -1,7 +1,7 @@
 """Vectorised word scanning over Arrow string batches.
 
 All word classes used here separate words at ASCII bytes only, so they can be found on the UTF-8
-bytes without decoding. A batch is cut into slices of about a megabyte; within a slice every step
+bytes without decoding. A batch is cut into slices of a quarter megabyte; within a slice every step
 is one numpy pass, no Python object is made per word. Word and window identities are 64-bit
 fingerprints: sums of random byte values times powers of an odd base, which makes each of them a
 difference of two prefix sums, followed by a bit mixer.
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 WHITESPACE = np.zeros(256, bool)
 WHITESPACE[[0x20, *range(0x09, 0x0E)]] = True

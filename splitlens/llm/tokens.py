@@ -21,10 +21,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from splitlens.llm.textscan import BYTE_POWERS, BYTE_VALUES, SLICE_BYTES, WHITESPACE, mix, prefix_sums, text_buffers
+from splitlens.llm.textscan import BYTE_POWERS, BYTE_VALUES, WHITESPACE, mix, prefix_sums, text_buffers
 
 CACHE_PARTS = 3_000_000  # some 40 bytes each
 JOINED = 256
+SLICE_BYTES = 1 << 20
 
 
 @dataclass
