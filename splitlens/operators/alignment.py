@@ -2,11 +2,12 @@
 
 The kernel is an affine-gap global alignment, a row of the matrix at a time. The substitution scores are a parameter
 (``Scoring``); the default is made by a rule, not a published table, so scores are comparable within one scoring only.
-Equal sequences are joined first and never aligned; each other pair is aligned once, in its sorted order.
+Pairs are aligned in their sorted order, so that both sides score alike.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CLOSE = 99.99  # identity per cent that ends a search
+BLOCK_BYTES = 16 << 20
 RESULT = "score double, identity_pct double, similarity_pct double, length int, n_gaps int, gaps_pct double, aligned_a string, aligned_b string"
 
 #: Residues that replace each other easily; letters of one group are similar.
@@ -113,21 +115,48 @@ def best_alignments(alignments: DataFrame) -> DataFrame:
     return alignments.groupBy("query").agg(F.min_by(row, key).alias("r")).select("r.*")
 
 
-def nearest_sequences(queries: DataFrame, references: DataFrame, scoring: Scoring = Scoring()) -> DataFrame:
-    """For each distinct sequence (column ``seq``) of ``queries`` the best of ``references`` by ``best_key``.
-
-    A query that is a reference itself needs only references before it in order, of which one could be as good as
-    equal; such have nearly its length. Others meet every reference: there is no bound on identity."""
-    q, r = queries.select(F.col("seq").alias("query")).distinct(), references.select(F.col("seq").alias("reference")).distinct()
-    equal = q.join(r, q["query"] == r["reference"])
-    rest = q.join(r, q["query"] == r["reference"], "left_anti")
-    spread = rest.withColumn("__all", F.lit(0)).join(r.withColumn("__all", F.lit(0)), "__all").drop("__all")
-    slack = F.ceil((100 - CLOSE) / 100 * (F.length("query") + F.length("reference")))
-    early = equal.select("query").join(r, (F.col("reference") < F.col("query")) & (F.abs(F.length("query") - F.length("reference")) <= slack) & (F.substring("query", 1, 1) == F.substring("reference", 1, 1)) & (F.length("query") >= 1 / (1 - CLOSE / 100)))
-    pairs = spread.unionByName(early).select("query", "reference", F.least("query", "reference").alias("a"), F.greatest("query", "reference").alias("b"))
-    done = pairs.withColumn("r", aligner(scoring)("a", "b")).select("query", "reference", "r.score", "r.identity_pct", "r.similarity_pct", "r.length", "r.gaps_pct")
-    own = equal.withColumn("r", aligner(scoring)("query", "reference")).select("query", "reference", "r.score", "r.identity_pct", "r.similarity_pct", "r.length", "r.gaps_pct")
-    return best_alignments(done.unionByName(own))
+def _search(query: str, references: list[str], known: set[str], scoring: Scoring) -> tuple[str, tuple] | None:
+    """Best of the sorted ``references``. Identity is at most the shorter length by the longer, so a query that is a
+    reference itself needs only earlier ones of nearly its length that could be as good as equal."""
+    if query in known:
+        references = [r for r in references if r < query and 100 * min(len(r), len(query)) >= CLOSE * max(len(r), len(query)) and len(query) * (100 - CLOSE) >= 100 - 1e-6]
+        references.append(query)
+    best = None
+    for r in references:
+        a, b = min(query, r), max(query, r)  # one order for a pair, so that it scores alike from both sides
+        done = align(a, b, scoring)
+        if best is None or done[1] >= CLOSE or (done[1], done[0]) > (best[1][1], best[1][0]):
+            best = (r, done)
+        if done[1] >= CLOSE:
+            break
+    return best
+
+
+def nearest_sequences(queries: DataFrame, references: DataFrame, scoring: Scoring = Scoring(), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """For each distinct sequence (column ``seq``) of ``queries`` the best of ``references`` by ``best_key``. References
+    are broadcast in blocks; each query is searched where it lies, and the bests of the blocks are merged."""
+    spark = queries.sparkSession
+    q = queries.select("seq").where("seq is not null").distinct()
+    r = references.select("seq").where("seq is not null").distinct()
+    size = r.agg(F.coalesce(F.sum(F.octet_length("seq") + 8), F.lit(0))).first()[0]
+    blocks, found = max(1, math.ceil(size * 1.25 / block_bytes)), None
+    for k in range(blocks):
+        own = r.where(F.pmod(F.xxhash64("seq"), F.lit(blocks)) == k)
+        shared = spark.sparkContext.broadcast(sorted(x.seq for x in own.collect()))  # about block_bytes
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            known = set(shared.value)
+            for batch in batches:
+                rows = []
+                for query in batch["seq"]:
+                    best = _search(query, shared.value, known, scoring)
+                    if best is not None:
+                        rows.append((query, best[0], best[1][0], best[1][1], best[1][2], best[1][3], best[1][5]))
+                yield pd.DataFrame(rows, columns=["query", "reference", "score", "identity_pct", "similarity_pct", "length", "gaps_pct"])
+
+        one = q.mapInPandas(run, "query string, reference string, score double, identity_pct double, similarity_pct double, length int, gaps_pct double")
+        found = one if found is None else found.unionByName(one)
+    return best_alignments(found)
 
 
 def alignment_summary(best: DataFrame) -> DataFrame:
