@@ -43,7 +43,7 @@ def drop_benchmark_documents(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece, with its ids and its place in a sequence."""
-    begin_stage(spark)
+    begin_stage(spark, last=True)
     return packing.packed(docs, vocabulary(), end_id=0)
 
 
