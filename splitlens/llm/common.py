@@ -27,13 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
 _scope = threading.local()
 
 
-def begin_stage(spark: SparkSession) -> None:
+def begin_stage(spark: SparkSession, last: bool = False) -> None:
     """For pipelines whose stages' results are written before the next begins: deletes the intermediate tables of
-    the stage before, in this thread, and notes those of the stage that begins."""
-    for path in getattr(_scope, "paths", ()):
+    the stage before, in this thread, and notes those of the stage that begins, unless it is the ``last``."""
+    for path in getattr(_scope, "paths", None) or ():
         there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
-    _scope.paths = []
+    _scope.paths = None if last else []
 
 
 def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
