@@ -47,7 +47,8 @@ FREQUENT = 1 << 16
 BANDS = [(14, None, 2), (64, None, 1), *((64 * 4**i, 64 * 4**i, 1) for i in range(1, 20))]
 SPARE = 10  # one signature more for each so many features
 _COUNT_AT = 2 << 20
-BLOCK = 2048  # members of a group that are compared at once
+BLOCK = 2048  # members of a family that are compared at once
+_WORDS_AT = 1 << 22  # words of sketches
 
 
 def feature_sets(s: Slice, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -256,9 +257,11 @@ def _near_in_block(percent: int):
             bits = {w: flat[offsets[r][:, None] + np.arange(w)].view(np.uint64) for w, r in rows.items()}
             bits[2 * width] = bits[2 * width][:, :width] | bits[2 * width][:, width:]
             for wide in (width, 2 * width):  # sets of similar sizes have sketches of one width, or of two and one
-                for at in range(0, len(rows[wide]), 128):
-                    part, other = rows[wide][at : at + 128], rows[width]
-                    apart = np.bitwise_count(bits[wide][at : at + 128][:, None, :] ^ bits[width][None, :, :]).sum(2, dtype=np.int64)
+                other = rows[width]
+                step = max(1, _WORDS_AT // max(1, len(other) * width))
+                for at in range(0, len(rows[wide]), step):
+                    part = rows[wide][at : at + step]
+                    apart = np.bitwise_count(bits[wide][at : at + step][:, None, :] ^ bits[width][None, :, :]).sum(2, dtype=np.int64)
                     a, b = size[part][:, None], size[other][None, :]
                     may = (apart * (100 + percent) <= (a + b) * (100 - percent)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (component[part][:, None] != component[other][None, :])
                     x, y = np.nonzero(may)
@@ -298,7 +301,7 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r.doc_id for r in listed], np.int64).view(np.uint64)))
 
     alike = sizes.where("doc_id is not null and size > 0")
-    least = alike.groupBy("size", "a", "b").agg(F.min("doc_id").alias("v"))
+    least = saved(alike.groupBy("size", "a", "b").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("hi")).where("v < hi").drop("hi"), "least")
     copies = saved(alike.join(least, ["size", "a", "b"]).where("doc_id > v").select(F.col("doc_id").alias("u"), "v"), "copies")
 
     signed = named.mapInArrow(_second_pass(n, percent, seed, frequent), "signature long, doc_id long")
