@@ -341,11 +341,12 @@ def q_hashed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_baseline_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty trees on component values of vectors, their labels as numbers."""
+    """The operator's forest on all components of vectors, their labels as numbers."""
     v = table(spark, sf_dir, "embeddings").withColumn("split", split_of(F.col("vec_id")))
-    own = v.select("vec_id", "label", "split", *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(8)])
+    names = [f"x{i}" for i in range(v.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    own = v.select("vec_id", "label", "split", *[F.get("embedding", F.lit(i)).cast("double").alias(x) for i, x in enumerate(names)])
     records = canonical(own, AuditConfig("regression", columns={"entity": "vec_id", "label": "label", "id": "vec_id"}), F.col("vec_id"))
-    done = baselines.run_baselines(records, "regression", trees=20, columns=[f"x{i}" for i in range(8)])
+    done = baselines.run_baselines(records, "regression", columns=names)
     m = done["models"]["random_forest"]["metrics"]
     return spark.createDataFrame([(m["mse"], m["pearson"])], "mse double, pearson double")
 
