@@ -10,8 +10,10 @@ Four sources of evidence about a document's language l are multiplied:
 * a prior of its host: votes of confident text decisions over the whole corpus, by grouped aggregation, smoothed
   hierarchically: host towards registered domain, domain towards corpus, corpus towards uniform.
 
-The model is fitted on a bounded sample: at most ``SAMPLE`` labelled rows of at most ``SAMPLE_BYTES`` bytes, those with
-the least hash of id and text. Everything else covers all rows. A document is rejected if ``und`` is most probable.
+The languages are all labels of non-empty texts, by aggregation over all rows. The model is fitted on a bounded sample of
+each: at most ``SAMPLE`` different rows a label, those with the least hash of id and text, and of each the first
+``SAMPLE_BYTES`` bytes. The driver gets counts of trigrams and hashes, never texts. Everything else covers all rows.
+A document is rejected if ``und`` is most probable.
 
 Defined results: a null or empty text is ``und`` whatever is declared; an unknown declaration, suffix or host, or
 a null, is no evidence; ties go to the language first in order; rows with the same id and text are judged
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,21 +73,42 @@ class Model:
         return out
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Trigrams of texts by label and bucket."""
+    sums: dict[str, np.ndarray] = {}
+    for batch in batches:
+        labels, texts = column(batch, "l"), column(batch, "t").cast(pa.large_string(), safe=False)  # may end within a character
+        for label in labels.unique().to_pylist():
+            counts = sums.setdefault(label, np.zeros(BUCKETS, np.int64))
+            for _, buckets, _ in trigrams(texts.filter(pc.equal(labels, label))):
+                counts += np.bincount(buckets, minlength=BUCKETS)
+    for label, counts in sums.items():
+        full = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([label] * len(full), pa.string()), pa.array(full, pa.int32()), pa.array(counts[full])], names=["l", "bucket", "n"])
+
+
 def fit(docs: DataFrame, *, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
-    text, label = F.col(f"`{text_col}`"), F.col(f"`{label_col}`")
-    rows = docs.where(label.isNotNull() & (label != UNKNOWN) & (F.octet_length(text) <= SAMPLE_BYTES) & (F.octet_length(text) > 0))
-    n = rows.count()
-    # a share of the hash range that holds half as many again; the driver gets these rows and no more
-    share = min(1.0, 1.5 * sample / n) if n else 0.0
+    spark, text, label = docs.sparkSession, F.col(f"`{text_col}`"), F.col(f"`{label_col}`")
+    rows = docs.where(label.isNotNull() & (label != UNKNOWN) & (F.octet_length(text) > 0))
     hashed = rows.select(label.alias("l"), text.alias("t"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("h"))
-    chosen = sorted(hashed.where(F.pmod("h", F.lit(1 << 31)) <= int(share * (1 << 31))).collect(), key=lambda r: (r.h % (1 << 31), r.h, r.l))[:sample]
-    languages = sorted({r.l for r in chosen})
+    found = hashed.groupBy("l").agg(F.approx_count_distinct("h").alias("n"), F.min("h").alias("least")).collect()  # a row for each label
+    languages = sorted(r.l for r in found)
     weights = np.full((BUCKETS, len(languages) + 1), -np.log(BUCKETS), np.float32)
-    for i, language in enumerate(languages):
-        counts = np.full(BUCKETS, 0.05)
-        for _, buckets, _ in trigrams(pa.array([r.t for r in chosen if r.l == language], pa.string())):
-            counts += np.bincount(buckets, minlength=BUCKETS)
-        weights[:, i] = np.log(counts / counts.sum())
+    if languages:
+        # of each label a share of the hash range that holds half as many again, and its first row in any case
+        shares = [(r.l, max(r.least, min((1 << 63) - 1, int(min(1.0, 1.5 * sample / r.n) * (1 << 64)) - (1 << 63)))) for r in found]
+        below = lambda df, ends: df.join(F.broadcast(spark.createDataFrame(ends, "l string, end long")), "l").where("h <= end").drop("end")
+        some = saved(below(hashed, shares).withColumn("t", F.substring(F.col("t").cast("binary"), 1, SAMPLE_BYTES)).dropDuplicates(["l", "h"]), "language-sample")
+        hashes = some.select("l", "h").toArrow().sort_by([("l", "ascending"), ("h", "ascending")])
+        own = {x: hashes.filter(pc.equal(hashes["l"], x))["h"] for x in languages}
+        ends = [(x, own[x][min(sample, len(own[x])) - 1].as_py()) for x in languages]
+        counted = below(some, ends).select("l", "t").mapInArrow(_counted, "l string, bucket int, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n")).toArrow()
+        for i, language in enumerate(languages):
+            of = counted.filter(pc.equal(counted["l"], language))
+            counts = np.full(BUCKETS, 0.05)
+            counts[of["bucket"].to_numpy()] += of["n"].to_numpy()
+            # a label without any trigram stays below the background
+            weights[:, i] = np.log(counts / (0.05 * BUCKETS + max(1, of.num_rows and counts.sum() - 0.05 * BUCKETS)))
     return Model(languages, weights)
 
 
