@@ -10,10 +10,12 @@ bytes. The store has four tables, written by Spark in the shared folder:
   ``local_start`` (ids before it in its range), ``n_tokens``, ``crc32``, the addresses ``chunks``, their
   ``sizes``, and ``root``, the Merkle root over the addresses.
 * ``recipes/kind=part``: the manifest of each range: ids, documents, and the Merkle root over its documents.
+* ``manifest``: one row: ranges, documents, ids, and the Merkle root over the ranges.
 
 Chunks meet by address after a map-side combine; ids are shuffled once. ``start`` of a document is its
 ``local_start`` plus the ids of the ranges before it: one number for each range, which is all that the
-driver gets. A reader checks every chunk against its address and every recipe against its root.
+driver gets. A reader checks every chunk against its address, every recipe against its root, every range against its
+manifest and the ranges against the store's; it raises an error where a file is lost, altered or added.
 
 ``digests`` proves what a reader would rebuild without moving the ids again: the CRC of joined parts is a
 sum (over GF(2)) of the parts' CRCs, each times a power of x, so a document's CRC is the ``bit_xor`` of
@@ -39,13 +41,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitlens.llm.common import column, shared_dir
+from splitlens.llm.common import chosen, column, shared_dir
 from splitlens.llm.textscan import Spans, mix
 from splitlens.llm.tokens import encoder
 
 WINDOW, MEAN, LEAST, MOST = 16, 256, 64, 1024
 ROWS = "key binary, kind string, payload binary, doc_id long, n_tokens long, crc32 long, chunks array<binary>, sizes array<int>"
 RECIPES = "kind string, part int, doc_id long, local_start long, n_tokens long, crc32 long, chunks array<binary>, sizes array<int>, root binary, n_docs long"
+MANIFEST = "parts long, n_docs long, n_tokens long, root binary"
 CRC_POLYNOMIAL = 0xEDB88320  # fixed value: CRC-32, lowest bit first
 
 
@@ -142,30 +145,59 @@ class Store:
 
     def recipes(self) -> DataFrame:
         """One row per document, with ``start``: the ids of all documents before it."""
-        parts = self.parts().collect()  # a row for each range
         starts, at = [], 0
-        for r in sorted(parts, key=lambda r: r.part):
+        for r in self.parts():
             starts.append((r.part, at))
             at += r.n_tokens
         before = self.spark.createDataFrame(starts, "part int, before long")
-        docs = self.spark.read.schema(RECIPES).parquet(f"{self.path}/recipes").where("kind = 'doc'")
-        return docs.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("local_start")).drop("before", "n_docs", "kind")
+        return self._documents().join(F.broadcast(before), "part", "left").withColumn("start", F.col("before") + F.col("local_start")).drop("before", "n_docs", "kind")
 
-    def parts(self) -> DataFrame:
-        return self.spark.read.schema(RECIPES).parquet(f"{self.path}/recipes").where("kind = 'part'").select("part", "n_tokens", "root", "n_docs")
+    def _documents(self) -> DataFrame:
+        return self.spark.read.schema(RECIPES).parquet(f"{self.path}/recipes").where("kind = 'doc'")
+
+    def parts(self) -> list:
+        """The manifests of the ranges, a row for each, in order."""
+        rows = self.spark.read.schema(RECIPES).parquet(f"{self.path}/recipes").where("kind = 'part'").select("part", "n_tokens", "root", "n_docs").collect()
+        return sorted(rows, key=lambda r: r.part)
+
+    def manifest(self) -> tuple:
+        parts = self.parts()
+        return len(parts), sum(r.n_docs for r in parts), sum(r.n_tokens for r in parts), merkle_root([bytes(r.root) for r in parts])
+
+    def verify_recipes(self) -> None:
+        """Ranges against the store's manifest, and each range's documents against its own."""
+        parts = self.parts()
+        n, docs, tokens, root = self.manifest()
+        said = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest").collect()
+        if len(said) != 1 or (said[0].parts, said[0].n_docs, said[0].n_tokens, bytes(said[0].root)) != (n, docs, tokens, root):
+            raise ValueError(f"the ranges of {self.path} do not agree with its manifest")
+        found = self._documents().select("part", "local_start", "n_tokens", "root").groupBy("part").applyInArrow(_range_root, "part int, docs long, tokens long, own binary")
+        wanted = self.spark.createDataFrame([(r.part, r.n_docs, r.n_tokens, r.root) for r in parts], "part int, n_docs long, n_tokens long, root binary")
+        same = F.col("docs").eqNullSafe(F.col("n_docs")) & F.col("tokens").eqNullSafe(F.col("n_tokens")) & F.col("own").eqNullSafe(F.col("root"))
+        if wrong := found.join(wanted, "part", "full").where(~same).head(1):
+            raise ValueError(f"the recipes of range {wrong[0].part} of {self.path} do not agree with its manifest")
+
+
+def _range_root(table: pa.Table) -> pa.Table:
+    table = table.sort_by("local_start")
+    roots, tokens = table["root"].to_pylist(), table["n_tokens"].to_pylist()
+    return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "docs": pa.array([len(roots)], pa.int64()), "tokens": pa.array([sum(tokens)], pa.int64()), "own": pa.array([merkle_root(roots)], pa.binary())})
 
 
 def write(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, path: str | None = None) -> Store:
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).mapInArrow(_chunked(tokenizer_path, end_id), ROWS)
+    own = chosen(docs, __id=id_col, __text=text_col)
+    rows = own.select(F.col("__id").cast("long").alias("__id"), "__text").mapInArrow(_chunked(tokenizer_path, end_id), ROWS)
     fields = [x.split()[0] for x in ROWS.split(", ")][1:]
     once = rows.groupBy("key").agg(*[F.first(c).alias(c) for c in fields])
     once.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/chunks")
     found = spark.read.schema(ROWS).parquet(f"{path}/chunks").where("kind = 'doc'")
     ordered = found.select("key", "doc_id", "n_tokens", "crc32", "chunks", "sizes").repartitionByRange("doc_id", "n_tokens", "crc32", "key").sortWithinPartitions("doc_id", "n_tokens", "crc32", "key")
     ordered.mapInArrow(_in_order, RECIPES).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/recipes")
-    return Store(spark, path)
+    store = Store(spark, path)
+    spark.createDataFrame([store.manifest()], MANIFEST).write.parquet(f"{path}/manifest")
+    return store
 
 
 @lru_cache(maxsize=1)
@@ -230,34 +262,51 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shift_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        size, n = column(batch, "size"), column(batch, "n")
+        if n.null_count or not n.equals(size):
+            at = next(i for i in range(batch.num_rows) if n[i].as_py() != size[i].as_py())
+            raise ValueError(f"chunk {column(batch, 'key')[at].as_py().hex()} is lost or is not of the size that a recipe gives")
         crc = shifted_crc(column(batch, "crc").to_numpy(), column(batch, "after").to_numpy())
-        yield pa.RecordBatch.from_arrays([column(batch, "part"), column(batch, "local_start"), column(batch, "n"), pa.array(crc, pa.int64())], names=["part", "local_start", "n", "crc"])
+        yield pa.RecordBatch.from_arrays([column(batch, "part"), column(batch, "local_start"), n, pa.array(crc, pa.int64())], names=["part", "local_start", "n", "crc"])
+
+
+def _entries_of(recipes: DataFrame) -> DataFrame:
+    return recipes.select("part", "local_start", "doc_id", "n_tokens", "chunks", "sizes", "root").mapInArrow(_entries, "part int, local_start long, key binary, size long, after long")
 
 
 def digests(store: Store) -> DataFrame:
-    """Per document, from the files: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``."""
-    entries = store.recipes().select("part", "local_start", "doc_id", "n_tokens", "chunks", "sizes", "root").mapInArrow(_entries, "part int, local_start long, key binary, size long, after long")
+    """Per document, from the files: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``. All files are checked; what
+    the chunks add up to has to be what the recipe says."""
+    store.verify_recipes()
+    recipes = store.recipes()
     chunks = store.chunks().mapInArrow(_checked, "key binary, n long, crc long")
-    parts = entries.join(chunks, "key").where("size = n").mapInArrow(_shift_batches, "part int, local_start long, n long, crc long")
-    docs = parts.groupBy("part", "local_start").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
-    return store.recipes().select("part", "local_start", "doc_id", "start").join(docs, ["part", "local_start"], "left").select("doc_id", "start", "n_tokens", "ids_crc32")
+    parts = _entries_of(recipes).join(chunks, "key", "left").mapInArrow(_shift_batches, "part int, local_start long, n long, crc long")
+    docs = parts.groupBy("part", "local_start").agg(F.sum("n").alias("n"), F.bit_xor("crc").alias("ids_crc32"))
+    both = recipes.select("part", "local_start", "doc_id", "start", "n_tokens", "crc32").join(docs, ["part", "local_start"], "left")
+    agree = F.col("n").eqNullSafe(F.col("n_tokens")) & F.col("ids_crc32").eqNullSafe(F.col("crc32"))
+    wrong = F.raise_error(F.concat(F.lit("the chunks of a document are not what its recipe says: "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    return both.select("doc_id", "start", F.when(agree, F.col("n")).otherwise(wrong).cast("long").alias("n_tokens"), "ids_crc32")
 
 
 def read_documents(store: Store) -> DataFrame:
     """Per document: ``doc_id``, ``start`` and ``ids`` (binary, little-endian uint32), rebuilt from chunks that
     agree with their addresses. A document's chunks meet in one row, as large as the document."""
+    store.verify_recipes()
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                ids = np.concatenate([ids_of(x["payload"]) for x in sorted(r["found"], key=lambda x: -x["after"])])
+                chunks = sorted(r["found"], key=lambda x: -x["after"])
+                if any(x["payload"] is None or hashlib.sha256(x["payload"]).digest() != x["key"] for x in chunks):
+                    raise ValueError(f"document {r['doc_id']} has a chunk that is lost or does not hold what its address says")
+                ids = np.concatenate([ids_of(x["payload"]) for x in chunks])
                 if zlib.crc32(ids.tobytes()) != r["crc32"]:
                     raise ValueError(f"document {r['doc_id']} does not agree with its recipe")
                 out.append(ids.tobytes())
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "start"), pa.array(out, pa.binary())], names=["doc_id", "start", "ids"])
 
-    entries = store.recipes().select("part", "local_start", "doc_id", "n_tokens", "chunks", "sizes", "root").mapInArrow(_entries, "part int, local_start long, key binary, size long, after long")
-    found = entries.join(store.chunks(), "key").groupBy("part", "local_start").agg(F.collect_list(F.struct("after", "payload")).alias("found"))
-    docs = store.recipes().select("part", "local_start", "doc_id", "start", "crc32")
+    recipes = store.recipes()
+    found = _entries_of(recipes).join(store.chunks(), "key", "left").groupBy("part", "local_start").agg(F.collect_list(F.struct("after", "key", "payload")).alias("found"))
+    docs = recipes.select("part", "local_start", "doc_id", "start", "crc32")
     return docs.join(found, ["part", "local_start"]).select("doc_id", "start", "crc32", "found").mapInArrow(rebuilt, "doc_id long, start long, ids binary")

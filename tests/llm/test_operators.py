@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,7 +104,7 @@ def test_store_keeps_chunks_once_and_rebuilds_texts(spark, tokenizer):
     chunks = store.chunks().collect()
     assert len({bytes(c.key) for c in chunks}) == len(chunks)
     assert sum(len(r.chunks) for r in store.recipes().collect()) > len(chunks)
-    assert store.parts().agg(F.sum("n_docs")).first()[0] == len(rows)
+    assert sum(r.n_docs for r in store.parts()) == len(rows)
     assert token_store.digests(token_store.write(docs.limit(0), queries.vocabulary())).collect() == []
 
 
@@ -126,6 +127,29 @@ def test_damaged_chunks_are_noticed(spark):
     assert sizes.sum() == len(ids) and sizes.max() <= token_store.MOST and sizes[:-1].min() >= token_store.LEAST
 
 
+@pytest.mark.parametrize("folder", ["chunks/kind=chunk", "recipes/kind=doc", "recipes/kind=part", "manifest"])
+@pytest.mark.parametrize("damage", ["lost", "other"])
+def test_damaged_files_are_errors(spark, tmp_path, folder, damage):
+    rows = [(i, sentence(__import__("random").Random(i), 300)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    store = token_store.write(docs, queries.vocabulary(), path=str(tmp_path / "store"))
+    assert token_store.digests(store).count() == token_store.read_documents(store).count() == 40
+    file = next(p for p in sorted((tmp_path / "store" / folder).glob("part-*")) if pq.read_metadata(p).num_rows)
+    if damage == "lost":
+        file.unlink()
+        file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+    else:
+        table = pq.read_table(file, partitioning=None)
+        at = next(i for i, c in enumerate(table.column_names) if c in ("payload", "crc32", "root") and table[c].null_count < len(table))
+        first, rest = table[at][0].as_py(), table[at].to_pylist()[1:]
+        first = first + 1 if isinstance(first, int) else first[:-1] + bytes([first[-1] ^ 1])
+        pq.write_table(table.set_column(at, table.schema.field(at), pa.array([first, *rest], table.schema.field(at).type)), file)
+        file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+    for read in (token_store.digests, token_store.read_documents):
+        with pytest.raises(Exception, match="agree|recipe|chunk|address|Unable|infer|manifest"):
+            read(store).collect()
+
+
 # Bloom cascade
 
 
@@ -250,7 +274,9 @@ def test_language_evidence(spark):
     assert not found[1].accepted and not found[2].accepted and found[3].language == "yy" and found[4].language == "xx" and not found[5].accepted
     assert {r.doc_id for r in train.collect()} <= {r.doc_id for r in language_id.accepted(both, model, declared=F.col("lang"), host=F.col("source")).collect()}
     assert language_id.judged(odd.limit(0), model).count() == 0
-    assert language_id.judged(odd, language_id.fit(odd.limit(0))).where("accepted").count() == 0
+    unlabelled = language_id.fit(odd.limit(0))
+    assert language_id.judged(odd, unlabelled).where("language <> 'und' or not accepted").count() == 0
+    assert language_id.accepted(odd, unlabelled).count() == odd.count()
     page = spark.range(1).select(language_id.html_language(F.lit("<!doctype html><HTML class=a lang='de-AT'>")).alias("l")).first()
     assert page.l == "de"
 
