@@ -78,9 +78,15 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = language_id.judged(docs, language_id.fit(docs), declared=F.col("lang"), host=F.col("source"))
-    return found.select("doc_id", "language", F.round("posterior", 6).alias("posterior"), "text_language", "accepted")
+    """All documents and all pages in one judgement. The model is fitted on the documents' labels, which are no evidence
+    here. Pages bring declared markup language, address suffix and hosts; documents have their source for a host."""
+    docs, none = table(spark, sf_dir, "documents"), F.lit(None)
+    pages = table(spark, sf_dir, "pages").select(
+        none.cast("long").alias("doc_id"), "page_id", language_id.html_text(F.col("html")).alias("text"), language_id.html_language(F.col("html")).alias("declared"), "url", none.cast("string").alias("host")
+    )
+    every = docs.select("doc_id", none.cast("long").alias("page_id"), "text", none.cast("string").alias("declared"), none.cast("string").alias("url"), F.col("source").alias("host")).unionByName(pages)
+    found = language_id.judged(every.withColumn("key", F.struct("doc_id", "page_id")), language_id.fit(docs), id_col="key", declared="declared", url="url", host="host")
+    return found.select("doc_id.doc_id", "doc_id.page_id", "language", F.round("posterior", 6).alias("posterior"), "text_language", "decisive", "accepted")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
