@@ -11,39 +11,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitlens.llm import decontamination, language_id, line_dedup, packing, partenum
-from splitlens.llm.common import begin_stage, saved
+from splitlens.llm.common import begin_stage, flat, place, saved, stage_tables
 from splitlens.llm.queries import table, vocabulary
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no known language go. The text model learns from a bounded sample of labelled rows."""
-    begin_stage(spark)
-    return language_id.accepted(docs, language_id.fit(docs), declared=F.col("lang"), host=F.col("source"))
+    """Documents in no known language go; where no row has a label, none can be judged and all stay. The text model learns
+    from a bounded sample of labelled rows; the label itself is no evidence of its own row."""
+    with stage_tables(spark):
+        return language_id.accepted(docs, language_id.fit(docs), host="source")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand earlier go; a document goes with its last line of words. ``n_chars`` follows the text."""
-    begin_stage(spark)
-    kept = line_dedup.dedup_lines(docs, drop_emptied=True)
-    n_chars = F.when(F.col("__n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", n_chars).select(docs.columns)
+    with stage_tables(spark):
+        kept = line_dedup.dedup_lines(docs, drop_emptied=True)
+    rows, removed, at = flat(kept), f"c{len(docs.columns) + 1}", place(docs, "n_chars")
+    n_chars = F.when(F.col(removed) > 0, F.length(place(docs, "text")).cast(docs.schema[int(at[1:])].dataType)).otherwise(F.col(at))
+    return rows.withColumn(at, n_chars).select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest id stays."""
-    begin_stage(spark)
-    return partenum.one_of_each(docs)
+    with stage_tables(spark):
+        return partenum.one_of_each(docs)
 
 
 def drop_benchmark_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    begin_stage(spark)
-    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), mode="documents")
+    with stage_tables(spark):
+        return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), mode="documents")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece, with its ids and its place in a sequence."""
-    begin_stage(spark, last=True)
+    begin_stage(spark)
     return packing.packed(docs, vocabulary(), end_id=0)
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitlens.llm.common import column, release, saved
+from splitlens.llm.common import chosen, column, release, saved
 from splitlens.llm.textscan import WHITESPACE, Spans, scan, windows
 
 WINDOW, ANCHOR = 50, 16
@@ -112,7 +112,8 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("rk", F.xxhash64("text"))
+    own = chosen(docs, doc_id=id_col, text=text_col)
+    return own.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("rk"))
 
 
 def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:

@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitlens.llm.common import release, saved
+from splitlens.llm.common import chosen, flat, place, release, saved
 
 LEAST_WORDS, PARTS = 8, 8
 KEYS = "array<struct<k1:bigint,k2:bigint>>"
@@ -80,7 +80,8 @@ def _neighbourhood(w: Column, n: Column, shorter: Column, begin: Column, end: Co
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("rk", F.xxhash64("text"))
+    own = chosen(docs, doc_id=id_col, text=text_col)
+    return own.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("rk"))
 
 
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -126,16 +127,17 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, drop_emptied: bool = False) -> DataFrame:
-    """``docs`` with repeated lines taken out of the text, and ``__n_lines`` and ``__n_removed``. With
+    """``docs`` with repeated lines taken out of the text, and then ``__n_lines`` and ``__n_removed``. With
     ``drop_emptied``, rows go whose lines with words are all gone."""
     gone = repeated_lines(docs, id_col=id_col, text_col=text_col, least_words=least_words)
-    gone = gone.groupBy("doc_id", "rk").agg(F.collect_list("line_no").alias("__gone")).select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk"), "__gone")
-    text, id_ = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
-    both = docs.withColumn("__key", F.xxhash64(text)).join(gone, (id_.cast("long") == F.col("__id")) & (F.col("__key") == F.col("__rk")), "left")
+    gone = gone.groupBy("doc_id", "rk").agg(F.collect_list("line_no").alias("gone"))
+    rows, name = flat(docs), place(docs, text_col)
+    text, id_ = F.col(name), F.col(place(docs, id_col))
+    both = rows.withColumn("mark", F.xxhash64(text)).join(gone, (id_.cast("long") == F.col("doc_id")) & (F.col("mark") == F.col("rk")), "left")
     parts = F.split(text, "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    out = both.withColumn("__n_lines", F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long")).withColumn("__n_removed", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"))
-    out = out.withColumn(text_col, F.when(F.col("__gone").isNull(), text).otherwise(kept))
+    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    out = both.withColumn("n_lines", F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long")).withColumn("n_removed", F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long"))
+    out = out.withColumn(name, F.when(F.col("gone").isNull(), text).otherwise(kept))
     if drop_emptied:
-        out = out.where((F.col("__n_removed") == 0) | (F.btrim(text, F.lit(BLANK)) != ""))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "__n_lines", "__n_removed")
+        out = out.where((F.col("n_removed") == 0) | (F.btrim(text, F.lit(BLANK)) != ""))
+    return out.select(*rows.columns, "n_lines", "n_removed").toDF(*docs.columns, "__n_lines", "__n_removed")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitlens.llm.common import column
+from splitlens.llm.common import chosen, column
 from splitlens.llm.tokens import encoder
 
 TIERS = (128, 256, 512, 1024)
@@ -139,4 +139,5 @@ def packed(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
         if texts:
             yield _packed(ids, texts, tiers, group, base, group_base)[0]
 
-    return docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).mapInArrow(run, SCHEMA)
+    own = chosen(docs, __id=id_col, __text=text_col)
+    return own.select(F.col("__id").cast("long").alias("__id"), "__text").mapInArrow(run, SCHEMA)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from splitlens.llm.common import column, release, saved
+from splitlens.llm.common import chosen, column, flat, place, release, saved
 from splitlens.llm.components import components
 from splitlens.llm.textscan import LOWER, WHITESPACE, Slice, Spans, mix, scan, windows
 
@@ -289,12 +289,14 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
 def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """Per row ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id that links reach."""
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = chosen(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     named = own.where("doc_id is not null")
     for seed in range(64):
         first = saved(own.mapInArrow(_first_pass(n, percent, seed), "kind string, doc_id long, size long, a long, b long, thin boolean, bits array<long>"), "sizes")
         if not first.where("kind = 'doc' and thin").head(1):
             break
+    else:
+        raise ValueError("no seed deals every set to enough partitions")
     sizes = first.where("kind = 'doc'").select("doc_id", "size", "a", "b")
     sketches = first.where("kind = 'doc' and doc_id is not null").select("doc_id", "size", "bits")
     listed = _most_frequent(first.where("kind = 'feature'").groupBy("doc_id").agg(F.sum("size").alias("n")).where("n >= 16"))
@@ -348,5 +350,5 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """``docs`` without those that have a similar document with a smaller id in their component; columns as they are."""
     found = similar_components(docs, id_col=id_col, text_col=text_col, n=n, percent=percent)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    gone = found.where("component_id < doc_id").select("doc_id").distinct()
+    return flat(docs).join(gone, F.col(place(docs, id_col)).cast("long") == F.col("doc_id"), "left_anti").toDF(*docs.columns)
