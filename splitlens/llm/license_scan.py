@@ -1,15 +1,18 @@
 """License scans by diagonal voting, in DataFrame functions only.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased. Every ``K`` consecutive words
-of every whole text are joined, by hash and then word by word, to their places in short templates of license
-notices; the template table is fixed and small, so it is broadcast. Of a hit, document place minus template
-place is the diagonal. Hits are aggregated by document, template and diagonal into a bit mask of template
-places, diagonals at most ``SLACK`` apart are merged (words put in or left out shift the diagonal), and a
-merged span is verified by the share of the template's k-grams that it holds: ``SHARE`` or more gives the
-template's label. Base phrases are found as they stand.
+of every whole text are joined, by hash and then word by word, to their places in templates of license
+notices, which may have any number of words. Of a hit, document place minus template place is the diagonal. Hits vote by
+document, template and diagonal; a diagonal and those up to ``SLACK`` beyond it (words put in or left out shift the
+diagonal) are one span, so that a span never drifts farther. A span is verified by the share of the template's k-grams
+that stand in it, each compared word by word: ``SHARE`` or more gives the template's label. Base phrases are found as they
+stand.
+
+The templates are broadcast up to ``MOST_GRAMS`` k-grams; more of them are joined like any other table.
 
 Defined results: a null or empty text has no words, score 0 and empty labels; rows with the same id and text
-are scanned alike, each gets its row; an empty table gives no rows; other columns are not read.
+are scanned alike, each gets its row; an empty table gives no rows; a template of fewer than ``K`` words is an error;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,9 +23,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from splitlens.llm.common import saved
+from splitlens.llm.common import chosen, saved
 
 K, SLACK, SHARE = 3, 3, 0.6
+MOST_GRAMS = 100_000
 
 #: Notices in common use, as words; label and template.
 TEMPLATES = [
@@ -61,17 +65,28 @@ def template_grams(spark: SparkSession, templates: list[tuple[str, str]]) -> Dat
     for t, (label, text) in enumerate(templates):
         w = text.split()
         total = len(w) - K + 1
-        if not 1 <= total <= 63:
-            raise ValueError(f"a template has {K} to {K + 62} words: {text}")
+        if total < 1:
+            raise ValueError(f"a template has {K} words at least: {text}")
         rows += [(t, label, place, total, *w[place : place + K]) for place in range(total)]
-    return spark.createDataFrame(rows, "t int, label string, place int, total int, x0 string, x1 string, x2 string").withColumn("gram", F.xxhash64("x0", "x1", "x2"))
+    grams = spark.createDataFrame(rows, "t int, label string, place int, total int, x0 string, x1 string, x2 string").withColumn("gram", F.xxhash64("x0", "x1", "x2"))
+    return F.broadcast(grams) if len(rows) <= MOST_GRAMS else grams
+
+
+def verified_spans(hits: DataFrame) -> DataFrame:
+    """Of hits (``doc_id``, ``rk``, ``pos``, ``t``, ``label``, ``place``, ``total``, each once) the spans: per ``diagonal`` with
+    hits, ``share`` of the template's k-grams on it and up to ``SLACK`` beyond, ``first_word`` and ``end_word`` of them."""
+    key = ["doc_id", "rk", "t", "label", "total"]
+    votes = hits.withColumn("diagonal", F.col("pos") - F.col("place")).groupBy(*key, "diagonal").agg(F.collect_list("place").alias("places"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    near = Window.partitionBy(*key).orderBy("diagonal").rangeBetween(0, SLACK)
+    share = F.size(F.array_distinct(F.flatten(F.collect_list("places").over(near)))) / F.col("total")
+    return votes.select(*key, "diagonal", share.alias("share"), F.min("lo").over(near).alias("first_word"), (F.max("hi").over(near) + K).alias("end_word"))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """Per document ``doc_id``, ``n_words``; ``n_base``, ``first_word``, ``last_word``, ``base_labels`` of the base
     phrases; ``labels`` of phrases and verified templates; ``score``, the largest share of a template found."""
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("rk", F.xxhash64("text"))
+    own = chosen(docs, doc_id=id_col, text=text_col).withColumn("rk", F.xxhash64("text"))
     placed = own.select("doc_id", "rk", words(F.col("text")).alias("w")).select("doc_id", "rk", "w", F.posexplode("w").alias("pos", "w0"))
     placed = placed.select("doc_id", "rk", "pos", "w0", F.get("w", F.col("pos") + 1).alias("w1"), F.get("w", F.col("pos") + 2).alias("w2"))
 
@@ -79,17 +94,12 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
         return reduce(Column.__and__, [F.col(f"w{i}") == x for i, x in enumerate(phrase.split())])
 
     base = reduce(lambda rest, p: F.when(stands(p[0]), p[1]).otherwise(rest), PHRASES, F.lit(None).cast("string"))
-    grams = F.broadcast(template_grams(spark, templates or TEMPLATES))
+    grams = template_grams(spark, TEMPLATES if templates is None else templates)
     same = (F.col("hash") == F.col("gram")) & (F.col("w0") == F.col("x0")) & (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2"))
     found = placed.withColumn("hash", F.xxhash64("w0", "w1", "w2")).withColumn("base", base).join(grams, same, "left").where("t is not null or base is not null")
     found = saved(found.select("doc_id", "rk", "pos", "base", "t", "label", "place", "total").distinct(), "license-hits")
 
-    hits = found.where("t is not null").withColumn("diagonal", F.col("pos") - F.col("place"))
-    votes = hits.groupBy("doc_id", "rk", "t", "label", "total", "diagonal").agg(F.expr("bit_or(shiftleft(1L, place))").alias("mask"))
-    line = Window.partitionBy("doc_id", "rk", "t").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(line) > SLACK, F.lit(False)).cast("int")
-    spans = votes.withColumn("apart", apart).withColumn("span", F.sum("apart").over(line))
-    spans = spans.groupBy("doc_id", "rk", "t", "label", "total", "span").agg(F.expr("bit_or(mask)").alias("mask")).withColumn("share", F.bit_count("mask") / F.col("total"))
+    spans = verified_spans(found.where("t is not null").select("doc_id", "rk", "pos", "t", "label", "place", "total").distinct())
     by_template = spans.groupBy("doc_id", "rk").agg(F.max("share").alias("score"), F.collect_set(F.when(F.col("share") >= SHARE, F.col("label"))).alias("more"))
     by_phrase = (
         found.where("base is not null").select("doc_id", "rk", "pos", "base").distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from splitlens.llm import license_scan
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _ORACLES: dict[str, str] = {
@@ -122,5 +124,38 @@ _ORACLES: dict[str, str] = {
 }
 
 
+def _license_sql() -> str:
+    listed = ", ".join(f"({t}, '{label}', '{text}')" for t, (label, text) in enumerate(license_scan.TEMPLATES))
+    phrases = ", ".join(f"('{label}', string_split('{text}', ' '))" for text, label in license_scan.PHRASES)
+    return rf"""
+        WITH templates AS (
+            SELECT t, label, string_split(text, ' ') AS w FROM (VALUES {listed}) AS x(t, label, text)
+        ), grams AS (
+            SELECT t, label, place, len(w) - 2 AS total, w[place + 1:place + 3] AS g FROM (SELECT *, unnest(range(len(w) - 2)) AS place FROM templates)
+        ), words AS (
+            SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), places AS (
+            SELECT doc_id, pos, w[pos + 1:pos + 3] AS g, w[pos + 1:pos + 2] AS two FROM (SELECT *, unnest(range(len(w))) AS pos FROM words)
+        ), votes AS (
+            SELECT DISTINCT p.doc_id, g.t, g.label, g.total, g.place, p.pos - g.place AS d FROM places AS p JOIN grams AS g ON p.g = g.g
+        ), spans AS (
+            SELECT a.doc_id, a.label, count(DISTINCT b.place) / a.total AS share
+            FROM (SELECT DISTINCT doc_id, t, label, total, d FROM votes) AS a JOIN votes AS b ON a.doc_id = b.doc_id AND a.t = b.t AND b.d BETWEEN a.d AND a.d + {license_scan.SLACK}
+            GROUP BY a.doc_id, a.t, a.label, a.total, a.d
+        ), found AS (
+            SELECT p.doc_id, p.pos, x.label FROM places AS p JOIN (VALUES {phrases}) AS x(label, w) ON p.g = x.w OR p.two = x.w
+        ), base AS (
+            SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM found GROUP BY doc_id
+        ), every AS (
+            SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+            FROM (SELECT doc_id, label FROM found UNION ALL SELECT doc_id, label FROM spans WHERE share >= {license_scan.SHARE}) GROUP BY doc_id
+        ), best AS (
+            SELECT doc_id, max(share) AS score FROM spans GROUP BY doc_id
+        )
+        SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, b.lo AS first_word, b.hi AS last_word,
+               coalesce(b.labels, '') AS base_labels, coalesce(e.labels, '') AS labels, coalesce(s.score, 0.0::DOUBLE) AS score
+        FROM words AS w LEFT JOIN base AS b ON b.doc_id = w.doc_id LEFT JOIN every AS e ON e.doc_id = w.doc_id LEFT JOIN best AS s ON s.doc_id = w.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return {**_ORACLES, "op7_license_scan": _license_sql()}

@@ -253,6 +253,20 @@ def test_license_phrases_and_templates(spark):
         license_scan.template_grams(spark, [("x", "too short")])
 
 
+def test_long_templates_and_bounded_drift(spark):
+    import random
+
+    r = random.Random(3)
+    whole = [f"{w}{r.randint(0, 99)}" for w in r.choices(WORDS, k=400)]
+    twice = whole[:200] + ["more"] + whole[200:]
+    drifting = [x for i, w in enumerate(whole) for x in ((w, "and") if i % 40 == 39 else (w,))]
+    rows = [(1, " ".join(whole)), (2, "x " + " ".join(twice) + " y"), (3, " ".join(drifting)), (4, " ".join(whole[:90]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in license_scan.scan(docs, templates=[("whole", " ".join(whole))]).collect()}
+    assert (got[1].labels, got[1].score, got[2].labels) == ("whole", 1.0, "whole") and got[2].score > 0.99
+    assert got[3].labels == "" and 0.3 < got[3].score < 0.5 and got[4].labels == "" and 0.2 < got[4].score < 0.25
+
+
 # language ID
 
 
