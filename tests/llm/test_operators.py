@@ -221,7 +221,7 @@ def test_hits_equal_brute_force(spark, block_bytes):
 
 def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(impact_topk, "BLOCK", 16)
-    monkeypatch.setattr(impact_topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(impact_topk, "QUERY_BYTES", 200)
     r = np.random.default_rng(4)
     rows = [(i, r.normal(size=6).round(1).tolist()) for i in range(90)] + [(200, [1.0, 2.0]), (250, [3.0, 1.0]), (300, None), (301, [None] * 6), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (304, []), (400, [0.0] * 6), (7, [9.0] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
@@ -236,6 +236,23 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert impact_topk.top_k(impact_topk.build(df.limit(0)), df.limit(0), 5).collect() == []
 
 
+def test_fewer_components_are_touched_than_by_a_dense_product():
+    r = np.random.default_rng(8)
+    v = np.floor(256 * r.normal(size=(20_000, 64)) / 8).astype(np.int64)
+    queries, ids = v[::200], np.arange(0, 20_000, 200)
+    best, touched = impact_topk.Best(len(ids), 5), 0
+    lists = pa.ListArray.from_arrays(np.arange(0, v.size + 1, 64, dtype=np.int32), v.ravel())
+    for batch in impact_topk._index(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(len(v))), lists], names=["vec_id", "v"])])):
+        block = impact_topk.Block({x: c[0].as_py() for x, c in zip(batch.schema.names, batch.columns, strict=True)})
+        best.add(*block.best(queries, ids, 5, best.floor))
+        touched += block.touched
+    assert touched < 0.75 * v.size * len(ids)
+    exact = v @ queries.T
+    exact[ids, np.arange(len(ids))] = -(1 << 60)
+    for q in range(len(ids)):
+        assert best.rows[1][best.rows[0] == q].tolist() == np.lexsort((np.arange(len(v)), -exact[:, q]))[:5].tolist()
+
+
 # license scan
 
 
