@@ -13,9 +13,11 @@ Equal lines meet by a 128-bit key of their words and are combined before they ar
    falls into one part and leaves all before and after it. Lines that share this with no other are done too.
 3. For the part that is left, a line emits its deletion neighbourhood as hashed keys: (length, place i, words
    without word i) and, for the line that may be the shorter, (length, i, all words). Two lines share a key if
-   and only if one edit at that place does it: place and rest are the key, which is the check of the
-   distance; length and both 64-bit hashes of the rest must agree.
-4. The least position of a key decides for all its lines; no pair of lines is ever made.
+   and only if one edit at that place does it.
+4. The least position of a key decides for all its lines; no pair of lines is made but each line with that one, and
+   the distance of these two is verified word by word.
+
+``least_words`` may be lowered to 1; what is left to do below it is exact then, too.
 
 Defined results: a null text has no lines and stays null; an empty text is one blank line; a row without id
 stays as it is and is no source; rows with the same id and text are judged alike; ties in id and line number
@@ -36,19 +38,19 @@ KEYS = "array<struct<k1:bigint,k2:bigint>>"
 BLANK = " \t\n\x0b\x0c\r"
 
 
-def words(line: Column) -> Column:
-    """The words; one empty word where there are none. Most lines have single spaces only, which is quicker."""
+def normal(line: Column) -> Column:
+    """The words with a space between. Most lines have single spaces only, which is quicker."""
     odd = reduce(Column.__or__, [F.contains(line, F.lit(x)) for x in ("  ", "\t", "\x0b", "\x0c", "\r")])
-    return F.when(odd, F.split(F.btrim(line, F.lit(BLANK)), r"[\x20\x09-\x0D]+")).otherwise(F.split(F.btrim(line), " "))
+    return F.when(odd, F.regexp_replace(F.btrim(line, F.lit(BLANK)), r"[\x20\x09-\x0D]+", " ")).otherwise(F.btrim(line))
 
 
-def _half_keys(w: Column, n: Column) -> Column:
+def _half_keys(line: Column, n: Column) -> Column:
     """Both halves of a line, as the shorter (length n) and as the longer line (length n - 1) of a pair."""
     out = []
     for c in (n, n - 1):
         p = F.floor(c / 2).cast("int")
-        s = c - p
-        out += [F.xxhash64(F.lit(1), c, F.slice(w, F.lit(1), p)), F.xxhash64(F.lit(2), c, F.slice(w, n - s + 1, s))]
+        first, last = (F.call_function("substring_index", line, F.lit(" "), k) for k in (p, p - c))
+        out += [F.xxhash64(F.lit(1), c, first), F.xxhash64(F.lit(2), c, last)]
     return F.array(*out)
 
 
@@ -79,6 +81,16 @@ def _neighbourhood(w: Column, n: Column, shorter: Column, begin: Column, end: Co
     return F.when(shorter < n, longer).otherwise(F.concat(changed, whole))
 
 
+def _one_edit(a: Column, b: Column) -> Column:
+    """Whether one edit at most makes one array of the other: what stands before the first difference and after it."""
+    short, long_ = F.when(F.size(a) <= F.size(b), a).otherwise(b), F.when(F.size(a) <= F.size(b), b).otherwise(a)
+    same = F.array_position(F.zip_with(short, F.slice(long_, F.lit(1), F.size(short)), lambda x, y: x == y), F.lit(False)).cast("int")
+    before = F.when(same == 0, F.size(short)).otherwise(same - 1)
+    rest = lambda x, skipped: F.slice(x, before + skipped + 1, F.size(x))
+    changed = (F.size(a) == F.size(b)) & (rest(short, 1) == rest(long_, 1))
+    return (a == b) | changed | ((F.size(short) + 1 == F.size(long_)) & (rest(short, 0) == rest(long_, 1)))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own = chosen(docs, doc_id=id_col, text=text_col)
     return own.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("rk"))
@@ -88,13 +100,14 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """``doc_id``, ``rk`` (fingerprint of the text) and ``line_no`` of each line that goes."""
     spark = docs.sparkSession
     own = _keyed(docs, id_col, text_col).where("doc_id is not null")
-    line = own.select("doc_id", "rk", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "rk", "line_no", words(F.col("line")).alias("w"))
-    line = line.where(F.get("w", F.lit(0)) != "").select("doc_id", "rk", "line_no", F.size("w").alias("n"), "w")
+    line = own.select("doc_id", "rk", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "rk", "line_no", normal(F.col("line")).alias("line"))
+    n = (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1).alias("n")
+    line = line.where("line <> ''").select("doc_id", "rk", "line_no", n, "line")
     keyed = line.select(
         F.struct("doc_id", "line_no", "rk").alias("pos"),
-        F.xxhash64(F.lit(3), "w").alias("k1"),
-        F.xxhash64(F.lit(4), "w").alias("k2"),
-        F.when(F.col("n") >= least_words, _half_keys(F.col("w"), F.col("n"))).alias("halves"),
+        F.xxhash64(F.lit(3), "line").alias("k1"),
+        F.xxhash64(F.lit(4), "line").alias("k2"),
+        F.when(F.col("n") >= least_words, _half_keys(F.col("line"), F.col("n"))).alias("halves"),
     )
     lines = saved(keyed, "lines")
     contents = saved(lines.groupBy("k1", "k2").agg(F.min("pos").alias("first"), F.max("pos").alias("last")), "contents")
@@ -111,7 +124,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # merge: the same at every size, whether or not the list would fit a broadcast
     texts = own.join(asked.hint("merge"), ["doc_id", "rk"]).select("doc_id", "rk", F.split("text", "\n").alias("all"), F.explode("asked").alias("line_no"))
     # words as fingerprints; rows with the same id and text come out more than once, with the same positions
-    left = saved(texts.select(F.struct("doc_id", "line_no", "rk").alias("pos"), F.transform(words(F.get("all", F.col("line_no"))), lambda x: F.xxhash64(x)).alias("w")), "near-lines")
+    left = saved(texts.select(F.struct("doc_id", "line_no", "rk").alias("pos"), F.transform(F.split(normal(F.get("all", F.col("line_no"))), " "), lambda x: F.xxhash64(x)).alias("w")), "near-lines")
     release(spark)
     left = left.withColumn("n", F.size("w"))
     parts = saved(left.select("pos", F.xxhash64(F.lit(3), "w").alias("k1"), F.explode(_part_keys(F.col("w"), F.col("n"))).alias("p")).select("pos", "k1", "p.*"), "parts")
@@ -122,7 +135,9 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     variants = saved(spread.select("pos", F.explode(around).alias("k")).select("pos", "k.*"), "variants")
     shared = saved(variants.groupBy("k1", "k2").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).where("first < last").select("k1", "k2", "first"), "shared")
     release(spark)
-    close = variants.join(shared, ["k1", "k2"]).where("pos > first").select("pos.*")
+    met = saved(variants.join(shared, ["k1", "k2"]).where("pos > first").select("pos", "first").distinct(), "met-lines")
+    one, other = left.select("pos", F.col("w").alias("a")), left.select(F.col("pos").alias("first"), F.col("w").alias("b"))
+    close = met.join(one, "pos").join(other, "first").where(_one_edit(F.col("a"), F.col("b"))).select("pos.*")
     return equal.unionByName(close).select("doc_id", "rk", "line_no").distinct()
 
 

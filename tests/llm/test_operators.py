@@ -342,7 +342,17 @@ def brute_lines(rows, least=8):
     return gone
 
 
-def test_lines_equal_brute_force(spark):
+def test_one_edit(spark):
+    import itertools
+
+    words = [list(x) for n in range(1, 5) for x in itertools.product([1, 2], repeat=n)]
+    pairs = spark.createDataFrame([(a, b) for a in words for b in words], "a array<long>, b array<long>")
+    for r in pairs.select("a", "b", line_dedup._one_edit(F.col("a"), F.col("b")).alias("x")).collect():
+        assert r.x == edit_distance_at_most_one(r.a, r.b)
+
+
+@pytest.mark.parametrize("least", [8, 2])
+def test_lines_equal_brute_force(spark, least):
     import random
 
     r = random.Random(12)
@@ -358,10 +368,10 @@ def test_lines_equal_brute_force(spark):
             out.append(r.choice([" ", "  ", "\t"]).join(w) + r.choice(["", " ", "\r"]))
         rows.append((i, "\n".join([*out, ""] * r.randint(1, 2))))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {(x.doc_id, x.line_no) for x in line_dedup.repeated_lines(docs).collect()}
-    want = brute_lines(rows)
+    got = {(x.doc_id, x.line_no) for x in line_dedup.repeated_lines(docs, least_words=least).collect()}
+    want = brute_lines(rows, least)
     assert got == want and len(want) > 50
-    texts = {x.doc_id: x.text for x in line_dedup.dedup_lines(docs).collect()}
+    texts = {x.doc_id: x.text for x in line_dedup.dedup_lines(docs, least_words=least).collect()}
     for i, t in rows:
         assert texts[i] == "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in want)
 
