@@ -8,23 +8,26 @@ and the filters' words only, no join.
 
 Everything is DataFrame functions: bit positions are ``xxhash64`` under different seeds, a filter is
 built by ``bit_or`` of 64-bit words after a map-side combine, and it is read as an array by an
-uncorrelated scalar subquery. The words of all levels of one shard take at most ``shard_bytes``, which is
-checked by counting the listed keys first: a longer list is split by a hash of the key into as many
-shards, each with a cascade of its own that only its keys read.
+uncorrelated scalar subquery. The words of all levels of one shard take at most ``shard_bytes``. Shards, by a hash of the
+key, are as many as the counts of listed and of all keys ask for; should a shard come out larger all the same, the
+cascade is built anew over twice as many. Each shard has a cascade of its own that only its keys read, and
+``filter_urls`` reads them one after the other, a pass over the addresses for each, so that one shard is in memory at a time.
 
 Defined results: a null key is treated as the empty string; repeated keys and rows are judged alike; an
-empty list lists nothing; an empty table gives no rows; other columns pass through.
+empty list lists nothing; listed keys that no row has change nothing; an empty table gives no rows; other columns pass
+through, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitlens.llm.common import saved
+from splitlens.llm.common import flat, place, saved
 
 BITS_PER_KEY = (8, 2)  # of level 0, whose keys meet the whole universe, and of the others
 HASHES = (4, 1)
@@ -90,13 +93,27 @@ def member(levels: list[Level], key: Column) -> Column:
     return out
 
 
+def expected_bits(listed: int, every: int) -> int:
+    """Bits of all levels of a cascade. A share of the keys that aren't listed passes level 0, and each level after it."""
+    passes = [(1 - math.exp(-h / b)) ** h for h, b in zip(HASHES, BITS_PER_KEY, strict=True)]
+    rest = BITS_PER_KEY[1] / (1 - passes[1] ** 2)
+    return math.ceil(listed * (BITS_PER_KEY[0] + rest * passes[1]) + every * passes[0] * rest * (1 + passes[1]))
+
+
 def build(universe: DataFrame, listed: DataFrame, *, shard_bytes: int = SHARD_BYTES) -> Cascade:
     """``universe``: a column ``key`` with every key that will be asked for; ``listed``: the same with the
     listed keys. Keys are aggregated before they are shuffled; a key on many rows is one row per task."""
     both = universe.select(F.coalesce("key", F.lit("")).alias("key"), F.lit(False).alias("listed")).unionByName(listed.select(F.coalesce("key", F.lit("")).alias("key"), F.lit(True).alias("listed")))
     keys = saved(both.groupBy("key").agg(F.max("listed").alias("listed")), "bloom-keys")
-    n = keys.where("listed").count()
-    shards = max(1, -(-n * (BITS_PER_KEY[0] + 2 * BITS_PER_KEY[1]) // (8 * shard_bytes)))
+    every, n = keys.agg(F.count(F.lit(1)), F.count(F.when(F.col("listed"), 1))).first()
+    shards = max(1, -(-expected_bits(n, every) // (8 * shard_bytes)))
+    while (out := _shards(keys, n, shards, 8 * shard_bytes)) is None:
+        shards *= 2
+    return Cascade(out)
+
+
+def _shards(keys: DataFrame, n: int, shards: int, most_bits: int) -> list[list[Level]] | None:
+    """The levels of each shard; None if a shard takes more than ``most_bits`` and more than a word a level."""
     out = []
     for s in range(shards):
         own = keys.where(shard(F.col("key"), shards) == s)
@@ -105,10 +122,12 @@ def build(universe: DataFrame, listed: DataFrame, *, shard_bytes: int = SHARD_BY
         levels: list[Level] = []
         while left:
             levels.append(build_level(ahead, left, len(levels), 1 + s * 64 + len(levels)))
+            if sum(x.bits for x in levels) > max(most_bits, 64 * len(levels)):
+                return None
             ahead, wrong = saved(wrong.where(levels[-1].passes(F.col("key"))), "bloom-passed"), ahead
             left = ahead.count()
         out.append(levels)
-    return Cascade(out)
+    return out
 
 
 def url_host(url: Column) -> Column:
@@ -145,11 +164,19 @@ def filter_urls(pages: DataFrame, rules: list[Rule], listed: DataFrame, *, url_c
     """``pages`` and: ``host``, ``path``, ``rule`` (of the longest rule that fits, else null) and ``verdict``:
     the rule's; without a rule ``block`` if the host is one of ``listed`` (column ``key``), else ``allow``.
     Columns of ``pages`` with one of these names are replaced."""
-    keep = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    cut = pages.select(*keep, url_host(F.col(f"`{url_col}`")).alias("host"), url_path(F.col(f"`{url_col}`")).alias("path"))
-    cascade = build(pages.select(url_host(F.col(f"`{url_col}`")).alias("key")), listed, shard_bytes=shard_bytes)
+    rows, url = flat(pages), F.col(place(pages, url_col))
+    keep = [(f"c{i}", c) for i, c in enumerate(pages.columns) if c.lower() not in ("host", "path", "rule", "verdict")]
+    cut = rows.select(*[c for c, _ in keep], url_host(url).alias("host"), url_path(url).alias("path"))
+    cascade = build(rows.select(url_host(url).alias("key")), listed, shard_bytes=shard_bytes)
     longest = sorted(rules, key=lambda r: (len(r.name), r.name), reverse=True)
     host, path = F.col("host"), F.col("path")
     rule = reduce(lambda rest, r: F.when(r.fits(host, path), r.name).otherwise(rest), longest[::-1], F.lit(None).cast("string"))
     by_rule = reduce(lambda rest, r: F.when(F.col("rule") == r.name, r.verdict).otherwise(rest), longest[::-1], F.lit(None).cast("string"))
-    return cut.withColumn("rule", rule).withColumn("verdict", F.coalesce(by_rule, F.when(cascade.contains(host), "block").otherwise("allow")))
+    judged = lambda part, levels: part.withColumn("rule", rule).withColumn("verdict", F.coalesce(by_rule, F.when(member(levels, host), "block").otherwise("allow")))
+    n = len(cascade.shards)
+    if n == 1:
+        out = judged(cut, cascade.shards[0])
+    else:
+        parts = [saved(judged(cut.where(shard(host, n) == s), levels), "judged") for s, levels in enumerate(cascade.shards)]
+        out = reduce(DataFrame.unionByName, parts)
+    return out.toDF(*[c for _, c in keep], "host", "path", "rule", "verdict")

@@ -80,7 +80,7 @@ _ORACLES: dict[str, str] = {
         SELECT page_id, host, path, rule, CASE
             WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
             WHEN rule IS NOT NULL THEN 'block'
-            WHEN md5(host) < '4' THEN 'block' ELSE 'allow' END AS verdict
+            WHEN md5(host) < '4' OR (prefix(host, 'ads.') AND substr(host, 5) IN (SELECT host FROM parts)) THEN 'block' ELSE 'allow' END AS verdict
         FROM ruled""",
     "op9_line_dedup": r"""
         WITH split AS (

@@ -177,6 +177,17 @@ def test_urls_hosts_paths_and_rules(spark):
     ]
 
 
+def test_urls_of_many_shards_and_clashing_columns(spark):
+    urls = [f"http://host{i % 400}.example/{i}" for i in range(2000)]
+    pages = spark.createDataFrame([(i, u, "old", 1, "x") for i, u in enumerate(urls)], "page_id int, url string, Verdict string, c0 int, listed string")
+    listed = spark.createDataFrame([(f"host{i}.example",) for i in range(0, 4000, 3)], "key string")
+    whole, cut = (bloom_cascade.filter_urls(pages, queries.URL_RULES, listed, shard_bytes=n) for n in (1 << 20, 500))
+    assert whole.columns == cut.columns == ["page_id", "url", "c0", "listed", "host", "path", "rule", "verdict"]
+    rows = [sorted(map(tuple, df.collect())) for df in (whole, cut)]
+    assert rows[0] == rows[1] and {(r[4], r[7]) for r in rows[0]} == {(f"host{i}.example", "allow" if i % 3 else "block") for i in range(400)}
+    assert bloom_cascade.filter_urls(pages.limit(0), queries.URL_RULES, listed).count() == 0
+
+
 # decontamination
 
 
