@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 from splitlens.llm.common import chosen, flat, place, release, saved
 
 LEAST_WORDS, PARTS = 8, 8
-KEYS = "array<struct<k1:bigint,k2:bigint>>"
 BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -54,31 +53,27 @@ def _half_keys(line: Column, n: Column) -> Column:
     return F.array(*out)
 
 
-def _part_keys(w: Column, n: Column) -> Column:
-    """For each part of the line, as the shorter and as the longer one of a pair: what stands before and after it."""
-    out = []
-    for shorter in (n, n - 1):
-        for j in range(PARTS):
-            begin, end = (F.floor(shorter * i / PARTS).cast("int") for i in (j, j + 1))
-            s = shorter - end
-            key = F.xxhash64(F.lit(7), shorter, F.lit(j), F.slice(w, F.lit(1), begin), F.lit(8), F.slice(w, n - s + 1, s))
-            out.append(F.struct(key.alias("part"), shorter.alias("shorter"), begin.alias("begin"), end.alias("end")))
-    return F.array(*out)
-
-
-def _neighbourhood(w: Column, n: Column, shorter: Column, begin: Column, end: Column) -> Column:
-    """Keys of the line for edits between two places."""
-
-    def key(length: Column, place: Column, rest: Column) -> Column:
-        return F.struct(F.xxhash64(F.lit(5), length, place, rest).alias("k1"), F.xxhash64(F.lit(6), length, place, rest).alias("k2"))
+def _parts(lines: DataFrame) -> DataFrame:
+    """For each part of a line (``pos``, ``w``, ``n``), as the shorter and as the longer one of a pair: the key of what stands
+    before and after it, ``part``. A row for each, so that the code of one key is all that is generated."""
+    v = F.explode(F.sequence(F.lit(0), F.lit(2 * PARTS - 1)))
+    each = lines.select("pos", "w", "n", v.alias("v")).select("pos", "w", "n", (F.col("n") - F.floor(F.col("v") / PARTS)).cast("int").alias("shorter"), F.pmod("v", F.lit(PARTS)).alias("j"))
+    begin, end = (F.floor(F.col("shorter") * i / PARTS).cast("int") for i in (F.col("j"), F.col("j") + 1))
+    each = each.select("pos", "w", "n", "shorter", "j", begin.alias("begin"), end.alias("end"))
+    after = F.col("shorter") - F.col("end")
+    key = F.xxhash64(F.lit(7), "shorter", "j", F.slice("w", F.lit(1), F.col("begin")), F.lit(8), F.slice("w", F.col("n") - after + 1, after))
+    return each.select("pos", F.xxhash64(F.lit(3), "w").alias("k1"), key.alias("part"), "shorter", "begin", "end")
 
-    def without(i: Column) -> Column:
-        return key(n - 1, i, F.concat(F.slice(w, F.lit(1), i), F.slice(w, i + 2, n)))
 
-    longer = F.transform(F.sequence(begin, end), without)
-    changed = F.when(begin < end, F.transform(F.sequence(begin, end - 1), without)).otherwise(F.array().cast(KEYS))
-    whole = F.transform(F.sequence(begin, end), lambda i: key(n, i, w))
-    return F.when(shorter < n, longer).otherwise(F.concat(changed, whole))
+def _neighbourhood(spread: DataFrame) -> DataFrame:
+    """Keys of a line (``pos``, ``w``, ``n``) for edits between ``begin`` and ``end``, a row for each: as the longer line
+    without word i; as the shorter one (``shorter`` = n) without word i, for another word, and whole, for one more."""
+    room, own = F.col("end") - F.col("begin"), F.col("shorter") == F.col("n")
+    each = spread.withColumn("v", F.explode(F.sequence(F.lit(0), F.when(own, 2 * room).otherwise(room))))
+    each = each.withColumn("whole", own & (F.col("v") >= room)).withColumn("i", F.col("begin") + F.when(F.col("whole"), F.col("v") - room).otherwise(F.col("v")))
+    rest = F.when(F.col("whole"), F.col("w")).otherwise(F.concat(F.slice("w", F.lit(1), F.col("i")), F.slice("w", F.col("i") + 2, F.col("n"))))
+    each = each.select("pos", F.when(F.col("whole"), F.col("n")).otherwise(F.col("n") - 1).alias("length"), "i", rest.alias("rest"))
+    return each.select("pos", F.xxhash64(F.lit(5), "length", "i", "rest").alias("k1"), F.xxhash64(F.lit(6), "length", "i", "rest").alias("k2"))
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -127,12 +122,11 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     left = saved(texts.select(F.struct("doc_id", "line_no", "rk").alias("pos"), F.transform(F.split(normal(F.get("all", F.col("line_no"))), " "), lambda x: F.xxhash64(x)).alias("w")), "near-lines")
     release(spark)
     left = left.withColumn("n", F.size("w"))
-    parts = saved(left.select("pos", F.xxhash64(F.lit(3), "w").alias("k1"), F.explode(_part_keys(F.col("w"), F.col("n"))).alias("p")).select("pos", "k1", "p.*"), "parts")
+    parts = saved(_parts(left), "parts")
     shared_parts = saved(parts.groupBy("part").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a < b").select("part"), "shared-parts")
     open_ = parts.join(shared_parts, "part").groupBy("pos").agg(F.collect_set(F.struct("shorter", "begin", "end")).alias("places"))
-    spread = left.join(open_, "pos").select("pos", "w", "n", F.explode("places").alias("p"))
-    around = _neighbourhood(F.col("w"), F.col("n"), F.col("p.shorter"), F.col("p.begin"), F.col("p.end"))
-    variants = saved(spread.select("pos", F.explode(around).alias("k")).select("pos", "k.*"), "variants")
+    spread = left.join(open_, "pos").select("pos", "w", "n", F.explode("places").alias("p")).select("pos", "w", "n", "p.*")
+    variants = saved(_neighbourhood(spread), "variants")
     shared = saved(variants.groupBy("k1", "k2").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).where("first < last").select("k1", "k2", "first"), "shared")
     release(spark)
     met = saved(variants.join(shared, ["k1", "k2"]).where("pos > first").select("pos", "first").distinct(), "met-lines")
