@@ -12,23 +12,40 @@ from splitlens import config as cfg
 from splitlens import sinks
 from splitlens.operators.alignment import Scoring
 from splitlens.operators.baselines import run_baselines
-from splitlens.operators.standardize import cleaner
+from splitlens.operators.standardize import cleaner, valid_only
 from splitlens.plans.audit import AuditResult, audit, audit_targets
 from splitlens.session import get_session
 from splitlens.sources.records import load
 from splitlens.sources.structures import read_hits, read_registry
 
 log = logging.getLogger("splitlens")
+MOST_PREDICTIONS = 1_000_000
 
 
 def write_result(result: AuditResult, folder: Path) -> dict[str, Path | None]:
-    folder.mkdir(parents=True, exist_ok=True)
-    written = {"summary": sinks.write_json(result.summary, folder / "summary.json"), "records": sinks.write_records(result.records, folder / "records.csv")}
+    written = {"records": sinks.write_records(result.records, folder / "records.csv")}
     for name, rows in (("conflicts", result.conflicts), ("cliffs", result.cliffs), ("sequence_alignments", result.sequence_alignments), ("structure_alignments", result.structure_alignments)):
         written[name] = sinks.write_rows(rows, folder / f"{name}.jsonl") if rows is not None else None
+    written["summary"] = sinks.write_json(result.summary, folder / "summary.json")  # last: it says that all is there
     return written
 
 
+def benchmark_result(result: AuditResult, settings: cfg.AuditConfig, folder: Path) -> dict:
+    """Metrics of every model; predictions as a list, or beyond ``MOST_PREDICTIONS`` as the name of a file. An error is a
+    result, too."""
+    try:
+        done = run_baselines(result.records, settings.task, seed=settings.seed, fp_bits=settings.fp_bits)
+        for name, model in done["models"].items():
+            rows = model["predictions"]
+            if rows.count() > MOST_PREDICTIONS:
+                model["predictions"] = str(sinks.write_rows(rows, folder / f"predictions-{name}.jsonl"))
+            else:
+                model["predictions"] = [r.score for r in rows.orderBy("row_id").collect()]
+        return done
+    except Exception as e:
+        return {"error": str(e)}
+
+
 def run_one(spark: SparkSession, path: Path, out_root: Path, configs_root: Path | None = None, force: bool = False, benchmark: bool = False) -> Path:
     """Audit one config, unless its files are there; baselines' errors are part of their result."""
     raw = cfg.load_yaml(path)
@@ -40,6 +57,10 @@ def run_one(spark: SparkSession, path: Path, out_root: Path, configs_root: Path
     records = load(spark, settings)
     clean = cleaner(settings.info.get("cleaner"))
     records = clean(records) if clean else records
+    if not settings.keep_invalid:
+        if "target_seq" in records.columns:
+            raise ValueError("records with sequences keep their invalid rows")
+        records = valid_only(records)
     if settings.is_dti:
         known = bool(settings.registry_path and settings.hits_path)
         registry = read_registry(spark, settings.registry_path) if known else None
@@ -50,13 +71,8 @@ def run_one(spark: SparkSession, path: Path, out_root: Path, configs_root: Path
     result.summary["config"] = cfg.echo(raw)
     write_result(result, folder)
     if benchmark:
-        try:
-            done = run_baselines(result.records, settings.task, seed=settings.seed, fp_bits=settings.fp_bits)
-            for model in done["models"].values():
-                model["predictions"] = [r.score for r in model["predictions"].orderBy("row_id").collect()]
-        except Exception as e:
-            done = {"error": str(e)}
-        sinks.write_json(done, folder / "performance.json")
+        sinks.write_json(benchmark_result(result, settings, folder), folder / "performance.json")
+    result.release()
     return folder
 
 
@@ -67,10 +83,11 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--out-root", type=Path, default=Path("runs"))
     parser.add_argument("--force", action="store_true")
     parser.add_argument("--benchmark", action="store_true")
+    parser.add_argument("--log-level", default="INFO", choices=["DEBUG", "INFO", "WARNING", "ERROR"])
     args = parser.parse_args(argv)
     if bool(args.config) == bool(args.configs):
         parser.error("give either --config or --configs")
-    logging.basicConfig(level=logging.INFO)
+    logging.basicConfig(level=args.log_level)
     spark, failed = get_session(), 0
     for path in cfg.discover(args.configs, args.config):
         try:

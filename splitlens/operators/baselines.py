@@ -34,21 +34,25 @@ def features(records: DataFrame, fp_bits: int = 2048, columns: list[str] | None
 
 
 def _models(task: str, seed: int, trees: int, width: int) -> dict:
+    from pyspark.ml import Pipeline
     from pyspark.ml import classification as c
     from pyspark.ml import regression as r
+    from pyspark.ml.feature import StandardScaler
 
     common = {"labelCol": "y", "featuresCol": "features", "seed": seed}
     if task == "classification":
+        scaled = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
         return {
             "random_forest": c.RandomForestClassifier(numTrees=trees, **common),
-            "mlp": c.MultilayerPerceptronClassifier(layers=[width, 256, 128, 2], maxIter=300, **common),
+            "mlp": Pipeline(stages=[scaled, c.MultilayerPerceptronClassifier(layers=[width, 256, 128, 2], maxIter=300, **common | {"featuresCol": "scaled"})]),
             "gradient_boosting": c.GBTClassifier(maxIter=20, **common),
         }
     return {"random_forest": r.RandomForestRegressor(numTrees=trees, **common), "gradient_boosting": r.GBTRegressor(maxIter=20, **common)}
 
 
-def run_baselines(records: DataFrame, task: str | None = None, *, seed: int | None = None, trees: int = TREES, models: tuple[str, ...] = ("random_forest",), columns: list[str] | None = None, fp_bits: int = 2048) -> dict:
-    """Train on train and valid, predict test: ``{task, models: {name: {metrics, predictions}}}``."""
+def run_baselines(records: DataFrame, task: str | None = None, *, seed: int | None = None, trees: int = TREES, models: tuple[str, ...] | None = None, columns: list[str] | None = None, fp_bits: int = 2048) -> dict:
+    """Train on train and valid, predict test: ``{task, models: {name: {metrics, predictions}}}``; all models unless some are
+    named."""
     from pyspark.ml.functions import vector_to_array
 
     splits = {r[0] for r in records.select("split").distinct().collect()}
@@ -62,7 +66,7 @@ def run_baselines(records: DataFrame, task: str | None = None, *, seed: int | No
     width = len(train.select("features").first()["features"])
     out: dict = {"task": task, "models": {}}
     for name, model in _models(task, seed or 0, trees, width).items():
-        if name not in models:
+        if models is not None and name not in models:
             continue
         predicted = model.fit(train).transform(test)
         score = vector_to_array("probability")[1] if task == "classification" else F.col("prediction")

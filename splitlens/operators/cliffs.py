@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from splitlens.functions.labels import classification_delta, exceeds, regression_delta
 from splitlens.functions.similarity import tanimoto
-from splitlens.operators.similarity import consensus_pairs
+from splitlens.operators.similarity import MEASURES, consensus_pairs
 
 
 def distinct_entities(records: DataFrame) -> DataFrame:
@@ -21,17 +21,16 @@ def distinct_entities(records: DataFrame) -> DataFrame:
     return found.select(F.col("entity").alias("id"), F.col("entity").alias("text"), "fp", "frame")
 
 
-def cliff_rows(records: DataFrame, threshold: float, task: str, sigma3: list[float] | None = None, pairs: DataFrame | None = None) -> DataFrame:
-    """``kind`` (intra_tv, intra_test, cross_tv_test), both records, the three similarities and ``delta``.
-
-    ``pairs`` (``a``, ``b``, ``tanimoto``, ``scaffold_tanimoto``, ``string_ratio``) replaces the consensus join."""
-    pairs = consensus_pairs(distinct_entities(records), threshold) if pairs is None else pairs
+def cliff_rows(records: DataFrame, threshold: float, task: str, sigma3: list[float] | None = None, measures: tuple[str, ...] = MEASURES) -> DataFrame:
+    """``kind`` (intra_tv, intra_test, cross_tv_test), both records, the three similarities and ``delta``. Similarities that
+    ``measures`` leaves out are null."""
+    pairs = consensus_pairs(distinct_entities(records), threshold, measures)
     scores = ["tanimoto", "scaffold_tanimoto", "string_ratio"]
     both = pairs.select("a", "b", *scores).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), *scores))
     has = lambda c: F.col(c) if c in records.columns else F.lit(None).cast("array<int>")
     alone = records.where("entity is not null").groupBy("entity").agg(F.first(has("fp")).alias("fp"), F.first(has("frame")).alias("frame"), F.bit_or(F.when(F.col("split") == "test", 2).otherwise(1)).alias("sides"))
     same = alone.where("sides = 3 and (fp is not null or frame is not null)").select(
-        F.col("entity").alias("a"), F.col("entity").alias("b"), tanimoto(F.col("fp"), F.col("fp")).alias("tanimoto"), tanimoto(F.col("frame"), F.col("frame")).alias("scaffold_tanimoto"), F.lit(1.0).alias("string_ratio")
+        F.col("entity").alias("a"), F.col("entity").alias("b"), tanimoto(F.col("fp"), F.col("fp")).alias("tanimoto"), tanimoto(F.col("frame"), F.col("frame")).alias("scaffold_tanimoto"), F.lit(1.0 if "text" in measures else None).cast("double").alias("string_ratio")
     )
     wanted = both.unionByName(same)
     side = lambda n: records.select(*[F.col(c).alias(f"{c}_{n}") for c in ("entity", "split", "row_id", "id", "label_num", "label_key")])

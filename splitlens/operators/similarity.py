@@ -1,13 +1,21 @@
-"""Exact similarity joins by prefix filters.
+"""Exact similarity joins: prefix filters where features are sparse, packed block scans where they are dense.
 
-Every candidate generator emits, for each item, the rarest features that two similar items must share one of, joins
-items on them, and drops pairs that sizes rule out; then similarity is computed once per pair. Nothing is
-compared with everything.
+A prefix filter emits, for each item, the rarest features that two similar items must share one of, joins
+items on them, and drops pairs that sizes rule out; then similarity is computed once per pair. Where the features of a
+small domain stand in many sets, that join would make most pairs, each many times over. The counts of the features say so
+beforehand; then sets are compared as rows of a bit matrix, in broadcast blocks that only sets of fitting sizes
+meet, and nothing but the result is emitted. Both give the same pairs.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +24,10 @@ from pyspark.sql.window import Window
 from splitlens.functions.similarity import indel_ratio, tanimoto
 
 EPSILON = 1e-9
+BLOCK_BYTES = 16 << 20  # of packed sets, broadcast at once
+MOST_BITS = 1 << 14  # of a domain that is scanned
+_MADE, _COMPARED = 1e-6, 1e-10  # seconds: for a pair that a join makes, for a bit of a pair that is compared
+_PRODUCT = 1 << 22  # pairs in one product
 LONG = 32  # strings above this are joined on longer grams
 
 
@@ -32,27 +44,102 @@ def _meeting(prefixes: DataFrame, fits: Column) -> DataFrame:
     return left.join(right, "feature").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
 
 
-def set_candidates(sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (``a``, ``b``) of ids whose sets (``bits``) may have a Tanimoto similarity of ``threshold`` or more: sets
-    of size s share at least ``threshold * s`` elements, so one among the s - ceil(threshold * s) + 1 rarest."""
-    sized = sets.select("id", "bits", F.size("bits").alias("size"))
-    # empty sets are equal to each other and to nothing else: they share a feature of their own
+def _prefixes(sized: DataFrame, threshold: float) -> DataFrame:
+    """``id``, ``size``, ``feature``: sets of size s share at least ``threshold * s`` elements with a similar one, so one
+    among the s - ceil(threshold * s) + 1 rarest. Empty sets equal each other and nothing else: they share a feature."""
     each = sized.select("id", "size", F.explode(F.when(F.col("size") == 0, F.array(F.lit(-1))).otherwise(F.col("bits"))).alias("feature"))
-    ranked = _ranked(each)
-    prefix = ranked.where(F.col("rank") <= F.col("size") - F.ceil(threshold * F.col("size") - EPSILON) + 1)
-    fits = F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - EPSILON
-    return _meeting(prefix, fits)
-
-
-def tanimoto_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """``a`` < ``b`` and ``similarity``. Columns of ``sets``: ``id`` (unique), ``bits`` (distinct numbers; null takes no
-    part)."""
-    known = sets.where("bits is not null")
-    pairs = set_candidates(known, threshold)
-    a, b = known.select(F.col("id").alias("a"), F.col("bits").alias("x")), known.select(F.col("id").alias("b"), F.col("bits").alias("y"))
+    return _ranked(each).where(F.col("rank") <= F.col("size") - F.ceil(threshold * F.col("size") - EPSILON) + 1)
+
+
+def _by_prefixes(sized: DataFrame, prefixes: DataFrame, threshold: float) -> DataFrame:
+    pairs = _meeting(prefixes, F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - EPSILON)
+    a, b = sized.select(F.col("id").alias("a"), F.col("bits").alias("x")), sized.select(F.col("id").alias("b"), F.col("bits").alias("y"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", tanimoto(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def _matrix(lists: pa.Array, n_bits: int) -> np.ndarray:
+    """A row per set, eight bits a byte."""
+    out = np.zeros((len(lists), n_bits), bool)
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    out[np.repeat(np.arange(len(lists)), sizes), lists.flatten().to_numpy(zero_copy_only=False)] = True
+    return np.packbits(out, axis=1)
+
+
+def size_blocks(sizes: dict[int, int], most: int) -> list[tuple[int, int, int, int]]:
+    """Blocks of about ``most`` sets, given the number of sets by size: least and largest size, and for a size that fills
+    more than one block, which part it is of how many."""
+    out: list[tuple[int, int, int, int]] = []
+    low, held = None, 0
+    for size, n in sorted(sizes.items()):
+        if n > most:
+            if held:
+                out.append((low, last, 0, 1))
+            parts = math.ceil(1.25 * n / most)  # a hash deals unevenly
+            out += [(size, size, k, parts) for k in range(parts)]
+            low, held = None, 0
+            continue
+        if held and held + n > most:
+            out.append((low, last, 0, 1))
+            low, held = None, 0
+        low, last, held = size if low is None else low, size, held + n
+    return out + [(low, last, 0, 1)] * bool(held)
+
+
+def _by_scan(sized: DataFrame, sizes: dict[int, int], n_bits: int, threshold: float) -> DataFrame:
+    """Every block of sets is broadcast, and met by the sets that aren't larger than its largest, nor too small."""
+    spark, kind = sized.sparkSession, sized.schema["id"].dataType.simpleString()
+    found = None
+    for lo, hi, k, parts in size_blocks(sizes, max(1, BLOCK_BYTES // (n_bits // 8 + 40))):
+        own = sized.where(F.col("size").between(lo, hi))
+        own = (own.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k) if parts > 1 else own).toArrow().combine_chunks()  # about BLOCK_BYTES once packed
+        if not own.num_rows:
+            continue
+        ids = own["id"].chunk(0) if own["id"].num_chunks else own["id"]
+        shared = spark.sparkContext.broadcast((_matrix(own["bits"].chunk(0), n_bits), own["size"].to_numpy(), ids))
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            packed, sizes, ids = shared.value
+            for batch in batches:
+                own, of, n = batch.column(0), batch.column(2).to_numpy(), batch.num_rows
+                rows = np.unpackbits(_matrix(batch.column(1), n_bits), axis=1, count=n_bits).astype(np.float32)
+                step = max(1, _PRODUCT // max(n, n_bits))
+                for at in range(0, len(packed), step):
+                    other = np.unpackbits(packed[at : at + step], axis=1, count=n_bits).astype(np.float32)
+                    both, all_ = rows @ other.T, of[:, None] + sizes[None, at : at + step]
+                    x, y = np.nonzero((both >= threshold * (all_ - both) - EPSILON) & (of[:, None] <= sizes[None, at : at + step]))
+                    shares, either = both[x, y].astype(np.float64), all_[x, y] - both[x, y].astype(np.float64)
+                    similarity = np.where(either == 0, 1.0, shares / np.maximum(either, 1))
+                    left, right = own.take(pa.array(x)), ids.take(pa.array(y + at))
+                    first = pc.less(left, right)  # of sets of one size each pair is met from both sides
+                    keep = (similarity >= threshold) & ((of[x] < sizes[y + at]) | first.to_numpy(zero_copy_only=False))
+                    a, b = pc.if_else(first, left, right), pc.if_else(first, right, left)
+                    yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in (a, b, pa.array(similarity))], names=["a", "b", "similarity"])
+
+        met = sized.where(F.col("size").between(math.ceil(threshold * lo - EPSILON), hi)).select("id", "bits", "size")
+        pairs = sum(n for s, n in sizes.items() if threshold * lo - EPSILON <= s <= hi) * own.num_rows
+        tasks = min(4 * spark.sparkContext.defaultParallelism, int(pairs * n_bits * _COMPARED) + 1)
+        met = met.repartition(tasks) if tasks > 1 else met  # the work is in the pairs, not in the rows
+        one = met.mapInArrow(scan, f"a {kind}, b {kind}, similarity double")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def tanimoto_pairs(sets: DataFrame, threshold: float, way: str | None = None) -> DataFrame:
+    """``a`` < ``b`` and ``similarity``. Columns of ``sets``: ``id`` (unique), ``bits`` (distinct numbers that aren't negative;
+    null takes no part). ``way`` (``prefix`` or ``scan``) overrides the choice by cost."""
+    sized = sets.where("bits is not null").select("id", "bits", F.size("bits").alias("size"))
+    prefixes = _prefixes(sized, threshold)
+    found = sized.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max("bits")).alias("most")).collect()  # a row for each size
+    sizes, n_bits = {r["size"]: r.n for r in found}, max((r.most or 0 for r in found), default=0) + 1
+    if way is None and (n_bits > MOST_BITS or not sizes):
+        way = "prefix"
+    if way is None:
+        made = prefixes.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
+        n = sum(sizes.values())
+        way = "prefix" if made / 2 * _MADE <= n * n / 2 * n_bits * _COMPARED else "scan"
+    return _by_scan(sized, sizes, n_bits, threshold) if way == "scan" else _by_prefixes(sized, prefixes, threshold)
+
+
 def _grams(text: Column, q: int) -> Column:
     """Each run of ``q`` characters with the number of its occurrence, so that a multiset is a set."""
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - q + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(q)))
@@ -100,24 +187,32 @@ def string_ratio_pairs(strings: DataFrame, threshold: float) -> DataFrame:
     return near.select("a", "b", indel_ratio("x", "y").alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def consensus_pairs(entities: DataFrame, threshold: float) -> DataFrame:
+MEASURES = ("fp", "frame", "text")
+
+
+def consensus_pairs(entities: DataFrame, threshold: float, measures: tuple[str, ...] = MEASURES) -> DataFrame:
     """Pairs of distinct entities that any of three measures finds similar: bits, framework bits, strings.
 
-    Columns: ``id``, ``text``, ``fp``, ``frame`` (either may be null). A string counts only where both have bits.
-    Candidates of the three measures are joined as sets, then all three are computed once."""
-    by_bits = set_candidates(entities.where("fp is not null").select("id", F.col("fp").alias("bits")), threshold)
-    by_frame = set_candidates(entities.where("frame is not null").select("id", F.col("frame").alias("bits")), threshold)
-    by_text = string_candidates(entities.where("fp is not null").select("id", "text"), threshold)
-    pairs = by_bits.unionByName(by_frame).unionByName(by_text).distinct()
+    Columns: ``id``, ``text``, ``fp``, ``frame`` (either may be null). A string counts only where both have bits. Pairs of the
+    ``measures`` are joined as sets, then all of these are computed once; one that is left out is null."""
+    own = {
+        "fp": lambda: tanimoto_pairs(entities.select("id", F.col("fp").alias("bits")), threshold),
+        "frame": lambda: tanimoto_pairs(entities.select("id", F.col("frame").alias("bits")), threshold),
+        "text": lambda: string_candidates(entities.where("fp is not null").select("id", "text"), threshold),
+    }
+    parts = [own[m]().select("a", "b") for m in MEASURES if m in measures]
+    pairs = reduce(DataFrame.unionByName, parts)
+    pairs = pairs.distinct() if len(parts) > 1 else pairs
     side = lambda n: entities.select(F.col("id").alias(n), F.col("text").alias(f"text_{n}"), F.col("fp").alias(f"fp_{n}"), F.col("frame").alias(f"frame_{n}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     known = F.col("fp_a").isNotNull() & F.col("fp_b").isNotNull()
     framed = F.col("frame_a").isNotNull() & F.col("frame_b").isNotNull()
+    none = F.lit(None).cast("double")
     scored = both.select(
         "a", "b",
-        F.when(known, tanimoto(F.col("fp_a"), F.col("fp_b"))).alias("tanimoto"),
-        F.when(framed, tanimoto(F.col("frame_a"), F.col("frame_b"))).alias("scaffold_tanimoto"),
-        indel_ratio("text_a", "text_b").alias("string_ratio"),
+        (F.when(known, tanimoto(F.col("fp_a"), F.col("fp_b"))) if "fp" in measures else none).alias("tanimoto"),
+        (F.when(framed, tanimoto(F.col("frame_a"), F.col("frame_b"))) if "frame" in measures else none).alias("scaffold_tanimoto"),
+        (indel_ratio("text_a", "text_b") if "text" in measures else none).alias("string_ratio"),
         known.alias("known"),
     )
     similar = (F.col("tanimoto") >= threshold) | (F.col("scaffold_tanimoto") >= threshold) | (F.col("known") & (F.col("string_ratio") >= threshold))

@@ -11,18 +11,24 @@ from pyspark.sql.window import Window
 from splitlens.config import check_fractions
 
 SEED = 123
+MOST_ROWS = 200_000_000  # that one permutation is drawn over
 NAMES = ("train", "valid", "test")
 
 
 def random_split(df: DataFrame, fractions=None, seed: int = SEED, row_id: str = "row_id") -> DataFrame:
-    """Seed-compatible random split of rows numbered from 0 by ``row_id``; sizes are the fractions of n, cut off."""
+    """Seed-compatible random split of rows numbered from 0 by ``row_id``; the cuts are train and train + valid times n, cut
+    off. More than ``MOST_ROWS`` rows are an error: there ``hashed_split`` serves."""
     train, valid, _ = check_fractions(fractions)
-    n = df.count()
+    n, first, last = df.agg(F.count(F.lit(1)), F.min(row_id), F.max(row_id)).first()
+    if n and (first, last) != (0, n - 1):
+        raise ValueError(f"{row_id} has to number the rows from 0, without gaps")
+    if n > MOST_ROWS:
+        raise ValueError(f"a seeded permutation of {n} rows is drawn in one place; use hashed_split")
     order = np.arange(n)
     np.random.RandomState(seed).shuffle(order)
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
-    a, b = int(train * n), int(train * n) + int(valid * n)
+    a, b = int(train * n), int((train + valid) * n)
     side = np.where(place < a, 0, np.where(place < b, 1, 2))
     import pandas as pd
 
@@ -40,10 +46,10 @@ def hashed_split(df: DataFrame, key: str, fractions=None, seed: int = SEED) -> D
 
 def assign_groups(sizes: list[int], fractions=None, seed: int = SEED) -> list[str]:
     """Sides of groups given in order of first appearance: shuffled, then largest first; a group goes to train if it
-    fits, else to valid if train and valid together stay within theirs, else to test."""
+    fits, else to valid if train and valid together stay within theirs, else to test. The cuts are not rounded."""
     train, valid, _ = check_fractions(fractions)
     total = sum(sizes)
-    most_train, most_both = int(train * total), int(train * total) + int(valid * total)
+    most_train, most_both = train * total, (train + valid) * total
     order = np.arange(len(sizes))
     np.random.RandomState(seed).shuffle(order)
     filled = [0, 0]
@@ -66,20 +72,20 @@ def group_sizes(df: DataFrame, group: str, row_id: str = "row_id") -> DataFrame:
 
 
 def group_split(df: DataFrame, group: str, fractions=None, seed: int = SEED, row_id: str = "row_id") -> DataFrame:
-    """Whole groups to sides. The greedy walk is sequential over groups: a number for each goes to the driver."""
-    found = group_sizes(df, group, row_id).withColumn("place", F.row_number().over(Window.orderBy("first"))).orderBy("place")
-    rows = found.select("n").collect()
-    sides = list(enumerate(assign_groups([r.n for r in rows], fractions, seed), 1))
-    table = df.sparkSession.createDataFrame(sides, "place int, split string") if sides else df.sparkSession.createDataFrame([], "place int, split string")
-    named = found.select(F.col(group).alias("__group"), "place").join(table, "place")
-    return df.drop("split").join(named, F.col(group).eqNullSafe(F.col("__group"))).drop("__group", "place")
+    """Whole groups to sides. The greedy walk is sequential over groups: two numbers for each go to the driver, its size and
+    its first row, which is its name there."""
+    found = group_sizes(df, group, row_id)
+    rows = sorted((r["first"], r.n) for r in found.select("first", "n").collect())
+    sides = [(first, side) for (first, _), side in zip(rows, assign_groups([n for _, n in rows], fractions, seed), strict=True)]
+    named = found.join(df.sparkSession.createDataFrame(sides, "first long, split string"), "first").select(F.col(group).alias("__group"), "split")
+    return df.drop("split").join(named, F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
 
 
 SPLITTERS = {"random": random_split, "rand": random_split, "scaffold": group_split, "scaffold_split": group_split}
 
 
 def splitter(name: str):
-    key = (name or "random").strip().lower()
+    key = str(name or "random").strip().lower()
     if key not in SPLITTERS:
         raise ValueError(f"unknown split method: {name}")
     return SPLITTERS[key]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,6 +31,8 @@ def flag_duplicates(records: DataFrame, keys: tuple[str, ...] = ("entity", "inch
 
 def valid_only(records: DataFrame) -> DataFrame:
     """Valid rows, labels and all, fewest warnings first within a split."""
+    if "valid" not in records.columns:
+        return records
     return records.where("valid").orderBy("split", *(["n_warnings"] if "n_warnings" in records.columns else []), "row_id")
 
 
@@ -72,6 +74,12 @@ def chemistry_columns(radius: int = 2, bits: int = 2048):
     return run
 
 
+def scaffold(entity: Column) -> Column:
+    """The scaffold of a structure line, null where it can't be read; needs the toolkit."""
+    _toolkit()
+    return chemistry_columns()(entity)["scaffold"]
+
+
 def clean_molecules(records: DataFrame, radius: int = 2, bits: int = 2048) -> DataFrame:
     _toolkit()
     c = records.withColumn("__c", chemistry_columns(radius, bits)(F.col("entity"))).select(*[x for x in records.columns if x != "entity"], "__c.*")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import logging
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark import StorageLevel
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from splitlens.config import AuditConfig
 from splitlens.operators import alignment, cliffs, conflicts, hygiene, neighbors, structures, targets
 
+log = logging.getLogger("splitlens")
+
 
 @dataclass
 class AuditResult:
@@ -21,6 +24,12 @@ class AuditResult:
     cliffs: DataFrame
     sequence_alignments: DataFrame | None = None
     structure_alignments: DataFrame | None = None
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Frees what the row tables are computed from; they are written by then."""
+        for df in self.held:
+            df.unpersist()
 
 
 def _first(df: DataFrame) -> dict[str, Any]:
@@ -73,7 +82,7 @@ def audit(records: DataFrame, config: AuditConfig) -> AuditResult:
         "conflicts": _first(conflicts.conflict_counts(found)),
         "cliffs": {"intra_train_valid": n.get("intra_tv", 0), "intra_test": n.get("intra_test"), "cross_tv_test": n.get("cross_tv_test"), "sim_threshold": config.threshold},
     }
-    return AuditResult(summary, records, conflicts.conflict_rows(records, found), rows)
+    return AuditResult(summary, records, conflicts.conflict_rows(records, found), rows, held=[records])
 
 
 def audit_targets(records: DataFrame, config: AuditConfig, registry: DataFrame | None = None, hits: DataFrame | None = None, scoring: alignment.Scoring | None = None) -> AuditResult:
@@ -81,6 +90,9 @@ def audit_targets(records: DataFrame, config: AuditConfig, registry: DataFrame |
     their structures (where registry and hits are)."""
     result = audit(records, config)
     records, summary = result.records, result.summary
+    empty = records.where("target_seq is null or target_seq = ''").count()
+    if empty:
+        log.warning("%d records without sequence", empty)
     own = _first(hygiene.overlap(records, "target_seq"))
     entity = _first(hygiene.overlap(records, "entity"))
     has_valid = summary["counts"]["valid"] is not None
@@ -107,6 +119,7 @@ def audit_targets(records: DataFrame, config: AuditConfig, registry: DataFrame |
                 named["valid_to_train"] = None
                 continue
             best = alignment.nearest_sequences(seqs(*q), seqs(*r), scoring).withColumns({"comparison": F.lit(no), "split_query": F.lit(qn), "split_reference": F.lit(rn)}).persist(StorageLevel.MEMORY_AND_DISK)
+            result.held.append(best)
             named[f"{qn}_to_{rn.replace('_', '')}"] = _first(alignment.alignment_summary(best))
             done = best if done is None else done.unionByName(best)
         summary["targets"]["similarity"] = named
@@ -114,6 +127,7 @@ def audit_targets(records: DataFrame, config: AuditConfig, registry: DataFrame |
     if registry is not None and hits is not None:
         ids = structures.sequence_ids(records, registry, config.name)
         best = structures.best_hits(hits, ids).persist(StorageLevel.MEMORY_AND_DISK)
+        result.held.append(best)
         summary["targets"]["structures"] = {"similarity": [r.asDict() for r in structures.summary(best).collect()], "coverage": _first(structures.coverage(ids))}
         result.structure_alignments = structures.top_hits(best)
     return result

@@ -223,25 +223,19 @@ def q_nn_tanimoto_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(neighbors.nearest_summary(v.where("split = 'test'"), v.where("split = 'train'"), BITS), "mean", "std")
 
 
-def _vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = sign_bits(spark, sf_dir).withColumn("id", F.col("id").cast("string"))
-    none = F.lit(None).cast("double")
-    return similarity.tanimoto_pairs(own, THRESHOLD).select("a", "b", F.col("similarity").alias("tanimoto"), none.alias("scaffold_tanimoto"), none.alias("string_ratio"))
-
-
 def _cliff_columns(rows: DataFrame) -> DataFrame:
     return rows.select("kind", F.col("row_id_A").alias("id_a"), F.col("row_id_B").alias("id_b"), F.round("tanimoto", 6).alias("tanimoto"), F.col("delta")[0].alias("delta"))
 
 
 def q_cliff_pairs_cls(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = vector_records(spark, sf_dir)
-    return _cliff_columns(cliffs.cliff_rows(records, THRESHOLD, "classification", pairs=_vector_pairs(spark, sf_dir)))
+    return _cliff_columns(cliffs.cliff_rows(records, THRESHOLD, "classification", measures=("fp", "frame")))
 
 
 def q_cliff_pairs_reg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The threshold of a label difference is given, 3."""
     records = vector_records(spark, sf_dir, "regression")
-    return _cliff_columns(cliffs.cliff_rows(records, THRESHOLD, "regression", [3.0], _vector_pairs(spark, sf_dir)))
+    return _cliff_columns(cliffs.cliff_rows(records, THRESHOLD, "regression", [3.0], ("fp", "frame")))
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -326,7 +320,7 @@ def q_nn_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") - 1).alias("row_id"))
+    own = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("row_id"))
     return splitters.random_split(own).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("p_partkey").alias("keys"))
 
 
@@ -346,7 +340,7 @@ def q_baseline_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [f"x{i}" for i in range(v.agg(F.max(F.size("embedding"))).first()[0] or 0)]
     own = v.select("vec_id", "label", "split", *[F.get("embedding", F.lit(i)).cast("double").alias(x) for i, x in enumerate(names)])
     records = canonical(own, AuditConfig("regression", columns={"entity": "vec_id", "label": "label", "id": "vec_id"}), F.col("vec_id"))
-    done = baselines.run_baselines(records, "regression", columns=names)
+    done = baselines.run_baselines(records, "regression", columns=names, models=("random_forest",))
     m = done["models"]["random_forest"]["metrics"]
     return spark.createDataFrame([(m["mse"], m["pearson"])], "mse double, pearson double")
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 import math
-import shutil
+from collections.abc import Iterable
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SINGLE_BYTES = 4 << 30  # of rows that are joined to one file
+
 
 def plain(value: Any) -> Any:
     """JSON-safe: rows and mappings to objects, sequences to lists, missing numbers to null, else text."""
@@ -29,30 +31,58 @@ def plain(value: Any) -> Any:
     return str(value)
 
 
+def _at(path: str | Path):
+    """Hadoop's path and file system: any store that Spark writes to."""
+    spark = SparkSession.active()
+    there = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    return there, there.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(path: str | Path) -> bool:
+    there, fs = _at(path)
+    return fs.exists(there)
+
+
+def _write(path: str | Path, head: bytes, parts: Iterable = ()) -> None:
+    """A file of ``head`` and the contents of ``parts``, copied by the JVM."""
+    there, fs = _at(path)
+    out = fs.create(there, True)
+    try:
+        out.write(bytearray(head))
+        for p in parts:
+            own = fs.open(p)
+            SparkSession.active()._jvm.org.apache.hadoop.io.IOUtils.copyBytes(own, out, 1 << 20, False)
+            own.close()
+    finally:
+        out.close()
+
+
 def write_json(payload: Any, path: str | Path) -> Path:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(plain(payload), indent=2), encoding="utf-8")
+    _write(path, json.dumps(plain(payload), indent=2).encode())
     return Path(path)
 
 
-def _one_file(folder: Path, to: Path, suffix: str, head: str = "") -> Path:
-    parts = sorted(folder.glob(f"part-*{suffix}"))
-    with to.open("wb") as out:
-        out.write(head.encode())
-        for p in parts:
-            with p.open("rb") as own:
-                shutil.copyfileobj(own, out)
-    shutil.rmtree(folder)
-    return to
+def _one_file(folder: str, to: str | Path, head: str = "") -> Path:
+    """Joins the part files of a folder, up to ``SINGLE_BYTES``; a larger result stays a folder of parts, which takes the name."""
+    there, fs = _at(folder)
+    parts = sorted((s for s in fs.listStatus(there) if s.getPath().getName().startswith("part-")), key=lambda s: s.getPath().getName())
+    target = _at(to)[0]
+    fs.delete(target, True)
+    if sum(s.getLen() for s in parts) > SINGLE_BYTES:
+        fs.rename(there, target)
+    else:
+        _write(to, head.encode(), [s.getPath() for s in parts])
+        fs.delete(there, True)
+    return Path(to)
 
 
 def write_rows(rows: DataFrame, path: str | Path, single: bool = True) -> Path | None:
     """An object per line; no file if there are no rows. ``single`` joins Spark's part files."""
     if not rows.head(1):
         return None
-    folder = Path(f"{path}.parts" if single else path)
-    rows.write.mode("overwrite").option("ignoreNullFields", False).json(str(folder))
-    return _one_file(folder, Path(path), ".json") if single else folder
+    folder = f"{path}.parts" if single else str(path)
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(folder)
+    return _one_file(folder, path) if single else Path(path)
 
 
 def write_records(records: DataFrame, path: str | Path) -> Path | None:
@@ -60,9 +90,9 @@ def write_records(records: DataFrame, path: str | Path) -> Path | None:
     if not records.head(1):
         return None
     flat = records.select(*[F.to_json(c).alias(c) if kind.startswith(("array", "struct", "map")) else F.col(c) for c, kind in records.dtypes])
-    folder = Path(f"{path}.parts")
-    flat.write.mode("overwrite").option("header", False).option("escape", '"').csv(str(folder))
-    return _one_file(folder, Path(path), ".csv", ",".join(flat.columns) + "\n")
+    folder = f"{path}.parts"
+    flat.write.mode("overwrite").option("header", False).option("escape", '"').csv(folder)
+    return _one_file(folder, path, ",".join(flat.columns) + "\n")
 
 
 def write_fasta(sequences: DataFrame, path: str, id_col: str = "sequence_id", seq_col: str = "sequence") -> None:
@@ -83,9 +113,15 @@ def fold_jobs(sequences: DataFrame, seeds: tuple[int, ...] = (1,)) -> DataFrame:
     return sequences.select(F.col("sequence_id").alias("name"), F.to_json(job).alias("value"))
 
 
-EXPECTED = ("summary.json", "records.csv")
+def write_fold_jobs(sequences: DataFrame, path: str, seeds: tuple[int, ...] = (1,)) -> None:
+    """A folder ``name=...`` for each sequence with its job."""
+    fold_jobs(sequences, seeds).write.mode("overwrite").partitionBy("name").text(path)
+
+
+EXPECTED = ("summary.json",)
 
 
 def is_done(folder: str | Path, benchmark: bool = False) -> bool:
-    """Whether an audit's files are there, so that it can be skipped."""
-    return all((Path(folder) / name).exists() for name in (*EXPECTED, *(("performance.json",) if benchmark else ())))
+    """Whether an audit's files are there, so that it can be skipped. Rows are written before the summary, and not at all
+    where there are none."""
+    return all(exists(f"{folder}/{name}") for name in (*EXPECTED, *(("performance.json",) if benchmark else ())))

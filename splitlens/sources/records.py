@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 
 from splitlens.config import AuditConfig
 from splitlens.functions.labels import sequence, split_name, with_labels
+from splitlens.operators import splitters
+from splitlens.operators.standardize import scaffold
 
 #: Column names of each role, in order of preference.
 CANDIDATES = {
@@ -96,9 +98,24 @@ def with_named_splits(df: DataFrame, split_col: str) -> DataFrame:
     return (named.drop(split_col) if split_col == "split" else named).withColumnRenamed("__split", "split")
 
 
+def split_by_method(df: DataFrame, config: AuditConfig) -> DataFrame:
+    """A table without split column, split as the config says. ``row_id`` is the place in the table as read."""
+    method = splitters.splitter(config.split_method)
+    rows = numbered(df.withColumn("split", F.lit("all"))).withColumnRenamed("row_id", "__place").drop("split")
+    if method is splitters.random_split:
+        out = method(rows, config.split_fracs, config.split_seed, row_id="__place")
+    else:
+        entity = resolve(df.columns, "entity", config.columns.get("entity"))
+        if entity is None:
+            raise KeyError("no entity column; set info.smiles_col")
+        out = method(rows.withColumn("__scaffold", scaffold(F.col(entity))), "__scaffold", config.split_fracs, config.split_seed, row_id="__place").drop("__scaffold")
+    return canonical(out, config, F.col("__place")).drop("__place")
+
+
 def from_one_table(df: DataFrame, config: AuditConfig) -> DataFrame:
-    out = canonical(with_named_splits(df, config.split_col), config)
-    return required(out, ("train", "valid", "test"))
+    if config.split_col not in df.columns and config.split_method:
+        return required(split_by_method(df, config), ("train", "valid", "test"))
+    return required(canonical(with_named_splits(df, config.split_col), config), ("train", "valid", "test"))
 
 
 def from_tables(tables: Mapping[str, DataFrame], config: AuditConfig) -> DataFrame:
@@ -130,20 +147,26 @@ def load(spark: SparkSession, config: AuditConfig) -> DataFrame:
     return required(from_tables({s: read_table(spark, p) for s, p in (config.paths or {}).items()}, config))
 
 
+TDC_COLLECTIONS = ("ADME", "Tox", "HTS", "QM")
+
+
 def _tdc(spark: SparkSession, config: AuditConfig) -> dict[str, DataFrame]:
-    """Therapeutics catalogue: the first collection that has the name; needs its own package."""
+    """Therapeutics catalogue: the first collection that knows the name; needs its own package."""
     from importlib import import_module
 
     single = import_module("tdc.single_pred")
-    errors = []
-    for collection in ("ADME", "Tox", "HTS", "QM"):
+
+    def opened(collection: str):
         try:
-            data = getattr(single, collection)(name=config.name, path=config.info.get("data_path") or "data/tdc/")
-            parts = data.get_split(method=config.info.get("split") or "random", seed=config.seed)
-            return {s: spark.createDataFrame(parts[s]) for s in ("train", "valid", "test") if s in parts}
-        except Exception as e:  # the package raises what it likes for a name that it doesn't know
-            errors.append(f"{collection}: {e}")
-    raise ValueError(f"no catalogue has {config.name}: {'; '.join(errors)}")
+            return getattr(single, collection)(name=config.name, path=config.data_path)
+        except Exception:  # the package raises what it likes for a name that it doesn't know
+            return None
+
+    data = next((x for x in map(opened, TDC_COLLECTIONS) if x is not None), None)
+    if data is None:
+        raise ValueError(f"no collection of {', '.join(TDC_COLLECTIONS)} has {config.name}")
+    parts = data.get_split(**({"method": config.info["split"]} if config.info.get("split") else {}))
+    return {s: spark.createDataFrame(parts[s]) for s in ("train", "valid", "test")}
 
 
 def _polaris(spark: SparkSession, config: AuditConfig) -> dict[str, DataFrame]:
