@@ -14,13 +14,22 @@ meets no more. (A set with fewer than k + j partitions would break this; it is l
 partitioned anew under another seed until there is none.)
 
 The order puts projections of very frequent features last: a bounded list of the most frequent features
-of the corpus (``FREQUENT``), counted over all of it. It is an order only; no feature is dropped.
+of the corpus (``FREQUENT``), counted over all of it. It is an order only; no feature is dropped. The list also tells
+which signatures are hot: one that stands for features of more than ``HOT`` documents each is salted, so that its documents meet
+in groups of about ``HOT``, and the least documents of these groups in one more.
 
 Links: sets that are equal link by their fingerprint. Sets that meet in a signature are checked exactly
 against the group's least document, after sizes and bit sketches have dropped pairs that can't be similar, by
-a bound that holds for certain. Of families, documents connected by groups, those that span several
-components after that are compared by sketch, each pair once, in blocks of ``BLOCK`` members, and pairs that may
-be similar are checked. So no link between components is lost and no group is expanded into pairs.
+a bound that holds for certain. Families, documents connected by groups, that still span several components need a second
+look, since similarity is not transitive:
+
+* up to ``BLOCK`` members are compared by sketch, pairs of one component left out;
+* a larger family is joined once more by itself, under its own order of features, rarest in the family first. Of sets of sizes
+  a and b at least i = ceil(t * (a + b) / (1 + t)) features are shared, so the first shared one stands among the first
+  a - i + 1 of the one and b - i + 1 of the other. What all members share comes last, so members that are no links
+  have no such feature in common but by chance, and work follows features and links, not pairs of members.
+
+Pairs that may be similar are checked exactly. So no link between components is lost and no group is expanded into pairs.
 
 Defined results: a null text, or one without words, has an empty set and no link; fewer words than ``n``
 make one feature; rows of one id are one document, each with its own size; a row without id has no
@@ -47,7 +56,8 @@ FREQUENT = 1 << 16
 BANDS = [(14, None, 2), (64, None, 1), *((64 * 4**i, 64 * 4**i, 1) for i in range(1, 20))]
 SPARE = 10  # one signature more for each so many features
 _COUNT_AT = 2 << 20
-BLOCK = 2048  # members of a family that are compared at once
+BLOCK = 512  # members of a family that are compared at once
+HOT = 4096  # documents of a feature from which its signatures are salted
 _WORDS_AT = 1 << 22  # words of sketches
 
 
@@ -113,30 +123,39 @@ def sketch(features: np.ndarray) -> np.ndarray:
 
 
 def signatures(features: np.ndarray, frequent: np.ndarray, seed: int, percent: int) -> np.ndarray:
-    out = []
+    return counted_signatures(features, frequent, np.zeros(len(frequent), np.int64), seed, percent)[0]
+
+
+def counted_signatures(features: np.ndarray, frequent: np.ndarray, counts: np.ndarray, seed: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of a set, and of each the least count of documents of its features; 0 if one isn't listed."""
+    out, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     if not len(features):
-        return np.zeros(0, np.uint64)
+        return out[0], held[0]
     at = np.minimum(np.searchsorted(frequent, features), max(0, len(frequent) - 1))
     common = frequent[at] == features if len(frequent) else np.zeros(len(features), bool)
+    of = np.where(common, counts[at], 0) if len(frequent) else np.zeros(len(features), np.int64)
     for band in bands_of(len(features), percent):
         _, parts, subset = BANDS[band]
         starts, marks = projections(features, band, seed)
         if common.any():
             if parts is None:
-                last = common
+                last, n = common, of
             else:
                 ranked = dealt(features, seed, parts)[0]
-                last = np.logical_and.reduceat(common if ranked is None else common[ranked], starts)
-            marks = np.concatenate([np.sort(marks[~last]), np.sort(marks[last])])
+                last, n = (f.reduceat(x if ranked is None else x[ranked], starts) for f, x in ((np.logical_and, common), (np.minimum, of)))
+            order = np.lexsort((marks, last))[: prefix_length(len(features), band, percent)]
+            first, n = marks[order], n[order]
         else:
-            marks = np.sort(marks)
-        first = marks[: prefix_length(len(features), band, percent)]
+            first = np.sort(marks)[: prefix_length(len(features), band, percent)]
+            n = np.zeros(len(first), np.int64)
         if subset == 1:  # the lowest bit tells a set's two bands apart
             out.append(first & ~np.uint64(1) | np.uint64(band % 2))
+            held.append(n)
         elif len(first) >= subset:
             i, j = np.triu_indices(len(first), 1)
             out.append(mix(first[i] + first[j] + np.uint64(subset)) & ~np.uint64(1))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            held.append(np.minimum(n[i], n[j]))
+    return np.concatenate(out), np.concatenate(held)
 
 
 def _first_pass(n: int, percent: int, seed: int):
@@ -181,22 +200,33 @@ def _first_pass(n: int, percent: int, seed: int):
     return run
 
 
+SIGNED = "signature long, doc_id long, base long"
+
+
 def _second_pass(n: int, percent: int, seed: int, frequent):
+    """Signatures of the documents; of a hot one a salted value, which keeps the lowest bit, and ``base``, the signature itself."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, copies = frequent.value, set()
+        (last, counts), copies = frequent.value, set()
         for batch in batches:
             ids = column(batch, "doc_id").to_numpy()
             for s in scan(column(batch, "text"), WHITESPACE, LOWER):
-                found, rows = [], []
+                found, held, rows = [], [], []
                 for row, features in feature_sets(s, n):
                     mark = (len(features), int(np.add.reduce(features)), int(np.bitwise_xor.reduce(mix(features)))) if len(features) else None
                     if mark is None or mark in copies:
                         continue  # an equal set of this task has the signatures; equal sets link anyway
                     copies.add(mark)
-                    found.append(signatures(features, last, seed, percent))
+                    signed, of = counted_signatures(features, last, counts, seed, percent)
+                    found.append(signed)
+                    held.append(of)
                     rows.append(row)
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(ids[rows], [len(x) for x in found]))], names=["signature", "doc_id"])
+                    base, of, docs = np.concatenate(found), np.concatenate(held), np.repeat(ids[rows], [len(x) for x in found])
+                    hot = of > HOT
+                    salt = mix(docs.view(np.uint64) + np.uint64(99)) % (-(-of // HOT)).astype(np.uint64).clip(1)
+                    salted = np.where(hot, mix(base + mix(salt)) & ~np.uint64(1) | base & np.uint64(1), base)
+                    yield pa.RecordBatch.from_arrays([pa.array(salted.view(np.int64)), pa.array(docs), pa.array(base.view(np.int64), mask=~hot)], names=["signature", "doc_id", "base"])
 
     return run
 
@@ -240,17 +270,14 @@ def may_link(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return both.where((F.size("wide") > 2 * n) | (apart <= F.col("most"))).select("u", "v").distinct()
 
 
-def _near_in_block(percent: int):
-    """Pairs of different components whose sizes and sketches allow them to be similar, among the members of a
-    block or between two blocks of a family."""
+def _near_in_family(percent: int):
+    """Pairs of different components whose sizes and sketches allow them to be similar, among the members of a family."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids, component, size, own = (table[c].to_numpy() for c in ("doc_id", "component", "size", "own"))
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        ids, component, size = (table[c].to_numpy() for c in ("doc_id", "component", "size"))
         lists = table["bits"].chunk(0)
         words, flat, offsets = lists.value_lengths().to_numpy(), lists.values.to_numpy(), lists.offsets.to_numpy()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         out: list[tuple[np.ndarray, np.ndarray]] = []
         for width in np.unique(words).tolist():
             rows = {w: np.flatnonzero(words == w) for w in (width, 2 * width)}
@@ -267,14 +294,30 @@ def _near_in_block(percent: int):
                     x, y = np.nonzero(may)
                     out.append((part[x], other[y]))
         x, y = (np.concatenate(z) for z in zip(*out, strict=True))
-        across = (np.isin(x, left) & np.isin(y, right)) | (np.isin(y, left) & np.isin(x, right))
         u, v = np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y])
-        keep = across & (u != v)
-        return pa.table({"u": pa.array(u[keep]), "v": pa.array(v[keep])})
+        return pa.table({"u": pa.array(u[u != v]), "v": pa.array(v[u != v])})
 
     return run
 
 
+def _near_in_large(members: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The same for families of any size (``family``, ``doc_id``, ``component``), by a join on each family's rarest features."""
+    sets = docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id long, features array<long>")
+    each = saved(sets.join(members, "doc_id").select("family", "doc_id", "component", F.size("features").cast("long").alias("size"), F.explode("features").alias("feature")), "family-features")
+    release(docs.sparkSession)
+    counts = each.groupBy("family", "feature").agg(F.count(F.lit(1)).alias("df"))
+    rarest = Window.partitionBy("family", "doc_id", "size").orderBy("df", "feature")
+    ranked = each.join(counts, ["family", "feature"]).withColumn("rank", F.row_number().over(rarest))
+    prefix = saved(ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).drop("df"), "family-prefixes")
+    release(docs.sparkSession)
+    across = prefix.groupBy("family", "feature").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("family", "feature")
+    prefix = prefix.join(across, ["family", "feature"])
+    side = lambda c: prefix.select("family", "feature", F.col("doc_id").alias(c), F.col("component").alias(f"c{c}"), F.col("size").alias(f"s{c}"), F.col("rank").alias(f"r{c}"))
+    shared = F.ceil((F.col("su") + F.col("sv")) * percent / (100 + percent))
+    fits = (F.col("cu") != F.col("cv")) & (F.col("u") > F.col("v")) & (F.col("ru") <= F.col("su") - shared + 1) & (F.col("rv") <= F.col("sv") - shared + 1)
+    return side("u").join(side("v"), ["family", "feature"]).where(fits).select("u", "v").distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (``u``, ``v``) whose sets are similar enough, by exact intersection."""
     asked = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
@@ -300,44 +343,47 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sizes = first.where("kind = 'doc'").select("doc_id", "size", "a", "b")
     sketches = first.where("kind = 'doc' and doc_id is not null").select("doc_id", "size", "bits")
     listed = _most_frequent(first.where("kind = 'feature'").groupBy("doc_id").agg(F.sum("size").alias("n")).where("n >= 16"))
-    frequent = spark.sparkContext.broadcast(np.sort(np.array([r.doc_id for r in listed], np.int64).view(np.uint64)))
+    listed = sorted((r.doc_id % (1 << 64), r.n) for r in listed)
+    frequent = spark.sparkContext.broadcast((np.array([x for x, _ in listed], np.uint64), np.array([x for _, x in listed], np.int64)))
 
     alike = sizes.where("doc_id is not null and size > 0")
     least = saved(alike.groupBy("size", "a", "b").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("hi")).where("v < hi").drop("hi"), "least")
     copies = saved(alike.join(least, ["size", "a", "b"]).where("doc_id > v").select(F.col("doc_id").alias("u"), "v"), "copies")
 
-    signed = named.mapInArrow(_second_pass(n, percent, seed, frequent), "signature long, doc_id long")
-    group = Window.partitionBy("signature")
+    signed = named.mapInArrow(_second_pass(n, percent, seed, frequent), SIGNED)
+    group, hot = Window.partitionBy("signature"), F.col("base").isNotNull()
     shared = lambda df: df.withColumn("v", F.min("doc_id").over(group)).withColumn("hi", F.max("doc_id").over(group))
-    met = shared(signed).withColumn("n", F.count(F.lit(1)).over(group)).where("v < hi").select("signature", "doc_id", "n")
-    # similar sets share more signatures than one, so each does without those of its largest groups
+    met = shared(signed).withColumn("n", F.count(F.lit(1)).over(group)).where(hot | F.expr("v < hi")).select("signature", "doc_id", "base", "n")
+    # similar sets share more signatures than one, so each does without those of its largest groups: hot ones first, in an
+    # order that is one for all that share a signature, salted or not
     own = sketches.groupBy("doc_id").agg(F.min("size").alias("size"))
     band = F.pmod("signature", F.lit(2))
     spare = F.when((F.col("size") <= BANDS[0][0]) & (band == 0), 0).otherwise(F.floor(F.ceil(F.col("size") * percent / 100) / SPARE))
-    by_size = Window.partitionBy("doc_id", "band").orderBy(F.desc("n"), "signature")
-    met = met.join(own, "doc_id").withColumn("band", band).withColumn("spare", spare).withColumn("rank", F.row_number().over(by_size)).where("rank > spare").select("signature", "doc_id")
-    # signatures of the very same documents are one group
-    met = shared(met).withColumn("members", F.bit_xor(F.xxhash64("doc_id")).over(group)).where("v < hi").select("members", "doc_id", "v").distinct()
-    met = saved(met, "met")
+    by_size = Window.partitionBy("doc_id", "band").orderBy(F.desc(hot), F.desc(F.when(~hot, F.col("n"))), F.coalesce("base", "signature"))
+    met = met.join(own, "doc_id").withColumn("band", band).withColumn("spare", spare).withColumn("rank", F.row_number().over(by_size)).where("rank > spare").select("signature", "doc_id", "base")
+    # signatures of the very same documents are one group; salted groups of one signature meet by their least documents
+    met = shared(met).withColumn("members", F.bit_xor(F.xxhash64("doc_id")).over(group)).where(hot | F.expr("v < hi"))
+    met = saved(met.groupBy("members", "doc_id", "v", "base").agg(F.lit(1).alias("one")).drop("one"), "met")
     release(spark)
-    tried = saved(met.where("doc_id != v").select(F.col("doc_id").alias("u"), "v").distinct(), "tried")
+    salted = met.where(hot).select("base", F.col("v").alias("u")).distinct()
+    heads = salted.join(salted.groupBy("base").agg(F.min("u").alias("v")), "base").select("u", "v")
+    tried = saved(met.select(F.col("doc_id").alias("u"), "v").unionByName(heads).where("u != v").distinct(), "tried")
     likely = saved(may_link(tried.join(copies, ["u", "v"], "left_anti"), sketches, percent), "likely")
     links = saved(copies.unionByName(verified(likely, named, n, percent)), "links")
     release(spark)
     reached = components(links)
 
-    # families, documents that groups connect, and that still span several components: sketches of their members
-    # against each other, in blocks
+    # families, documents that groups connect, that still span several components
     family = components(tried).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "family")
-    placed = met.select("doc_id").distinct().join(family, "doc_id", "left").join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = tried.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct().join(family, "doc_id", "left").join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = saved(placed.select("doc_id", F.coalesce("family", "doc_id").alias("family"), F.coalesce("component", "doc_id").alias("component")), "placed")
-    spanning = placed.groupBy("family").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b and n > 2")
-    blocks = spanning.select("family", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    open_ = placed.join(saved(blocks, "spanning"), "family").join(sketches, "doc_id")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    open_ = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_ = open_.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "size", "bits")
-    near = open_.groupBy("family", "i", "j").applyInArrow(_near_in_block(percent), "u long, v long").distinct()
+    spanning = saved(placed.groupBy("family").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b and n > 2").select("family", "n"), "spanning")
+    open_ = placed.join(spanning, "family")
+    small = open_.where(F.col("n") <= BLOCK).join(sketches, "doc_id").select("family", "doc_id", "component", "size", "bits")
+    near = small.groupBy("family").applyInArrow(_near_in_family(percent), "u long, v long").distinct()
+    if spanning.where(F.col("n") > BLOCK).head(1):
+        large = open_.where(F.col("n") > BLOCK).select("family", "doc_id", "component")
+        near = near.unionByName(may_link(_near_in_large(large, named, n, percent), sketches, percent))
     rest = saved(near.join(tried, ["u", "v"], "left_anti"), "rest")
     release(spark)
     if rest.head(1):

@@ -40,13 +40,68 @@ def test_components_equal_brute_force(spark, seed):
     assert sum(c != i for i, (_, c) in want.items()) > 5
 
 
-def test_small_blocks_and_frequent_features_change_nothing(spark, monkeypatch):
-    monkeypatch.setattr(partenum, "BLOCK", 3)
-    rows = near_copies(11, groups=2, copies=25, n=40)
+@pytest.mark.parametrize("block", [3, 512])
+@pytest.mark.parametrize("seed", [11, 12])
+def test_small_blocks_and_hot_signatures_change_nothing(spark, monkeypatch, block, seed):
+    monkeypatch.setattr(partenum, "BLOCK", block)
+    rows = near_copies(seed, groups=3, copies=25, n=40)
     got = {r.doc_id: r.component_id for r in partenum.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: c for i, (_, c) in brute(rows).items()}
 
 
+def test_listed_features_come_last_with_their_counts():
+    r = np.random.default_rng(6)
+    features = np.unique(r.integers(0, 1 << 63, 40).astype(np.uint64))
+    listed = features[8:]
+    signed, n = partenum.counted_signatures(features, listed, np.full(len(listed), 9000), 0, 75)
+    assert n.tolist() == [0] * 8 + [9000] * (len(n) - 8) and (partenum.signatures(features, listed, 0, 75) == signed).all()
+
+
+def test_large_families_of_no_links(spark, monkeypatch):
+    """A common part and a part of one's own: many that are no links, a few that are."""
+    import random
+
+    monkeypatch.setattr(partenum, "BLOCK", 16)
+    monkeypatch.setattr(partenum, "HOT", 20)
+    r = random.Random(4)
+    common = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join(common + [f"own{i}x{k}" for k in range(24)])) for i in range(150)]
+    for i in range(150, 170):
+        text = rows[r.randrange(150)][1].split()
+        for _ in range(r.randint(1, 2)):
+            text[r.randrange(len(text))] = f"new{r.randint(0, 99)}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows)
+    assert 140 < len({c for _, c in want.values()}) < 170
+    monkeypatch.setattr(partenum, "_second_pass", _with(partenum._second_pass, "HOT", 20))
+    joined, large = [], partenum._near_in_large
+    monkeypatch.setattr(partenum, "_near_in_large", lambda members, *rest: joined.append(members.count()) or large(members, *rest))
+    assert {x.doc_id: x.component_id for x in partenum.similar_components(docs).collect()} == {i: c for i, (_, c) in want.items()}
+    assert joined and joined[0] > 100
+
+
+def _with(make, name, value):
+    """``make``, whose functions set a module's value where they run: workers don't see what a test patches."""
+
+    def made(*args):
+        run = make(*args)
+
+        def patched(batches):
+            from splitlens.llm import partenum as there
+
+            before = getattr(there, name)
+            setattr(there, name, value)
+            try:
+                yield from run(batches)
+            finally:
+                setattr(there, name, before)
+
+        return patched
+
+    return made
+
+
 def test_similar_sets_share_a_signature():
     r = np.random.default_rng(5)
     for _ in range(400):
