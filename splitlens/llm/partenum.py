@@ -46,6 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from splitlens.llm.bloom_cascade import build_level
 from splitlens.llm.common import chosen, column, flat, place, release, saved
 from splitlens.llm.components import components
 from splitlens.llm.textscan import LOWER, WHITESPACE, Slice, Spans, mix, scan, windows
@@ -56,7 +57,8 @@ FREQUENT = 1 << 16
 BANDS = [(14, None, 2), (64, None, 1), *((64 * 4**i, 64 * 4**i, 1) for i in range(1, 20))]
 SPARE = 10  # one signature more for each so many features
 _COUNT_AT = 2 << 20
-BLOCK = 512  # members of a family that are compared at once
+BLOCK = 2048  # members of a family that are compared at once
+MOST_ASKED = 8 << 20  # ids of one Bloom filter, a byte each
 HOT = 4096  # documents of a feature from which its signatures are salted
 _WORDS_AT = 1 << 22  # words of sketches
 
@@ -258,7 +260,8 @@ def _most_frequent(counts: DataFrame) -> list:
 def may_link(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes and sketches allow them to be similar: similar sets of sizes a and b differ in
     (a + b) * (1 - t) / (1 + t) features at most."""
-    side = lambda c: sketches.select(F.col("doc_id").alias(c), F.col("size").alias(f"s{c}"), F.col("bits").alias(f"b{c}"))
+    own = saved(_only(sketches, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()), "asked-sketches")
+    side = lambda c: own.select(F.col("doc_id").alias(c), F.col("size").alias(f"s{c}"), F.col("bits").alias(f"b{c}"))
     both = pairs.join(side("v"), "v").where("sv > 0").join(side("u"), "u").where(f"100 * least(su, sv) >= {percent} * greatest(su, sv)")
     most = (F.col("su") + F.col("sv")) * (100 - percent) / (100 + percent)
     swap = F.size("bu") < F.size("bv")
@@ -301,14 +304,19 @@ def _near_in_family(percent: int):
 
 
 def _near_in_large(members: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The same for families of any size (``family``, ``doc_id``, ``component``), by a join on each family's rarest features."""
-    sets = docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id long, features array<long>")
-    each = saved(sets.join(members, "doc_id").select("family", "doc_id", "component", F.size("features").cast("long").alias("size"), F.explode("features").alias("feature")), "family-features")
+    """The same for families of any size (``family``, ``doc_id``, ``component``), by a join on each family's rarest features.
+    What is shuffled for each feature is no more than its family and document; the rest joins those that are left."""
+    sets = _only(docs, members.select("doc_id").distinct()).mapInArrow(_sets(n), "doc_id long, features array<long>")
+    sets = saved(sets.dropDuplicates(["doc_id"]).join(members, "doc_id").select("family", "doc_id", "component", "features"), "family-sets")
     release(docs.sparkSession)
-    counts = each.groupBy("family", "feature").agg(F.count(F.lit(1)).alias("df"))
-    rarest = Window.partitionBy("family", "doc_id", "size").orderBy("df", "feature")
-    ranked = each.join(counts, ["family", "feature"]).withColumn("rank", F.row_number().over(rarest))
-    prefix = saved(ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).drop("df"), "family-prefixes")
+    each = sets.select("family", "doc_id", F.explode("features").alias("feature"))
+    counts = each.groupBy("family", "feature").agg(F.count(F.lit(1)).alias("df")).where("df > 1")  # a feature of one document joins none
+    rarest = Window.partitionBy("doc_id").orderBy("df", "feature")
+    # features of one document only come first: how many they are is known from the size
+    ranked = each.join(counts, ["family", "feature"]).withColumn("back", F.count(F.lit(1)).over(Window.partitionBy("doc_id")) - F.row_number().over(rarest))
+    ranked = ranked.select("family", "feature", "doc_id", "back").join(sets.select("doc_id", "component", F.size("features").alias("size")), "doc_id")
+    ranked = ranked.select("family", "feature", "doc_id", "component", "size", (F.col("size") - F.col("back")).alias("rank"))
+    prefix = saved(ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1), "family-prefixes")
     release(docs.sparkSession)
     across = prefix.groupBy("family", "feature").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("family", "feature")
     prefix = prefix.join(across, ["family", "feature"])
@@ -318,10 +326,20 @@ def _near_in_large(members: DataFrame, docs: DataFrame, n: int, percent: int) ->
     return side("u").join(side("v"), ["family", "feature"]).where(fits).select("u", "v").distinct()
 
 
+def _only(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """The documents whose ids are asked for. A bounded Bloom filter of the ids, looked up before the shuffle, lets few other
+    texts into it; of more ids than ``MOST_ASKED`` there is no filter, and all texts are shuffled."""
+    asked = saved(asked, "asked")
+    n = asked.count()
+    if MOST_ASKED // 1000 < n <= MOST_ASKED:  # fewer are broadcast anyway
+        docs = docs.where(build_level(asked.select(F.col("doc_id").alias("key")), n, 0, 7).passes(F.col("doc_id")))
+    return docs.join(asked, "doc_id", "left_semi")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (``u``, ``v``) whose sets are similar enough, by exact intersection."""
     asked = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = saved(docs.join(asked, "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id long, features array<long>"), "sets")
+    sets = saved(_only(docs, asked).mapInArrow(_sets(n), "doc_id long, features array<long>"), "sets")
     release(docs.sparkSession)
     one = pairs.join(sets.select(F.col("doc_id").alias("v"), F.col("features").alias("fv")), "v")
     both = one.join(sets.select(F.col("doc_id").alias("u"), F.col("features").alias("fu")), "u")
@@ -368,7 +386,7 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     salted = met.where(hot).select("base", F.col("v").alias("u")).distinct()
     heads = salted.join(salted.groupBy("base").agg(F.min("u").alias("v")), "base").select("u", "v")
     tried = saved(met.select(F.col("doc_id").alias("u"), "v").unionByName(heads).where("u != v").distinct(), "tried")
-    likely = saved(may_link(tried.join(copies, ["u", "v"], "left_anti"), sketches, percent), "likely")
+    likely = saved(may_link(saved(tried.join(copies, ["u", "v"], "left_anti"), "untried"), sketches, percent), "likely")
     links = saved(copies.unionByName(verified(likely, named, n, percent)), "links")
     release(spark)
     reached = components(links)
@@ -379,11 +397,12 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     placed = saved(placed.select("doc_id", F.coalesce("family", "doc_id").alias("family"), F.coalesce("component", "doc_id").alias("component")), "placed")
     spanning = saved(placed.groupBy("family").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b and n > 2").select("family", "n"), "spanning")
     open_ = placed.join(spanning, "family")
-    small = open_.where(F.col("n") <= BLOCK).join(sketches, "doc_id").select("family", "doc_id", "component", "size", "bits")
+    small = open_.where(F.col("n") <= BLOCK)
+    small = small.join(_only(sketches, small.select("doc_id").distinct()), "doc_id").select("family", "doc_id", "component", "size", "bits")
     near = small.groupBy("family").applyInArrow(_near_in_family(percent), "u long, v long").distinct()
     if spanning.where(F.col("n") > BLOCK).head(1):
         large = open_.where(F.col("n") > BLOCK).select("family", "doc_id", "component")
-        near = near.unionByName(may_link(_near_in_large(large, named, n, percent), sketches, percent))
+        near = near.unionByName(may_link(saved(_near_in_large(large, named, n, percent), "near-in-large"), sketches, percent))
     rest = saved(near.join(tried, ["u", "v"], "left_anti"), "rest")
     release(spark)
     if rest.head(1):

@@ -49,6 +49,14 @@ def test_small_blocks_and_hot_signatures_change_nothing(spark, monkeypatch, bloc
     assert got == {i: c for i, (_, c) in brute(rows).items()}
 
 
+def test_asked_documents_by_filter_or_without(spark, monkeypatch):
+    docs = spark.range(5000).selectExpr("id as doc_id", "string(id) as text")
+    asked = spark.range(0, 9000, 7).selectExpr("id as doc_id")
+    for most in (100, 1 << 20, 100_000):
+        monkeypatch.setattr(partenum, "MOST_ASKED", most)
+        assert sorted(r.doc_id for r in partenum._only(docs, asked).collect()) == list(range(0, 5000, 7))
+
+
 def test_listed_features_come_last_with_their_counts():
     r = np.random.default_rng(6)
     features = np.unique(r.integers(0, 1 << 63, 40).astype(np.uint64))
