@@ -311,6 +311,7 @@ def _near_in_large(members: DataFrame, docs: DataFrame, n: int, percent: int) ->
     release(docs.sparkSession)
     each = sets.select("family", "doc_id", F.explode("features").alias("feature"))
     counts = each.groupBy("family", "feature").agg(F.count(F.lit(1)).alias("df")).where("df > 1")  # a feature of one document joins none
+    counts = saved(counts, "family-counts")  # read again, a join of it can be split where a feature is hot
     rarest = Window.partitionBy("doc_id").orderBy("df", "feature")
     # features of one document only come first: how many they are is known from the size
     ranked = each.join(counts, ["family", "feature"]).withColumn("back", F.count(F.lit(1)).over(Window.partitionBy("doc_id")) - F.row_number().over(rarest))
@@ -319,7 +320,7 @@ def _near_in_large(members: DataFrame, docs: DataFrame, n: int, percent: int) ->
     prefix = saved(ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1), "family-prefixes")
     release(docs.sparkSession)
     across = prefix.groupBy("family", "feature").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("family", "feature")
-    prefix = prefix.join(across, ["family", "feature"])
+    prefix = saved(prefix.join(saved(across, "family-across"), ["family", "feature"]), "family-meeting")
     side = lambda c: prefix.select("family", "feature", F.col("doc_id").alias(c), F.col("component").alias(f"c{c}"), F.col("size").alias(f"s{c}"), F.col("rank").alias(f"r{c}"))
     shared = F.ceil((F.col("su") + F.col("sv")) * percent / (100 + percent))
     fits = (F.col("cu") != F.col("cv")) & (F.col("u") > F.col("v")) & (F.col("ru") <= F.col("su") - shared + 1) & (F.col("rv") <= F.col("sv") - shared + 1)
