@@ -44,23 +44,34 @@ UNKNOWN = "und"
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "uk": "en", "us": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl"}
 
 
+def _grams(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the trigrams that lie between two ``cuts``, and where those of each such part begin and end."""
+    own = LOWER[data].astype(np.uint32)
+    gram = own[:-2] | own[1:-1] << np.uint32(8) | own[2:] << np.uint32(16) if len(own) > 2 else own[:0]
+    inside = np.ones(len(gram), bool)
+    for back in (1, 2):  # trigrams that reach over the end of a text
+        at = cuts - back
+        inside[at[(at >= 0) & (at < len(gram))]] = False
+    digit = (own >= 0x30) & (own <= 0x39)
+    inside &= ~(digit[: len(gram)] | digit[1 : len(gram) + 1] | digit[2 : len(gram) + 2])
+    before = np.concatenate([[0], np.cumsum(inside)])
+    return (mix(gram[inside].astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64), before[np.minimum(cuts, len(gram))]
+
+
 def trigrams(texts: pa.Array, slice_bytes: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """First row, buckets of all trigrams, and where each row's begin and end."""
+    """First row, buckets of all trigrams, and where each row's begin and end. A text over a slice's size comes in
+    pieces, each for its row, so memory does not follow the longest text."""
     offsets, data = text_buffers(texts)
     row, n = 0, len(offsets) - 1
     while row < n:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + slice_bytes, "right")) - 1)
-        cuts = offsets[row : end + 1] - offsets[row]
-        own = LOWER[data[offsets[row] : offsets[end]]].astype(np.uint64)
-        gram = own[:-2] | own[1:-1] << np.uint64(8) | own[2:] << np.uint64(16) if len(own) > 2 else own[:0]
-        inside = np.ones(len(gram), bool)
-        for back in (1, 2):  # trigrams that reach over the end of a text
-            at = cuts - back
-            inside[at[(at >= 0) & (at < len(gram))]] = False
-        digit = (own >= 0x30) & (own <= 0x39)
-        inside &= ~(digit[: len(gram)] | digit[1 : len(gram) + 1] | digit[2 : len(gram) + 2])
-        before = np.concatenate([[0], np.cumsum(inside)])
-        yield row, (mix(gram[inside]) % np.uint64(BUCKETS)).astype(np.int64), before[np.minimum(cuts, len(gram))]
+        first, last = int(offsets[row]), int(offsets[end])
+        if end == row + 1:
+            for at in range(first, max(last, first + 1), slice_bytes):  # a piece has two bytes of the next
+                piece = data[at : min(last, at + slice_bytes + 2)]
+                yield row, *_grams(piece, np.array([0, len(piece)]))
+        else:
+            yield row, *_grams(data[first:last], offsets[row : end + 1] - first)
         row = end
 
 
@@ -74,7 +85,7 @@ class Model:
         for row, buckets, bounds in trigrams(texts):
             full = np.flatnonzero(np.diff(bounds))
             if len(full):
-                out[row + full] = np.add.reduceat(self.weights[buckets], bounds[full], axis=0, dtype=np.float64)
+                out[row + full] += np.add.reduceat(self.weights[buckets], bounds[full], axis=0, dtype=np.float64)
         return out
 
 

@@ -43,3 +43,21 @@ def test_sample_of_a_label_is_bounded_and_spares_short_texts(spark, docs):
     assert "qq" in model.languages
     found = {r.doc_id: r.language for r in language_id.judged(odd, model, declared=F.col("lang"), host=F.col("source")).collect()}
     assert found == {1: "qq", 2: "und"}
+
+
+def test_trigrams_of_long_texts_come_in_pieces():
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(3)
+    texts = pa.array([text(r, "xx", 3), "", None, text(r, "zz", 500), "a", text(r, "yy", 90) + " 12 " + text(r, "yy", 90)])
+    for size in (1, 7, 64, 1 << 18):
+        found = np.zeros((len(texts), language_id.BUCKETS), int)
+        for row, buckets, bounds in language_id.trigrams(texts, size):
+            for i in range(len(bounds) - 1):
+                found[row + i] += np.bincount(buckets[bounds[i] : bounds[i + 1]], minlength=language_id.BUCKETS)
+        for i, t in enumerate(texts.to_pylist()):
+            raw = (t or "").encode()
+            grams = [raw[k : k + 3] for k in range(len(raw) - 2) if not any(0x30 <= c <= 0x39 for c in raw[k : k + 3])]
+            want = language_id.mix(np.array([int.from_bytes(g, "little") for g in grams], np.uint64)) % np.uint64(language_id.BUCKETS)
+            assert (np.bincount(want.astype(int), minlength=language_id.BUCKETS) == found[i]).all()
