@@ -1,8 +1,13 @@
 """Global alignment of target sequences, and each sequence's best reference.
 
-The kernel is an affine-gap global alignment, a row of the matrix at a time. The substitution scores are a parameter
-(``Scoring``); the default is made by a rule, not a published table, so scores are comparable within one scoring only.
-Pairs are aligned in their sorted order, so that both sides score alike.
+The kernel is an affine-gap global alignment, a row of the matrix at a time. It keeps a row for each square root of their number
+and makes the rows between anew on the way back, so two sequences of 35,000 residues take some 300 MB. The substitution
+scores are a parameter (``Scoring``); the default is the published BLOSUM62 matrix, a gap's first place costs 12, each further
+one 2. Pairs are aligned in their sorted order, so that both sides
+score alike.
+
+Identity is at most the shorter length by the longer. References are tried from the nearest length on, and those whose bound
+is below the best identity so far aren't aligned.
 """
 
 from __future__ import annotations
@@ -20,26 +25,54 @@ CLOSE = 99.99  # identity per cent that ends a search
 BLOCK_BYTES = 16 << 20
 RESULT = "score double, identity_pct double, similarity_pct double, length int, n_gaps int, gaps_pct double, aligned_a string, aligned_b string"
 
-#: Residues that replace each other easily; letters of one group are similar.
-GROUPS = ("AGST", "DENQ", "HKR", "ILMV", "FWY", "C", "P")
+#: The BLOSUM62 substitution matrix (Henikoff and Henikoff, 1992), rows and columns in this order.
+BLOSUM62_LETTERS = "ARNDCQEGHILKMFPSTWYVBZX*"
+BLOSUM62 = """
+ 4 -1 -2 -2  0 -1 -1  0 -2 -1 -1 -1 -1 -2 -1  1  0 -3 -2  0 -2 -1  0 -4
+-1  5  0 -2 -3  1  0 -2  0 -3 -2  2 -1 -3 -2 -1 -1 -3 -2 -3 -1  0 -1 -4
+-2  0  6  1 -3  0  0  0  1 -3 -3  0 -2 -3 -2  1  0 -4 -2 -3  3  0 -1 -4
+-2 -2  1  6 -3  0  2 -1 -1 -3 -4 -1 -3 -3 -1  0 -1 -4 -3 -3  4  1 -1 -4
+ 0 -3 -3 -3  9 -3 -4 -3 -3 -1 -1 -3 -1 -2 -3 -1 -1 -2 -2 -1 -3 -3 -2 -4
+-1  1  0  0 -3  5  2 -2  0 -3 -2  1  0 -3 -1  0 -1 -2 -1 -2  0  3 -1 -4
+-1  0  0  2 -4  2  5 -2  0 -3 -3  1 -2 -3 -1  0 -1 -3 -2 -2  1  4 -1 -4
+ 0 -2  0 -1 -3 -2 -2  6 -2 -4 -4 -2 -3 -3 -2  0 -2 -2 -3 -3 -1 -2 -1 -4
+-2  0  1 -1 -3  0  0 -2  8 -3 -3 -1 -2 -1 -2 -1 -2 -2  2 -3  0  0 -1 -4
+-1 -3 -3 -3 -1 -3 -3 -4 -3  4  2 -3  1  0 -3 -2 -1 -3 -1  3 -3 -3 -1 -4
+-1 -2 -3 -4 -1 -2 -3 -4 -3  2  4 -2  2  0 -3 -2 -1 -2 -1  1 -4 -3 -1 -4
+-1  2  0 -1 -3  1  1 -2 -1 -3 -2  5 -1 -3 -1  0 -1 -3 -2 -2  0  1 -1 -4
+-1 -1 -2 -3 -1  0 -2 -3 -2  1  2 -1  5  0 -2 -1 -1 -1 -1  1 -3 -1 -1 -4
+-2 -3 -3 -3 -2 -3 -3 -3 -1  0  0 -3  0  6 -4 -2 -2  1  3 -1 -3 -3 -1 -4
+-1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4  7 -1 -1 -4 -3 -2 -2 -1 -2 -4
+ 1 -1  1  0 -1  0  0  0 -1 -2 -2  0 -1 -2 -1  4  1 -3 -2 -2  0  0  0 -4
+ 0 -1  0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1  1  5 -2 -2  0 -1 -1  0 -4
+-3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1  1 -4 -3 -2 11  2 -3 -4 -3 -2 -4
+-2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7 -1 -3 -2 -1 -4
+ 0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -1  4 -3 -2 -1 -4
+-2 -1  3  4 -3  0  1 -1  0 -3 -4  0 -3 -3 -2  0 -1 -4 -3 -3  4  1 -1 -4
+-1  0  0  1 -3  3  4 -2  0 -3 -3  1 -1 -3 -1  0 -1 -3 -2 -2  1  4 -1 -4
+ 0 -1 -1 -1 -2 -1 -1 -1 -1 -1 -1 -1 -1 -1 -2  0  0 -2 -1 -1 -1 -1 -1 -4
+-4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4  1
+"""
+
+
+def blosum62() -> dict[tuple[str, str], float]:
+    rows = [line.split() for line in BLOSUM62.strip().splitlines()]
+    return {(a, b): float(x) for a, row in zip(BLOSUM62_LETTERS, rows, strict=True) for b, x in zip(BLOSUM62_LETTERS, row, strict=True)}
 
 
 @dataclass(frozen=True)
 class Scoring:
-    same: float = 5.0
-    similar: float = 1.0
-    other: float = -2.0
+    """Scores of pairs of residues; of residues that aren't listed, ``same`` or ``other``."""
+
+    pairs: Mapping[tuple[str, str], float] = field(default_factory=blosum62)
+    same: float = 1.0
+    other: float = -4.0
     gap_open: float = 12.0
     gap_extend: float = 2.0
-    pairs: Mapping[tuple[str, str], float] = field(default_factory=dict)  # overrides, either order
 
     def score(self, a: str, b: str) -> float:
         given = self.pairs.get((a, b), self.pairs.get((b, a)))
-        if given is not None:
-            return given
-        if a == b:
-            return self.same
-        return self.similar if any(a in g and b in g for g in GROUPS) else self.other
+        return given if given is not None else self.same if a == b else self.other
 
 
 def align(a: str, b: str, scoring: Scoring = Scoring()) -> tuple:
@@ -51,36 +84,60 @@ def align(a: str, b: str, scoring: Scoring = Scoring()) -> tuple:
     table = np.array([[scoring.score(x, y) for y in letters] for x in letters])
     ia, ib = (np.array([letters.index(c) for c in s]) for s in (a, b))
     n, m, first, more = len(a), len(b), scoring.gap_open, scoring.gap_extend
-    low = -1e18
-    best = np.full((n + 1, m + 1), low)
-    down, right = np.full((n + 1, m + 1), low), np.full((n + 1, m + 1), low)
-    best[0, 0] = 0
-    steps = np.arange(m + 1)
-    right[0, 1:] = best[0, 1:] = -(first + more * (steps[1:] - 1))
-    for i in range(1, n + 1):
-        down[i] = np.maximum(best[i - 1] - first, down[i - 1] - more)
-        row = down[i].copy()
-        row[1:] = np.maximum(row[1:], best[i - 1, :-1] + table[ia[i - 1], ib])
+    low, places = -1e18, np.arange(m + 1)
+
+    def following(best: np.ndarray, down: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row i from the one before: best scores, of those that end in a gap of ``b``, and in a gap of ``a``."""
+        down = np.maximum(best - first, down - more)
+        row = down.copy()
+        row[1:] = np.maximum(row[1:], best[:-1] + table[ia[i - 1], ib])
         # gaps to the right within the row: the best start so far, its cost rising by a step each place
-        start = np.maximum.accumulate(row + more * steps)
-        right[i, 1:] = start[:-1] - first - more * (steps[1:] - 1)
-        best[i] = np.maximum(row, right[i])
+        start = np.maximum.accumulate(row + more * places)
+        right = np.full(m + 1, low)
+        right[1:] = start[:-1] - first - more * (places[1:] - 1)
+        return np.maximum(row, right), down, right
+
+    top, step = -(first + more * (places - 1)), max(1, math.isqrt(n))
+    top[0] = 0
+    best, down = top, np.full(m + 1, low)
+    kept = {0: (best, down)}
+    for i in range(1, n + 1):
+        best, down, _ = following(best, down, i)
+        if i % step == 0:
+            kept[i] = best, down
+    score = float(best[m])
+
+    def between(lo: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows from a kept one to the next."""
+        edge = np.full(m + 1, low)
+        edge[1:] = top[1:]
+        rows = [(*kept[lo], edge)]
+        for i in range(lo + 1, min(n, lo + step) + 1):
+            rows.append(following(rows[-1][0], rows[-1][1], i))
+        return tuple(np.stack(x) for x in zip(*rows, strict=True))
+
     out_a, out_b, i, j, state = [], [], n, m, "best"
+    lo = (n - 1) // step * step
+    rows, downs, rights = between(lo)
     while i or j:
+        if i == lo and lo:
+            lo -= step
+            rows, downs, rights = between(lo)
+        k = i - lo
         if state == "best":
-            if i and j and best[i, j] == best[i - 1, j - 1] + table[ia[i - 1], ib[j - 1]]:
+            if i and j and rows[k, j] == rows[k - 1, j - 1] + table[ia[i - 1], ib[j - 1]]:
                 out_a.append(a[i - 1])
                 out_b.append(b[j - 1])
                 i, j = i - 1, j - 1
                 continue
-            state = "down" if i and best[i, j] == down[i, j] else "right"
+            state = "down" if i and rows[k, j] == downs[k, j] else "right"
         if state == "down":
-            state = "best" if down[i, j] == best[i - 1, j] - first else "down"
+            state = "best" if downs[k, j] == rows[k - 1, j] - first else "down"
             out_a.append(a[i - 1])
             out_b.append("-")
             i -= 1
         else:
-            state = "best" if j == 0 or right[i, j] == best[i, j - 1] - first or (i == 0 and j == 1) else "right"
+            state = "best" if j == 0 or rights[k, j] == rows[k, j - 1] - first or (i == 0 and j == 1) else "right"
             out_a.append("-")
             out_b.append(b[j - 1])
             j -= 1
@@ -88,7 +145,7 @@ def align(a: str, b: str, scoring: Scoring = Scoring()) -> tuple:
     same = sum(p == q for p, q in zip(x, y, strict=True))
     like = sum(p != "-" and q != "-" and scoring.score(p, q) > 0 for p, q in zip(x, y, strict=True))
     gaps = x.count("-") + y.count("-")
-    return (float(best[n, m]), 100 * same / len(x), 100 * like / len(x), len(x), gaps, 100 * gaps / len(x), x, y)
+    return (score, 100 * same / len(x), 100 * like / len(x), len(x), gaps, 100 * gaps / len(x), x, y)
 
 
 def aligner(scoring: Scoring = Scoring()):
@@ -115,20 +172,27 @@ def best_alignments(alignments: DataFrame) -> DataFrame:
     return alignments.groupBy("query").agg(F.min_by(row, key).alias("r")).select("r.*")
 
 
-def _search(query: str, references: list[str], known: set[str], scoring: Scoring) -> tuple[str, tuple] | None:
-    """Best of the sorted ``references``. Identity is at most the shorter length by the longer, so a query that is a
-    reference itself needs only earlier ones of nearly its length that could be as good as equal."""
-    if query in known:
-        references = [r for r in references if r < query and 100 * min(len(r), len(query)) >= CLOSE * max(len(r), len(query)) and len(query) * (100 - CLOSE) >= 100 - 1e-6]
-        references.append(query)
-    best = None
-    for r in references:
-        a, b = min(query, r), max(query, r)  # one order for a pair, so that it scores alike from both sides
-        done = align(a, b, scoring)
-        if best is None or done[1] >= CLOSE or (done[1], done[0]) > (best[1][1], best[1][0]):
-            best = (r, done)
-        if done[1] >= CLOSE:
+def most_identical(a: str, b: str) -> float:
+    """Identity in per cent that two sequences can have at most."""
+    if a == b:
+        return 100.0
+    return 100 * min(len(a), len(b) - (len(a) == len(b))) / max(len(a), len(b), 1)
+
+
+def _search(query: str, references: list[str], scoring: Scoring) -> tuple[str, tuple] | None:
+    """Best of the sorted ``references`` by ``best_key``: those that may be as good as equal in their order, up to the first
+    that is, and then the others, the most promising first, until none can reach the best identity."""
+    bound = {r: most_identical(query, r) for r in references}
+    close = [r for r in references if bound[r] >= CLOSE]
+    best: tuple[str, tuple] | None = None
+    for r in [*close, *sorted((r for r in references if bound[r] < CLOSE), key=lambda r: (-bound[r], r))]:
+        if best is not None and bound[r] < best[1][1]:
             break
+        done = align(min(query, r), max(query, r), scoring)  # one order for a pair, so that it scores alike from both sides
+        if done[1] >= CLOSE:
+            return r, done
+        if best is None or (-done[1], -done[0], r) < (-best[1][1], -best[1][0], best[0]):
+            best = r, done
     return best
 
 
@@ -145,11 +209,10 @@ def nearest_sequences(queries: DataFrame, references: DataFrame, scoring: Scorin
         shared = spark.sparkContext.broadcast(sorted(x.seq for x in own.collect()))  # about block_bytes
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            known = set(shared.value)
             for batch in batches:
                 rows = []
                 for query in batch["seq"]:
-                    best = _search(query, shared.value, known, scoring)
+                    best = _search(query, shared.value, scoring)
                     if best is not None:
                         rows.append((query, best[0], best[1][0], best[1][1], best[1][2], best[1][3], best[1][5]))
                 yield pd.DataFrame(rows, columns=["query", "reference", "score", "identity_pct", "similarity_pct", "length", "gaps_pct"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark import StorageLevel
@@ -112,14 +113,22 @@ def audit_targets(records: DataFrame, config: AuditConfig, registry: DataFrame |
     extra = targets.cross_split_pair_rows(records).unionByName(targets.multi_entity_target_rows(records))
     result.conflicts = result.conflicts.unionByName(extra)
     if scoring is not None:
-        seqs = lambda *s: records.where(F.col("split").isin(*s)).select(F.col("target_seq").alias("seq"))
-        done, named = None, {}
+        seqs = lambda s: records.where(F.col("split") == s).select(F.col("target_seq").alias("seq"))
+        done, named, bests = None, {}, {}
+
+        def best_of(query: str, reference: str) -> DataFrame:
+            """Each pair of splits is aligned once, whatever comparisons it is part of."""
+            if (query, reference) not in bests:
+                bests[query, reference] = alignment.nearest_sequences(seqs(query), seqs(reference), scoring).persist(StorageLevel.MEMORY_AND_DISK)
+                result.held.append(bests[query, reference])
+            return bests[query, reference]
+
         for no, (q, r, qn, rn) in enumerate(structures.COMPARISONS):
             if "valid" in q and not has_valid:
                 named["valid_to_train"] = None
                 continue
-            best = alignment.nearest_sequences(seqs(*q), seqs(*r), scoring).withColumns({"comparison": F.lit(no), "split_query": F.lit(qn), "split_reference": F.lit(rn)}).persist(StorageLevel.MEMORY_AND_DISK)
-            result.held.append(best)
+            parts = [best_of(x, y) for x in q for y in r]
+            best = alignment.best_alignments(reduce(DataFrame.unionByName, parts)).withColumns({"comparison": F.lit(no), "split_query": F.lit(qn), "split_reference": F.lit(rn)})
             named[f"{qn}_to_{rn.replace('_', '')}"] = _first(alignment.alignment_summary(best))
             done = best if done is None else done.unionByName(best)
         summary["targets"]["similarity"] = named

@@ -1,12 +1,12 @@
 import random
 
-from splitlens.operators.alignment import Scoring, align, best_alignments, nearest_sequences
+from splitlens.operators.alignment import BLOSUM62_LETTERS, CLOSE, Scoring, _search, align, best_alignments, blosum62, nearest_sequences
 
 
 def test_empty_sides_and_equal_strings():
     assert align("", "ABC")[:3] == (0.0, 0.0, 0.0) and align("", "ABC")[5] == 100.0
     r = align("ACDEFG", "ACDEFG")
-    assert r[1] == r[2] == 100.0 and r[0] == 30.0 and r[4] == 0
+    assert r[1] == r[2] == 100.0 and r[0] == 36.0 and r[4] == 0
 
 
 def test_scores_equal_a_plain_recursion():
@@ -45,3 +45,22 @@ def test_nearest_covers_every_query(spark):
     q = spark.createDataFrame([("ACDE",), ("GGGG",), ("ACDE",)], "seq string")
     r = spark.createDataFrame([("ACDE",), ("ACDF",), ("GGGA",)], "seq string")
     assert {x.query: x.reference for x in nearest_sequences(q, r).collect()} == {"ACDE": "ACDE", "GGGG": "GGGA"}
+
+
+def test_matrix_is_symmetric_and_has_its_known_values():
+    m = blosum62()
+    assert len(m) == len(BLOSUM62_LETTERS) ** 2 and all(m[a, b] == m[b, a] for a, b in m)
+    assert (m["W", "W"], m["C", "C"], m["A", "A"], m["I", "L"], m["W", "D"], m["*", "*"], m["X", "X"]) == (11, 9, 4, 2, -4, 1, -1)
+    assert align("HEAGAWGHEE", "PAWHEAE")[0] == align("PAWHEAE", "HEAGAWGHEE")[0]
+
+
+def test_search_equals_a_full_search():
+    r = random.Random(5)
+    for _ in range(30):
+        base = ["".join(r.choices("ACDEFGHIK", k=r.randint(1, 25))) for _ in range(4)]
+        refs = sorted({"".join(c for c in r.choice(base) if r.random() > 0.2) for _ in range(12)})
+        query = r.choice([*base, *refs])
+        rows = [(x, align(min(query, x), max(query, x))) for x in refs]
+        close = [x for x, y in rows if y[1] >= CLOSE]
+        want = close[0] if close else min(rows, key=lambda x: (-x[1][1], -x[1][0], x[0]))[0]
+        assert _search(query, refs, Scoring())[0] == want
