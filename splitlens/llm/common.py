@@ -7,12 +7,13 @@ and the driver see, so that a lost executor costs a re-read and never a lost blo
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import re
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -96,3 +97,28 @@ def release(spark: SparkSession) -> None:
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+_kept: list[Callable[[], None]] = []
+
+
+def kept_by_worker(forget: Callable[[], None]) -> None:
+    """Notes how to free what a Python worker keeps from task to task; ``lean`` tasks do so."""
+    _kept.append(forget)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A batch function that first frees what other operators' tasks have left in the worker, and at its end gives
+    free memory back to the system. Workers live longer than stages, and an executor's limit counts them all."""
+
+    def leaner(batches: Iterator) -> Iterator:
+        for forget in _kept:
+            forget()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return leaner

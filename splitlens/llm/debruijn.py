@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitlens.llm.common import chosen, column, release, saved
+from splitlens.llm.common import chosen, column, lean, release, saved
 from splitlens.llm.textscan import WHITESPACE, Spans, scan, windows
 
 WINDOW, ANCHOR = 50, 16
@@ -93,7 +93,7 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     the text), ``first`` word, ``n`` windows, ``source`` (the smallest such id)."""
     spark = docs.sparkSession
     own = _keyed(docs, id_col, text_col).where("doc_id is not null")
-    paths = saved(own.mapInArrow(_paths(window, anchor), PATHS), "paths")
+    paths = saved(own.mapInArrow(lean(_paths(window, anchor)), PATHS), "paths")
     meeting = saved(
         paths.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("path").alias("p0"), F.max("path").alias("p1")).where("lo < hi").select("m", (F.col("p0") != F.col("p1")).alias("branches")),
         "minimizers",
@@ -104,7 +104,7 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     traced = met.join(sources, ["m", "path"])
     whole = traced.where("doc_id > source").select("doc_id", "rk", "first", "n", "source")
     asked = traced.where("doc_id = source and branches").groupBy("doc_id", "rk").agg(F.collect_list(F.struct("m", "first", "n")).alias("asked"))
-    apart = saved(own.join(asked, ["doc_id", "rk"]).mapInArrow(_take_apart(window), "m long, w long, doc_id long, rk long, p int"), "windows")
+    apart = saved(own.join(asked, ["doc_id", "rk"]).mapInArrow(lean(_take_apart(window)), "m long, w long, doc_id long, rk long, p int"), "windows")
     release(spark)
     shared = apart.groupBy("m", "w").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("hi")).where("source < hi").drop("hi")
     single = apart.join(shared, ["m", "w"]).where("doc_id > source").select("doc_id", "rk", F.col("p").alias("first"), F.lit(1).alias("n"), "source")
@@ -140,4 +140,4 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     texts = _keyed(docs, id_col, text_col)
-    return texts.join(spans, ["doc_id", "rk"], "left").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    return texts.join(spans, ["doc_id", "rk"], "left").select("doc_id", "text", "spans").mapInArrow(lean(cut), "doc_id long, n_words long, n_removed long, kept string")

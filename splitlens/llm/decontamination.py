@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitlens.llm.common import chosen, column, flat, place
+from splitlens.llm.common import chosen, column, flat, lean, place
 from splitlens.llm.textscan import LOWER, NOT_ALNUM, Spans, scan
 
 WINDOW = 10
@@ -157,7 +157,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, item_id_col: st
             for batch in batches:
                 yield _scan_batch(batch, text, shared.value)
 
-        out = out.mapInArrow(look_up, out.schema)
+        out = out.mapInArrow(lean(look_up), out.schema)
     return out
 
 

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitlens.llm.common import chosen, column, flat, place, saved
+from splitlens.llm.common import chosen, column, flat, lean, place, saved
 from splitlens.llm.textscan import LOWER, mix, text_buffers
 
 BUCKETS, SAMPLE, SAMPLE_BYTES = 1 << 15, 4000, 16_384
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", label_col: str = "lang", id_
         hashes = some.select("l", "h").toArrow().sort_by([("l", "ascending"), ("h", "ascending")])
         own = {x: hashes.filter(pc.equal(hashes["l"], x))["h"] for x in languages}
         ends = [(x, own[x][min(sample, len(own[x])) - 1].as_py()) for x in languages]
-        counted = below(some, ends).select("l", "t").mapInArrow(_counted, "l string, bucket int, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n")).toArrow()
+        counted = below(some, ends).select("l", "t").mapInArrow(lean(_counted), "l string, bucket int, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n")).toArrow()
         for i, language in enumerate(languages):
             of = counted.filter(pc.equal(counted["l"], language))
             counts = np.full(BUCKETS, 0.05)
@@ -201,7 +201,7 @@ def judged(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
         "text",
     )
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema if f.name != "text")
-    scored = saved(own.mapInArrow(score, f"{kinds}, s array<double>"), "language-scores")
+    scored = saved(own.mapInArrow(lean(score), f"{kinds}, s array<double>"), "language-scores")
 
     total = F.aggregate("s", F.lit(0.0), lambda a, x: a + F.exp(x))
     best = F.array_position("s", F.array_max("s")).cast("int") - 1  # the first of equals
@@ -247,7 +247,7 @@ def accepted(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     if not model.languages:
         return docs
     found = judged(docs, model, id_col=id_col, text_col=text_col, **evidence)
-    gone = found.where(~F.col("accepted")).select("doc_id", "rk").distinct()
+    gone = saved(found.where(~F.col("accepted")).select("doc_id", "rk").distinct(), "rejected")  # of known size: a few rows are broadcast
     rows, key = flat(docs), F.col(place(docs, id_col))
     same = key.eqNullSafe(F.col("doc_id")) & (F.xxhash64(place(docs, text_col)) == F.col("rk"))
     return rows.join(gone, same, "left_anti").toDF(*docs.columns)

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from splitlens.llm.bloom_cascade import build_level
-from splitlens.llm.common import chosen, column, flat, place, release, saved
+from splitlens.llm.common import chosen, column, flat, lean, place, release, saved
 from splitlens.llm.components import components
 from splitlens.llm.textscan import LOWER, WHITESPACE, Slice, Spans, mix, scan, windows
 
@@ -306,7 +306,7 @@ def _near_in_family(percent: int):
 def _near_in_large(members: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The same for families of any size (``family``, ``doc_id``, ``component``), by a join on each family's rarest features.
     What is shuffled for each feature is no more than its family and document; the rest joins those that are left."""
-    sets = _only(docs, members.select("doc_id").distinct()).mapInArrow(_sets(n), "doc_id long, features array<long>")
+    sets = _only(docs, members.select("doc_id").distinct()).mapInArrow(lean(_sets(n)), "doc_id long, features array<long>")
     sets = saved(sets.dropDuplicates(["doc_id"]).join(members, "doc_id").select("family", "doc_id", "component", "features"), "family-sets")
     release(docs.sparkSession)
     each = sets.select("family", "doc_id", F.explode("features").alias("feature"))
@@ -340,7 +340,7 @@ def _only(docs: DataFrame, asked: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (``u``, ``v``) whose sets are similar enough, by exact intersection."""
     asked = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = saved(_only(docs, asked).mapInArrow(_sets(n), "doc_id long, features array<long>"), "sets")
+    sets = saved(_only(docs, asked).mapInArrow(lean(_sets(n)), "doc_id long, features array<long>"), "sets")
     release(docs.sparkSession)
     one = pairs.join(sets.select(F.col("doc_id").alias("v"), F.col("features").alias("fv")), "v")
     both = one.join(sets.select(F.col("doc_id").alias("u"), F.col("features").alias("fu")), "u")
@@ -354,7 +354,7 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     own = chosen(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     named = own.where("doc_id is not null")
     for seed in range(64):
-        first = saved(own.mapInArrow(_first_pass(n, percent, seed), "kind string, doc_id long, size long, a long, b long, thin boolean, bits array<long>"), "sizes")
+        first = saved(own.mapInArrow(lean(_first_pass(n, percent, seed)), "kind string, doc_id long, size long, a long, b long, thin boolean, bits array<long>"), "sizes")
         if not first.where("kind = 'doc' and thin").head(1):
             break
     else:
@@ -369,7 +369,7 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     least = saved(alike.groupBy("size", "a", "b").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("hi")).where("v < hi").drop("hi"), "least")
     copies = saved(alike.join(least, ["size", "a", "b"]).where("doc_id > v").select(F.col("doc_id").alias("u"), "v"), "copies")
 
-    signed = named.mapInArrow(_second_pass(n, percent, seed, frequent), SIGNED)
+    signed = named.mapInArrow(lean(_second_pass(n, percent, seed, frequent)), SIGNED)
     group, hot = Window.partitionBy("signature"), F.col("base").isNotNull()
     shared = lambda df: df.withColumn("v", F.min("doc_id").over(group)).withColumn("hi", F.max("doc_id").over(group))
     met = shared(signed).withColumn("n", F.count(F.lit(1)).over(group)).where(hot | F.expr("v < hi")).select("signature", "doc_id", "base", "n")
@@ -416,5 +416,5 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """``docs`` without those that have a similar document with a smaller id in their component; columns as they are."""
     found = similar_components(docs, id_col=id_col, text_col=text_col, n=n, percent=percent)
-    gone = found.where("component_id < doc_id").select("doc_id").distinct()
+    gone = saved(found.where("component_id < doc_id").select("doc_id").distinct(), "others")  # of known size: a few are broadcast
     return flat(docs).join(gone, F.col(place(docs, id_col)).cast("long") == F.col("doc_id"), "left_anti").toDF(*docs.columns)

@@ -21,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from splitlens.llm.common import kept_by_worker
 from splitlens.llm.textscan import BYTE_POWERS, BYTE_VALUES, WHITESPACE, mix, prefix_sums, text_buffers
 
 CACHE_PARTS = 3_000_000  # some 40 bytes each
@@ -181,3 +182,6 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process, kept from task to task."""
     return Encoder(path)
+
+
+kept_by_worker(encoder.cache_clear)
