@@ -44,6 +44,35 @@ _ORACLES: dict[str, str] = {
         SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items,
                sha256(coalesce(n.ids, '')) AS items_sha256, c.n_hit IS NOT NULL AS contaminated
         FROM words AS w LEFT JOIN covered AS c ON c.doc_id = w.doc_id LEFT JOIN named AS n ON n.doc_id = w.doc_id""",
+    "op11_prefix_trie": r"""
+        WITH said AS (
+            SELECT conv_id, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS w
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), own AS (
+            SELECT conv_id, list(k ORDER BY turn NULLS FIRST, k) AS k, list(w ORDER BY turn NULLS FIRST, k) AS w, CAST(conv_id AS VARCHAR) AS s FROM said GROUP BY conv_id
+        ), forks AS (
+            SELECT conv_id, k, w, xor(list_reduce(list_concat([4294967295], list_transform(range(1, len(s) + 1), lambda i: CAST(ord(s[i]) AS BIGINT))), lambda a, c:
+                list_reduce(list_concat([xor(a, c)], range(8)), lambda x, j: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 4 AS h FROM own
+        ), built AS (
+            SELECT f.conv_id, list_concat(coalesce(o.k[1:f.h], []), f.k[f.h + 1:]) AS k, list_concat(coalesce(o.w[1:f.h], []), f.w[f.h + 1:]) AS w
+            FROM forks AS f LEFT JOIN own AS o ON o.conv_id = f.conv_id - f.conv_id % 20
+        ), begins AS (
+            SELECT conv_id, d, array_to_string(k[1:d], '') AS p, array_to_string(k[1:d - 1], '') AS up, CASE WHEN d > 0 THEN w[d] ELSE 0 END AS w, d = len(k) AS ends
+            FROM (SELECT *, unnest(range(len(k) + 1)) AS d FROM built)
+        ), node AS (
+            SELECT p, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * any_value(w) AS saved,
+                   sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends
+            FROM begins GROUP BY p, d
+        ), child AS (
+            SELECT up, count(*) AS n FROM node WHERE d > 0 GROUP BY up
+        ), under AS (
+            SELECT substr(n.p, 1, 32 * n.a) AS top, count(*) FILTER (c.n IS NULL) AS leaves, sum(n.saved) AS saved
+            FROM (SELECT *, unnest(range(d + 1)) AS a FROM node) AS n LEFT JOIN child AS c ON c.up = n.p GROUP BY substr(n.p, 1, 32 * n.a)
+        )
+        SELECT n.conv_id, n.d AS depth, CASE WHEN n.d > 0 THEN u.conv_id END AS parent_conv_id, n.n AS n_convs, coalesce(c.n, 0) AS n_children, x.leaves AS n_leaves,
+               CAST(x.saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+        FROM node AS n LEFT JOIN node AS u ON n.d > 0 AND u.p = n.up LEFT JOIN child AS c ON c.up = n.p JOIN under AS x ON x.top = n.p""",
     "op10_substring_dedup": r"""
         WITH words AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitlens.llm import bloom_cascade, debruijn, decontamination, impact_topk, language_id, license_scan, line_dedup, packing, partenum, token_store
+from splitlens.llm import bloom_cascade, debruijn, decontamination, impact_topk, language_id, license_scan, line_dedup, line_quality, packing, partenum, prefix_trie, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,5 +100,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.forked(prefix_trie.sequences(table(spark, sf_dir, "conversations")), 20, 4))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on the labelled documents that aren't held out; every document is scored by its text alone."""
+    docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = line_quality.fit(docs.where(~held_out), table(spark, sf_dir, "labels"))
+    scored = line_quality.scored(docs.select("doc_id", "text"), model)
+    score = F.col(line_quality.SCORE)
+    return scored.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"), F.col(line_quality.LINES).alias("n_lines"), F.col(line_quality.BAD).alias("n_bad_lines"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
