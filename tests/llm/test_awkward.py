@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from splitlens.llm import bloom_cascade, debruijn, decontamination, impact_topk, language_id, license_scan, line_dedup, packing, partenum, queries, token_store
+from splitlens.llm import bloom_cascade, debruijn, decontamination, impact_topk, language_id, license_scan, line_dedup, line_quality, packing, partenum, queries, token_store
 
 #: Names that operators use inside, or that differ from the columns asked for by case alone.
 CLASHES = ["__key", "__id", "__gone", "__rk", "__hit_words", "__hit_spans", "__hit_mine", "__n_lines", "__n_removed", "rk", "c0", "c1", "gone", "mark", "spans", "hits", "words", "key", "host", "n", "TEXT", "Doc_Id"]
@@ -34,6 +34,7 @@ PASSING = {
     "benchmark": lambda spark, d: decontamination.decontaminate(d, bench(spark)),
     "benchmark spans": lambda spark, d: decontamination.decontaminate(d, bench(spark), mode="spans"),
     "benchmark hits": lambda spark, d: decontamination.hit_spans(d, bench(spark)),
+    "quality": lambda spark, d: line_quality.scored(d, line_quality.fit(d, spark.createDataFrame([(3, 1), (5, 0)], "doc_id long, quality int"))),
     "languages": lambda spark, d: language_id.accepted(d, model(d), host="source"),
     "urls": lambda spark, d: bloom_cascade.filter_urls(d, queries.URL_RULES, spark.createDataFrame([("one",)], "key string"), url_col="text"),
 }
