@@ -1,62 +1,82 @@
 """Nearest neighbours by Tanimoto similarity of bit sets.
 
-Equal sets are collapsed first and equal pairs are settled by a join. The rest is a blocked scan: reference sets
-are packed and broadcast, at most ``BLOCK_BYTES`` at a time; a larger reference side makes more blocks, whose maxima
-are merged."""
+Equal sets are collapsed first and equal pairs are settled by a join. The rest is a block join: packed blocks of queries
+meet packed blocks of references of like sizes first. Two sets are at most as similar as the smaller size by the larger; a
+query whose best is at least what the next wider band could give is done, and only the others meet it.
+"""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 32 << 20
+from splitlens.operators import blocks
+from splitlens.session import written
 
+BANDS = (0.8, 0.5, 0.0)  # least similarity that sizes allow, band by band; the last one holds all
 
-def _pack(lists: pa.Array, words: int) -> np.ndarray:
-    out = np.zeros((len(lists), words), np.uint64)
-    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-    bits = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    np.bitwise_or.at(out, (np.repeat(np.arange(len(lists)), lengths), bits // 64), np.uint64(1) << (bits % 64).astype(np.uint64))
-    return out
 
+def _bests(queries: DataFrame, made: list[blocks.Block], packed: DataFrame, met: list[blocks.Block], n_bits: int, low: float, high: float) -> DataFrame:
+    """``id`` and ``similarity`` of the best reference of blocks that can be ``low`` to (not) ``high`` alike."""
+    spark = queries.sparkSession
+    partners = []
+    for q in made:
+        fits = [r.no for r in met if low <= q.alike(r) < high]  # on both sides of what was met before
+        runs, start = [], None
+        for k, no in enumerate(fits):
+            start = no if start is None else start
+            if k + 1 == len(fits) or fits[k + 1] != no + 1:
+                runs.append(range(start, no + 1))
+                start = None
+        partners.append((q.no, runs))
+    kind = queries.schema["id"].dataType.simpleString()
 
-def nearest(queries: DataFrame, reference: DataFrame, n_bits: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """For every row of ``queries`` that has ``bits``: all its columns and ``similarity``, the largest to any row of
-    ``reference`` that has ``bits``; no rows if there is none."""
-    spark, words = queries.sparkSession, (n_bits + 63) // 64
-    refs = reference.where("bits is not null").select(F.array_sort("bits").alias("bits")).distinct()
-    asked = queries.where("bits is not null").withColumn("__bits", F.array_sort("bits"))
-    each = asked.select("__bits").distinct()
-    equal = each.join(refs.select(F.col("bits").alias("__bits")), "__bits", "left_semi").withColumn("similarity", F.lit(1.0))
-    other = each.join(refs.select(F.col("bits").alias("__bits")), "__bits", "left_anti")
-    blocks = max(1, math.ceil(refs.count() * words * 8 * 1.25 / block_bytes))
-    found = equal
-    for b in range(blocks):
-        own = refs.where(F.pmod(F.xxhash64("bits"), F.lit(blocks)) == b).toArrow()  # about block_bytes once packed
-        if not own.num_rows:
-            continue
-        shared = spark.sparkContext.broadcast(_pack(own["bits"].combine_chunks(), words))
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = blocks.Rows.of(left, n_bits), blocks.Rows.of(right, n_bits)
+        best = np.zeros(len(a.ids))
+        for at, both in blocks.products(a, b, n_bits):
+            either = a.sizes[:, None] + b.sizes[None, at : at + both.shape[1]] - both.astype(np.float64)
+            best = np.maximum(best, np.where(either == 0, 1.0, both / np.maximum(either, 1)).max(1, initial=0.0))
+        return pa.table({"id": a.ids, "similarity": pa.array(best)})
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matrix = shared.value
-            sizes = np.bitwise_count(matrix).sum(1, dtype=np.int64)
-            for batch in batches:
-                packed = _pack(batch.column(0), words)
-                best = np.zeros(len(packed))
-                for i, row in enumerate(packed):
-                    both = np.bitwise_count(matrix & row).sum(1, dtype=np.int64)
-                    either = sizes + int(np.bitwise_count(row).sum()) - both
-                    best[i] = np.where(either == 0, 1.0, both / np.maximum(either, 1)).max()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best)], names=["__bits", "similarity"])
+    own = blocks.packed(queries, made, n_bits)
+    found = blocks.meet(own, packed, blocks.cells_of(spark, partners), compare, f"id {kind}, similarity double")
+    return found.groupBy("id").agg(F.max("similarity").alias("similarity"))
 
-        found = found.unionByName(other.mapInArrow(scan, "__bits array<int>, similarity double"))
-    best = found.groupBy("__bits").agg(F.max("similarity").alias("similarity"))
-    return asked.join(best, "__bits").drop("__bits")
+
+def nearest(queries: DataFrame, reference: DataFrame, n_bits: int) -> DataFrame:
+    """For every row of ``queries`` that has ``bits``: all its columns and ``similarity``, the largest to any row of
+    ``reference`` that has ``bits``; no rows if there is none. ``n_bits`` is a hint, larger elements are right, too."""
+    spark = queries.sparkSession
+    key = F.md5(F.array_join("bits", ","))
+    sets = lambda df: df.where("bits is not null").select(F.array_distinct(F.array_sort("bits")).alias("bits")).distinct().select(key.alias("id"), "bits", F.size("bits").alias("size"))
+    refs, asked = written(sets(reference), "references"), queries.where("bits is not null")
+    each = sets(asked)
+    found = [each.join(refs, "id", "left_semi").select("id", F.lit(1.0).alias("similarity"))]
+    left = written(each.join(refs, "id", "left_anti"), "queries")
+    sizes, domain = blocks.histogram(refs)
+    tasks = spark.sparkContext.defaultParallelism
+    if sizes:
+        n_bits = max(n_bits, domain, blocks.histogram(left)[1])
+        met = blocks.blocks_of(sizes, n_bits, tasks)
+        packed, high = written(blocks.packed(refs, met, n_bits), "packed-references"), 2.0
+        made = blocks.blocks_of(blocks.histogram(left)[0], n_bits, tasks)  # the same for all bands: a query stays in its block
+        for low in BANDS:
+            if left.isEmpty():
+                break
+            best = written(_bests(left, made, packed, met, n_bits, low, high), "neighbours")
+            found.append(best)
+            if low:
+                left = written(left.join(best.where(F.col("similarity") >= low), "id", "left_anti"), "queries")
+            high = low
+    every = found[0]
+    for other in found[1:]:
+        every = every.unionByName(other)
+    best = every.groupBy("id").agg(F.max("similarity").alias("similarity")).withColumnRenamed("id", "__id")
+    named = asked.withColumn("__own", F.md5(F.array_join(F.array_distinct(F.array_sort("bits")), ",")))
+    return named.join(best, F.col("__own") == F.col("__id")).drop("__own", "__id")
 
 
 def nearest_summary(queries: DataFrame, reference: DataFrame, n_bits: int) -> DataFrame:

@@ -3,31 +3,29 @@
 A prefix filter emits, for each item, the rarest features that two similar items must share one of, joins
 items on them, and drops pairs that sizes rule out; then similarity is computed once per pair. Where the features of a
 small domain stand in many sets, that join would make most pairs, each many times over. The counts of the features say so
-beforehand; then sets are compared as rows of a bit matrix, in broadcast blocks that only sets of fitting sizes
-meet, and nothing but the result is emitted. Both give the same pairs.
+beforehand; then sets are compared as rows of bit matrices, block by block (``blocks``), of which only those of fitting
+sizes meet, and nothing but the result is emitted. Both give the same pairs.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from splitlens.functions.similarity import indel_ratio, tanimoto
+from splitlens.operators import blocks
+from splitlens.session import written
 
 EPSILON = 1e-9
-BLOCK_BYTES = 16 << 20  # of packed sets, broadcast at once
 MOST_BITS = 1 << 14  # of a domain that is scanned
 _MADE, _COMPARED = 1e-6, 1e-10  # seconds: for a pair that a join makes, for a bit of a pair that is compared
-_PRODUCT = 1 << 22  # pairs in one product
 LONG = 32  # strings above this are joined on longer grams
 
 
@@ -57,71 +55,29 @@ def _by_prefixes(sized: DataFrame, prefixes: DataFrame, threshold: float) -> Dat
     return pairs.join(a, "a").join(b, "b").select("a", "b", tanimoto(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def _matrix(lists: pa.Array, n_bits: int) -> np.ndarray:
-    """A row per set, eight bits a byte."""
-    out = np.zeros((len(lists), n_bits), bool)
-    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-    out[np.repeat(np.arange(len(lists)), sizes), lists.flatten().to_numpy(zero_copy_only=False)] = True
-    return np.packbits(out, axis=1)
-
-
-def size_blocks(sizes: dict[int, int], most: int) -> list[tuple[int, int, int, int]]:
-    """Blocks of about ``most`` sets, given the number of sets by size: least and largest size, and for a size that fills
-    more than one block, which part it is of how many."""
-    out: list[tuple[int, int, int, int]] = []
-    low, held = None, 0
-    for size, n in sorted(sizes.items()):
-        if n > most:
-            if held:
-                out.append((low, last, 0, 1))
-            parts = math.ceil(1.25 * n / most)  # a hash deals unevenly
-            out += [(size, size, k, parts) for k in range(parts)]
-            low, held = None, 0
-            continue
-        if held and held + n > most:
-            out.append((low, last, 0, 1))
-            low, held = None, 0
-        low, last, held = size if low is None else low, size, held + n
-    return out + [(low, last, 0, 1)] * bool(held)
-
-
 def _by_scan(sized: DataFrame, sizes: dict[int, int], n_bits: int, threshold: float) -> DataFrame:
-    """Every block of sets is broadcast, and met by the sets that aren't larger than its largest, nor too small."""
+    """Blocks of sets meet the blocks of sets that aren't larger, nor too small."""
     spark, kind = sized.sparkSession, sized.schema["id"].dataType.simpleString()
-    found = None
-    for lo, hi, k, parts in size_blocks(sizes, max(1, BLOCK_BYTES // (n_bits // 8 + 40))):
-        own = sized.where(F.col("size").between(lo, hi))
-        own = (own.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k) if parts > 1 else own).toArrow().combine_chunks()  # about BLOCK_BYTES once packed
-        if not own.num_rows:
-            continue
-        ids = own["id"].chunk(0) if own["id"].num_chunks else own["id"]
-        shared = spark.sparkContext.broadcast((_matrix(own["bits"].chunk(0), n_bits), own["size"].to_numpy(), ids))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            packed, sizes, ids = shared.value
-            for batch in batches:
-                own, of, n = batch.column(0), batch.column(2).to_numpy(), batch.num_rows
-                rows = np.unpackbits(_matrix(batch.column(1), n_bits), axis=1, count=n_bits).astype(np.float32)
-                step = max(1, _PRODUCT // max(n, n_bits))
-                for at in range(0, len(packed), step):
-                    other = np.unpackbits(packed[at : at + step], axis=1, count=n_bits).astype(np.float32)
-                    both, all_ = rows @ other.T, of[:, None] + sizes[None, at : at + step]
-                    x, y = np.nonzero((both >= threshold * (all_ - both) - EPSILON) & (of[:, None] <= sizes[None, at : at + step]))
-                    shares, either = both[x, y].astype(np.float64), all_[x, y] - both[x, y].astype(np.float64)
-                    similarity = np.where(either == 0, 1.0, shares / np.maximum(either, 1))
-                    left, right = own.take(pa.array(x)), ids.take(pa.array(y + at))
-                    first = pc.less(left, right)  # of sets of one size each pair is met from both sides
-                    keep = (similarity >= threshold) & ((of[x] < sizes[y + at]) | first.to_numpy(zero_copy_only=False))
-                    a, b = pc.if_else(first, left, right), pc.if_else(first, right, left)
-                    yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in (a, b, pa.array(similarity))], names=["a", "b", "similarity"])
-
-        met = sized.where(F.col("size").between(math.ceil(threshold * lo - EPSILON), hi)).select("id", "bits", "size")
-        pairs = sum(n for s, n in sizes.items() if threshold * lo - EPSILON <= s <= hi) * own.num_rows
-        tasks = min(4 * spark.sparkContext.defaultParallelism, int(pairs * n_bits * _COMPARED) + 1)
-        met = met.repartition(tasks) if tasks > 1 else met  # the work is in the pairs, not in the rows
-        one = met.mapInArrow(scan, f"a {kind}, b {kind}, similarity double")
-        found = one if found is None else found.unionByName(one)
-    return found
+    made = blocks.blocks_of(sizes, n_bits, spark.sparkContext.defaultParallelism)
+    own = written(blocks.packed(sized, made, n_bits), "packed-sets")
+    first = lambda b: next(a.no for a in made if a.alike(b) >= threshold - EPSILON)
+    cells = blocks.cells_of(spark, [(b.no, [range(first(b), b.no + 1)]) for b in made])
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = blocks.Rows.of(left, n_bits), blocks.Rows.of(right, n_bits)
+        within, parts = left["i"][0] == left["j"][0], []
+        for at, both in blocks.products(a, b, n_bits):
+            all_ = a.sizes[:, None] + b.sizes[None, at : at + both.shape[1]]
+            x, y = np.nonzero(both >= threshold * (all_ - both) - EPSILON)
+            shares, either = both[x, y].astype(np.float64), (all_[x, y] - both[x, y]).astype(np.float64)
+            similarity, y = np.where(either == 0, 1.0, shares / np.maximum(either, 1)), y + at
+            keep = (similarity >= threshold) & (not within or x < y)  # a pair within a block is met from both sides
+            one, other = a.ids.take(pa.array(x[keep])), b.ids.take(pa.array(y[keep]))
+            ordered = pc.less(one, other)
+            parts.append(pa.table({"a": pc.if_else(ordered, one, other), "b": pc.if_else(ordered, other, one), "similarity": pa.array(similarity[keep])}))
+        return pa.concat_tables(parts)
+
+    return blocks.meet(own, own, cells, compare, f"a {kind}, b {kind}, similarity double")
 
 
 def tanimoto_pairs(sets: DataFrame, threshold: float, way: str | None = None) -> DataFrame:
@@ -129,8 +85,7 @@ def tanimoto_pairs(sets: DataFrame, threshold: float, way: str | None = None) ->
     null takes no part). ``way`` (``prefix`` or ``scan``) overrides the choice by cost."""
     sized = sets.where("bits is not null").select("id", "bits", F.size("bits").alias("size"))
     prefixes = _prefixes(sized, threshold)
-    found = sized.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max("bits")).alias("most")).collect()  # a row for each size
-    sizes, n_bits = {r["size"]: r.n for r in found}, max((r.most or 0 for r in found), default=0) + 1
+    sizes, n_bits = blocks.histogram(sized)
     if way is None and (n_bits > MOST_BITS or not sizes):
         way = "prefix"
     if way is None:

@@ -21,8 +21,9 @@ def sequence_ids(records: DataFrame, registry: DataFrame, dataset: str | None =
 
 
 def best_hits(hits: DataFrame, ids: DataFrame) -> DataFrame:
-    """Best hit of each query by comparison: highest probability, then score, then first in the file. One scan: the
-    sides of query and target are joined once and decide which comparisons a hit counts for."""
+    """Best hit of each query by comparison: highest probability, then score, then first in the file; of lines with one number
+    the largest by all columns in their order. One scan: the sides of query and target are joined once and decide which
+    comparisons a hit counts for."""
     side = lambda n: ids.select(F.col("sequence_id").alias(n), F.col("splits").alias(f"splits_{n}"), F.col("sequence").alias(f"seq_{n}"))
     both = hits.join(side("query"), "query").join(side("target"), "target")
     counts = [
@@ -30,8 +31,8 @@ def best_hits(hits: DataFrame, ids: DataFrame) -> DataFrame:
         for i, (q, r, qn, rn) in enumerate(COMPARISONS)
     ]
     each = both.withColumn("c", F.explode(F.filter(F.array(*counts), lambda x: x.isNotNull())))
-    rank = F.struct(F.col("probability"), F.col("score"), (-F.col("line")).alias("line"))
     own = F.struct(*[c for c in (*hits.columns, "seq_query", "seq_target")])
+    rank = F.struct(F.col("probability"), F.col("score"), (-F.col("line")).alias("line"), own)
     best = each.groupBy("c", "query").agg(F.max_by(own, rank).alias("hit"))
     return best.select("c.*", "hit.*")
 
@@ -43,9 +44,9 @@ def summary(best: DataFrame) -> DataFrame:
 
 
 def top_hits(best: DataFrame, k: int = 50) -> DataFrame:
-    """The ``k`` best by probability and score, without pairs of equal sequences."""
+    """The ``k`` best by probability and score, then by comparison and query, without pairs of equal sequences."""
     other = best.where(F.coalesce(F.col("seq_query") != F.col("seq_target"), F.lit(True)))
-    return other.orderBy(F.desc("probability"), F.desc("score"), "no", "query").limit(k)
+    return other.orderBy(F.desc("probability"), F.desc("score"), "no", "query", "target").limit(k)
 
 
 def coverage(ids: DataFrame) -> DataFrame:

@@ -35,8 +35,8 @@ def multi_entity_target_rows(records: DataFrame) -> DataFrame:
 
 
 def top_multi_entity_targets(records: DataFrame, k: int = 5) -> DataFrame:
-    """The ``k`` targets with most entities; ties by first appearance."""
-    return multi_entity_targets(records).orderBy(F.desc("n_entities"), "first").limit(k).select("target_seq", "n_entities", "mask")
+    """The ``k`` targets with most entities; ties by first appearance, then by name."""
+    return multi_entity_targets(records).orderBy(F.desc("n_entities"), "first", "target_seq").limit(k).select("target_seq", "n_entities", "mask")
 
 
 def build_registry(sequences: DataFrame) -> DataFrame:

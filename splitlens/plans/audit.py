@@ -119,7 +119,7 @@ def audit_targets(records: DataFrame, config: AuditConfig, registry: DataFrame |
         def best_of(query: str, reference: str) -> DataFrame:
             """Each pair of splits is aligned once, whatever comparisons it is part of."""
             if (query, reference) not in bests:
-                bests[query, reference] = alignment.nearest_sequences(seqs(query), seqs(reference), scoring).persist(StorageLevel.MEMORY_AND_DISK)
+                bests[query, reference] = alignment.nearest_sequences(seqs(query), seqs(reference), scoring).drop("n_aligned").persist(StorageLevel.MEMORY_AND_DISK)
                 result.held.append(bests[query, reference])
             return bests[query, reference]
 

@@ -32,7 +32,7 @@ _HITS = f"""hits AS (
     VALUES (0, ['valid'], ['train'], 'valid', 'train'), (1, ['test'], ['train'], 'test', 'train'), (2, ['test'], ['train', 'valid'], 'test', 'train_valid')
 ), ranked AS (
     SELECT c.no, c.sq AS split_query, c.sr AS split_reference, 's' || h.q AS query, 's' || h.t AS target, h.probability, h.score, h.evalue, h.line,
-           a.name = b.name AS self, row_number() OVER (PARTITION BY c.no, h.q ORDER BY h.probability DESC, h.score DESC, h.line) AS place
+           a.name = b.name AS self, row_number() OVER (PARTITION BY c.no, h.q ORDER BY h.probability DESC, h.score DESC, h.line, 's' || h.t DESC, h.evalue DESC) AS place
     FROM hits AS h JOIN side AS a ON h.q = a.k JOIN side AS b ON h.t = b.k JOIN comparisons AS c ON list_contains(c.qs, a.split) AND list_contains(c.rs, b.split)
 ), best AS (SELECT * FROM ranked WHERE place = 1)"""
 
@@ -119,7 +119,7 @@ def oracle_sql() -> dict[str, str]:
             CAST(max(CASE split WHEN 'train' THEN 1 ELSE 0 END) + max(CASE split WHEN 'valid' THEN 2 ELSE 0 END) + max(CASE split WHEN 'test' THEN 4 ELSE 0 END) AS INTEGER) AS mask
             FROM items GROUP BY entity, target_seq HAVING count(DISTINCT split) > 1""",
         "target_multi_entity": f"WITH {_MULTI} SELECT target_seq, n_entities, mask FROM multi",
-        "target_multi_entity_top5": f"WITH {_MULTI} SELECT target_seq, n_entities, mask FROM multi ORDER BY n_entities DESC, first LIMIT 5",
+        "target_multi_entity_top5": f"WITH {_MULTI} SELECT target_seq, n_entities, mask FROM multi ORDER BY n_entities DESC, first, target_seq LIMIT 5",
         "sequence_registry": f"""WITH own AS (
                 SELECT p_partkey AS o, p_brand AS dataset, {_split('p_partkey')} AS split, p_type AS file, regexp_replace(upper(p_name), '\\s+', '', 'g') AS sequence FROM part
             ), once AS (SELECT DISTINCT sequence, dataset, split, file FROM own), lists AS (
@@ -144,13 +144,17 @@ def oracle_sql() -> dict[str, str]:
         "cliff_pairs_reg": _cliffs("abs(la - lb) >= 3"),
         "best_hit": f"WITH {_HITS} SELECT CAST(no AS INTEGER) AS no, split_query, split_reference, query, target, probability, score, line FROM best",
         "structure_summary": f"WITH {_HITS} SELECT CAST(no AS INTEGER) AS no, split_query, split_reference, count(*) AS n, {_HITCOLS} FROM best GROUP BY no, split_query, split_reference",
-        "structure_top50": f"WITH {_HITS} SELECT CAST(no AS INTEGER) AS no, query, target, probability, score FROM best WHERE NOT self ORDER BY probability DESC, score DESC, no, query LIMIT 50",
+        "structure_top50": f"WITH {_HITS} SELECT CAST(no AS INTEGER) AS no, query, target, probability, score FROM best WHERE NOT self ORDER BY probability DESC, score DESC, no, query, target LIMIT 50",
         "structure_coverage": f"""WITH {_HITS} SELECT count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'valid') AS valid, count(*) FILTER (split = 'test') AS test,
             count(*) FILTER (split <> 'test') AS train_valid FROM side""",
         "best_alignment_rule": """WITH a AS (SELECT l_suppkey AS query, l_orderkey || '-' || l_linenumber AS reference, 99.91 + l_discount AS identity_pct, l_quantity AS score FROM lineitem), r AS (
                 SELECT *, row_number() OVER (PARTITION BY query ORDER BY identity_pct >= 99.99 DESC, CASE WHEN identity_pct < 99.99 THEN identity_pct END DESC,
-                    CASE WHEN identity_pct < 99.99 THEN score END DESC, reference) AS place FROM a)
+                    CASE WHEN identity_pct < 99.99 THEN score END DESC, reference, identity_pct, score) AS place FROM a)
             SELECT query, reference, round(identity_pct, 6) AS identity_pct, score FROM r WHERE place = 1""",
+        "alignment_top50": """WITH a AS (SELECT l_suppkey AS query, l_orderkey || '-' || l_linenumber AS reference, 90 + 100 * l_discount AS identity_pct, l_quantity AS score, l_returnflag AS comparison FROM lineitem), r AS (
+                SELECT *, row_number() OVER (PARTITION BY comparison, query ORDER BY identity_pct >= 99.99 DESC, CASE WHEN identity_pct < 99.99 THEN identity_pct END DESC,
+                    CASE WHEN identity_pct < 99.99 THEN score END DESC, reference, identity_pct, score) AS place FROM a)
+            SELECT comparison, query, reference, round(identity_pct, 6) AS identity_pct, score FROM r WHERE place = 1 ORDER BY r.identity_pct DESC, score DESC, comparison, query, reference LIMIT 50""",
         "metric_auc": """WITH p AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_discount * l_quantity AS score FROM lineitem), r AS (
                 SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS mid FROM p)
             SELECT round((sum(mid) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 6) AS roc_auc FROM r""",

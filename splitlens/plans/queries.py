@@ -319,6 +319,29 @@ def q_nn_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.nearest_sequences(seqs.where("split = 'test'"), seqs.where("split = 'train'"))
 
 
+def q_nn_alignment_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test texts of the benchmark as sequences, each against all others of train and valid."""
+    items = table(spark, sf_dir, "benchmark").select(labels.sequence(F.col("text")).alias("seq"), split_of(F.col("item_id"), 7, 1).alias("split"))
+    found = alignment.nearest_sequences(items.where("split = 'test'"), items.where("split <> 'test'"))
+    return _rounded(found, "identity_pct", "similarity_pct", "gaps_pct")
+
+
+def q_nn_alignment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means and deviations over the alignments of part names."""
+    return _rounded(alignment.alignment_summary(q_nn_alignment(spark, sf_dir)), *[f"{c}_{s}" for c in ("identity_pct", "score", "similarity_pct") for s in ("mean", "std")])
+
+
+def q_alignment_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best rows of suppliers' line items, by return flag as comparisons."""
+    items = table(spark, sf_dir, "lineitem")
+    rows = items.select(F.col("l_suppkey").alias("query"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("reference"), (90 + 100 * F.col("l_discount")).alias("identity_pct"), F.col("l_quantity").alias("score"), F.col("l_returnflag").alias("comparison"))
+    best = None
+    for flag in ("A", "N", "R"):
+        one = alignment.best_alignments(rows.where(F.col("comparison") == flag))
+        best = one if best is None else best.unionByName(one)
+    return alignment.top_alignments(best).select("comparison", "query", "reference", F.round("identity_pct", 6).alias("identity_pct"), "score")
+
+
 def q_random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("row_id"))
     return splitters.random_split(own).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("p_partkey").alias("keys"))

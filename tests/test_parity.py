@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from splitlens import cli, sinks
 from splitlens.config import AuditConfig, audit_config, output_dir, slug, validated
 from splitlens.functions.similarity import indel_ratio_of
-from splitlens.operators import similarity, splitters
+from splitlens.operators import blocks, neighbors, similarity, splitters
 from splitlens.plans import queries
 from splitlens.sources import records as rec
 from splitlens.sources.structures import read_hits, read_registry
@@ -188,8 +188,8 @@ def test_scan_and_prefixes_give_the_same_pairs(spark, threshold, monkeypatch):
     expected = sorted((a, b, s) for (a, b), s in want.items())
     for way in ("prefix", "scan", None):
         assert rows(similarity.tanimoto_pairs(df, threshold, way)) == expected
-    monkeypatch.setattr(similarity, "BLOCK_BYTES", 600)
-    monkeypatch.setattr(similarity, "_PRODUCT", 50)
+    monkeypatch.setattr(blocks, "BLOCK_SETS", 17)
+    monkeypatch.setattr(blocks, "PRODUCT", 500)
     assert rows(similarity.tanimoto_pairs(df, threshold, "scan")) == expected
     assert similarity.tanimoto_pairs(df.limit(0), threshold).count() == 0
     numbers = df.where("bits is not null").withColumn("id", F.xxhash64("id"))
@@ -198,10 +198,28 @@ def test_scan_and_prefixes_give_the_same_pairs(spark, threshold, monkeypatch):
 
 def test_size_blocks_hold_every_size_once():
     sizes = {0: 3, 1: 50, 2: 1, 3: 1, 7: 8, 9: 200}
-    blocks = similarity.size_blocks(sizes, 10)
+    made = blocks.size_blocks(sizes, 10)
+    assert [b.no for b in made] == list(range(len(made)))
     for size in sizes:
-        own = [b for b in blocks if b[0] <= size <= b[1]]
-        assert sorted(b[2] for b in own) == list(range(own[0][3])) and len(own) == own[0][3]
+        own = [b for b in made if b.low <= size <= b.high]
+        assert sorted(b.part for b in own) == list(range(own[0].parts)) and len(own) == own[0].parts
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_neighbours_of_any_size_equal_brute_force(spark, seed, monkeypatch):
+    """Sizes are far apart, so that some queries need wider bands; blocks are small, so that there are many."""
+    r = random.Random(seed)
+    one = lambda i: (i, r.choice([None, [], sorted(r.sample(range(90), r.choice([1, 2, 3, 8, 20, 40, 60, 85])))]))
+    queries_, refs = [one(i) for i in range(60)], [one(i) for i in range(90)]
+    refs += [(200 + i, x and x[:-1]) for i, x in queries_[:20]] + [(300, queries_[0][1])]
+    jac = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y)) if x or y else 1.0
+    want = {i: max(jac(x, y) for _, y in refs if y is not None) for i, x in queries_ if x is not None}
+    q, ref = spark.createDataFrame(queries_, "id int, bits array<int>"), spark.createDataFrame(refs, "id int, bits array<int>")
+    for most in (4096, 9):
+        monkeypatch.setattr(blocks, "BLOCK_SETS", most)
+        got = neighbors.nearest(q, ref, 64).collect()
+        assert {x.id: x.similarity for x in got} == pytest.approx(want) and len(got) == len(want)
+    assert neighbors.nearest(q, ref.limit(0), 64).count() == 0 == neighbors.nearest(q.limit(0), ref, 64).count()
 
 
 def test_consensus_cliffs_equal_brute_force(spark):
