@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from splitlens.session import written
 
-RANGES = 64
+STEPS = 250_000  # of the curve, that one task sums
 
 
 def _by_score(df: DataFrame) -> DataFrame:
     """Positives and negatives by score, with those of higher or equal scores: ties are one step of the curve.
 
-    Distinct scores are cut into ranges at approximate quantiles; sums run within a range, and what the ranges
-    above hold, a row each, is added. Where the cuts lie does not change the result."""
+    A prefix sum on two levels: distinct scores are cut into ranges of about ``STEPS``, as many as their number asks for; sums run
+    within a range, and what the ranges above hold, a row each, is added. Where the cuts lie does not change the result."""
     known = df.where("y is not null and score is not null")
-    cuts = sorted(set(known.approxQuantile("score", [i / RANGES for i in range(1, RANGES)], 0.005)))
-    steps = known.groupBy("score").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("n"))
-    steps = steps.withColumn("part", sum(((F.col("score") > c).cast("int") for c in cuts), F.lit(0)))
-    totals = {r.part: (r.p, r.n) for r in steps.groupBy("part").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).collect()}
-    higher = [(part, sum(p for k, (p, _) in totals.items() if k > part), sum(n for k, (_, n) in totals.items() if k > part)) for part in totals]
-    table = df.sparkSession.createDataFrame(higher, "part int, p_above long, n_above long")
+    counted = known.groupBy("score").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("n"))
+    counted = written(counted, "steps")
+    parts = max(1, math.ceil(counted.count() / STEPS))
+    steps = written(counted.repartitionByRange(parts, F.desc("score")).withColumn("part", F.spark_partition_id()), "ranges") if parts > 1 else counted.withColumn("part", F.lit(0))
+    sums = steps.groupBy("part").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each range
+    table = sums.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_above") for c in ("p", "n")])
     above = Window.partitionBy("part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = steps.withColumn("tp", F.sum("p").over(above)).withColumn("fp", F.sum("n").over(above)).join(F.broadcast(table), "part")
     return summed.withColumn("tp", F.col("tp") + F.col("p_above")).withColumn("fp", F.col("fp") + F.col("n_above"))

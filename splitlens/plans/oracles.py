@@ -151,6 +151,25 @@ def oracle_sql() -> dict[str, str]:
                 SELECT *, row_number() OVER (PARTITION BY query ORDER BY identity_pct >= 99.99 DESC, CASE WHEN identity_pct < 99.99 THEN identity_pct END DESC,
                     CASE WHEN identity_pct < 99.99 THEN score END DESC, reference, identity_pct, score) AS place FROM a)
             SELECT query, reference, round(identity_pct, 6) AS identity_pct, score FROM r WHERE place = 1""",
+        "exact_split": """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5('123:' || o_orderkey)) - 1 AS place, count(*) OVER () AS n FROM orders)
+            SELECT CASE WHEN place < CAST(floor(CAST(0.8 AS DOUBLE) * n) AS BIGINT) THEN 'train' WHEN place < CAST(floor(CAST(0.9 AS DOUBLE) * n) AS BIGINT) THEN 'valid' ELSE 'test' END AS split,
+                   count(*) AS n, sum(o_orderkey) AS keys FROM r GROUP BY split""",
+        "hashed_group_split": """WITH RECURSIVE g AS (
+                SELECT o_custkey, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, md5('123:' || o_custkey)) AS i FROM orders GROUP BY o_custkey
+            ), whole AS (SELECT CAST(0.8 AS DOUBLE) * count(*) AS train, CAST(0.9 AS DOUBLE) * count(*) AS both_ FROM orders
+            ), walk(i, side, t, b) AS (
+                SELECT CAST(0 AS BIGINT), '', CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+                UNION ALL
+                SELECT g.i, CASE WHEN w.t + g.n <= s.train THEN 'train' WHEN w.b + g.n <= s.both_ THEN 'valid' ELSE 'test' END, CASE WHEN w.t + g.n <= s.train THEN w.t + g.n ELSE w.t END,
+                       CASE WHEN w.t + g.n <= s.train OR w.b + g.n <= s.both_ THEN w.b + g.n ELSE w.b END
+                FROM walk AS w JOIN g ON g.i = w.i + 1, whole AS s
+            ) SELECT g.o_custkey, w.side AS split, g.n FROM g JOIN walk AS w ON w.i = g.i""",
+        "string_ratio_pairs": """WITH names AS (SELECT DISTINCT p_name AS s FROM part), pairs AS (SELECT x.s AS a, y.s AS b FROM names AS x JOIN names AS y ON x.s < y.s), scored AS (
+                SELECT a, b, 2 * list_last(list_reduce(list_transform(range(1, len(a) + 1), lambda i: [i]), lambda prev, i:
+                    list_reduce(list_transform(range(1, len(b) + 1), lambda j: [j]), lambda acc, j:
+                        list_append(acc, CASE WHEN a[i[1]] = b[j[1]] THEN prev[j[1]] + 1 ELSE greatest(prev[j[1] + 1], list_last(acc)) END), [CAST(0 AS BIGINT)]),
+                    list_transform(range(0, len(b) + 1), lambda j: CAST(0 AS BIGINT)))) / CAST(len(a) + len(b) AS DOUBLE) AS similarity FROM pairs)
+            SELECT a, b, similarity FROM scored WHERE similarity >= 0.7""",
         "alignment_top50": """WITH a AS (SELECT l_suppkey AS query, l_orderkey || '-' || l_linenumber AS reference, 90 + 100 * l_discount AS identity_pct, l_quantity AS score, l_returnflag AS comparison FROM lineitem), r AS (
                 SELECT *, row_number() OVER (PARTITION BY comparison, query ORDER BY identity_pct >= 99.99 DESC, CASE WHEN identity_pct < 99.99 THEN identity_pct END DESC,
                     CASE WHEN identity_pct < 99.99 THEN score END DESC, reference, identity_pct, score) AS place FROM a)

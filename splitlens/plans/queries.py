@@ -352,6 +352,17 @@ def q_group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitters.group_split(own, "p_brand").groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p_brand").alias("groups"))
 
 
+def q_exact_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "orders").select("o_orderkey")
+    return splitters.exact_split(own, "o_orderkey").groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+def q_hashed_group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by customer: the side of each customer."""
+    own = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return splitters.hashed_group_split(own, "o_custkey").groupBy("o_custkey", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
 def q_hashed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return splitters.hashed_split(own, "o_custkey").groupBy("split").agg(F.count(F.lit(1)).alias("n"))

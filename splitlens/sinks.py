@@ -11,8 +11,6 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SINGLE_BYTES = 4 << 30  # of rows that are joined to one file
-
 
 def plain(value: Any) -> Any:
     """JSON-safe: rows and mappings to objects, sequences to lists, missing numbers to null, else text."""
@@ -43,16 +41,11 @@ def exists(path: str | Path) -> bool:
     return fs.exists(there)
 
 
-def _write(path: str | Path, head: bytes, parts: Iterable = ()) -> None:
-    """A file of ``head`` and the contents of ``parts``, copied by the JVM."""
+def _write(path: str | Path, content: bytes) -> None:
     there, fs = _at(path)
     out = fs.create(there, True)
     try:
-        out.write(bytearray(head))
-        for p in parts:
-            own = fs.open(p)
-            SparkSession.active()._jvm.org.apache.hadoop.io.IOUtils.copyBytes(own, out, 1 << 20, False)
-            own.close()
+        out.write(bytearray(content))
     finally:
         out.close()
 
@@ -62,22 +55,32 @@ def write_json(payload: Any, path: str | Path) -> Path:
     return Path(path)
 
 
-def _one_file(folder: str, to: str | Path, head: str = "") -> Path:
-    """Joins the part files of a folder, up to ``SINGLE_BYTES``; a larger result stays a folder of parts, which takes the name."""
+def _parts(fs, folder) -> list:
+    return sorted((s for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")), key=lambda s: s.getPath().getName())
+
+
+def _one_file(folder: str, to: str | Path, header: bool = False) -> Path:
+    """Joins the part files of a folder, whatever their size, copied by the JVM; with ``header``, the first line of each
+    but the first is left out."""
     there, fs = _at(folder)
-    parts = sorted((s for s in fs.listStatus(there) if s.getPath().getName().startswith("part-")), key=lambda s: s.getPath().getName())
-    target = _at(to)[0]
+    target, jvm = _at(to)[0], SparkSession.active()._jvm
     fs.delete(target, True)
-    if sum(s.getLen() for s in parts) > SINGLE_BYTES:
-        fs.rename(there, target)
-    else:
-        _write(to, head.encode(), [s.getPath() for s in parts])
-        fs.delete(there, True)
+    out = fs.create(target, True)
+    try:
+        for k, part in enumerate(_parts(fs, there)):
+            own = fs.open(part.getPath())
+            while header and k and own.read() not in (-1, 0x0A):
+                pass
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(own, out, 1 << 20, False)
+            own.close()
+    finally:
+        out.close()
+    fs.delete(there, True)
     return Path(to)
 
 
 def write_rows(rows: DataFrame, path: str | Path, single: bool = True) -> Path | None:
-    """An object per line; no file if there are no rows. ``single`` joins Spark's part files."""
+    """An object per line; no file if there are no rows. ``single`` joins Spark's part files; else the path is a folder of them."""
     if not rows.head(1):
         return None
     folder = f"{path}.parts" if single else str(path)
@@ -85,14 +88,15 @@ def write_rows(rows: DataFrame, path: str | Path, single: bool = True) -> Path |
     return _one_file(folder, path) if single else Path(path)
 
 
-def write_records(records: DataFrame, path: str | Path) -> Path | None:
-    """CSV with a header; arrays as JSON; no file if there are no rows."""
+def write_records(records: DataFrame, path: str | Path, single: bool = True) -> Path | None:
+    """CSV with a header; arrays as JSON; no file if there are no rows. ``single`` joins the part files under one header;
+    else the path is a folder of parts, each with the header."""
     if not records.head(1):
         return None
     flat = records.select(*[F.to_json(c).alias(c) if kind.startswith(("array", "struct", "map")) else F.col(c) for c, kind in records.dtypes])
-    folder = f"{path}.parts"
-    flat.write.mode("overwrite").option("header", False).option("escape", '"').csv(folder)
-    return _one_file(folder, path, ",".join(flat.columns) + "\n")
+    folder = f"{path}.parts" if single else str(path)
+    flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(folder)
+    return _one_file(folder, path, True) if single else Path(path)
 
 
 def write_fasta(sequences: DataFrame, path: str, id_col: str = "sequence_id", seq_col: str = "sequence") -> None:
@@ -118,10 +122,31 @@ def write_fold_jobs(sequences: DataFrame, path: str, seeds: tuple[int, ...] = (1
     fold_jobs(sequences, seeds).write.mode("overwrite").partitionBy("name").text(path)
 
 
-EXPECTED = ("summary.json",)
+MANIFEST = "manifest.json"
+
+
+def _bytes(path: str | Path) -> int | None:
+    """Size of a file, or of the parts of a folder; None where there is nothing."""
+    there, fs = _at(path)
+    if not fs.exists(there):
+        return None
+    found = fs.getFileStatus(there)
+    return sum(s.getLen() for s in _parts(fs, there)) if found.isDirectory() else found.getLen()
+
+
+def write_manifest(folder: str | Path, names: Iterable[str]) -> None:
+    """Written last: the files of a result and their sizes."""
+    write_json({"files": {n: _bytes(f"{folder}/{n}") for n in sorted(names)}}, f"{folder}/{MANIFEST}")
 
 
 def is_done(folder: str | Path, benchmark: bool = False) -> bool:
-    """Whether an audit's files are there, so that it can be skipped. Rows are written before the summary, and not at all
-    where there are none."""
-    return all(exists(f"{folder}/{name}") for name in (*EXPECTED, *(("performance.json",) if benchmark else ())))
+    """Whether a result is whole, so that it can be skipped: its manifest is there, and so is every file in it, as large as it
+    was. A result that was cut off has no manifest, and one that lost a file or a part of one isn't whole."""
+    if not exists(f"{folder}/{MANIFEST}"):
+        return False
+    lines = SparkSession.active().read.text(f"{folder}/{MANIFEST}", wholetext=True).first()
+    try:
+        files = json.loads(lines[0])["files"]
+    except (TypeError, ValueError, KeyError):
+        return False
+    return "summary.json" in files and (not benchmark or "performance.json" in files) and all(_bytes(f"{folder}/{n}") == size for n, size in files.items())

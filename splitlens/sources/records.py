@@ -104,11 +104,14 @@ def split_by_method(df: DataFrame, config: AuditConfig) -> DataFrame:
     rows = numbered(df.withColumn("split", F.lit("all"))).withColumnRenamed("row_id", "__place").drop("split")
     if method is splitters.random_split:
         out = method(rows, config.split_fracs, config.split_seed, row_id="__place")
+    elif method is splitters.exact_split:
+        out = method(rows, "__place", config.split_fracs, config.split_seed)
     else:
         entity = resolve(df.columns, "entity", config.columns.get("entity"))
         if entity is None:
             raise KeyError("no entity column; set info.smiles_col")
-        out = method(rows.withColumn("__scaffold", scaffold(F.col(entity))), "__scaffold", config.split_fracs, config.split_seed, row_id="__place").drop("__scaffold")
+        place = {"row_id": "__place"} if method is splitters.group_split else {}
+        out = method(rows.withColumn("__scaffold", scaffold(F.col(entity))), "__scaffold", config.split_fracs, config.split_seed, **place).drop("__scaffold")
     return canonical(out, config, F.col("__place")).drop("__place")
 
 

@@ -72,3 +72,31 @@ def test_tanimoto_and_packing(spark):
     r = one(spark, tanimoto(s(1, 2, 3), s(2, 3, 4)).alias("h"), tanimoto(s(), s()).alias("e"), tanimoto(s(1), s()).alias("z"), packed(s(0, 3, 64, 127), 128).alias("p"))
     assert (r.h, r.e, r.z) == (0.5, 1.0, 0.0)
     assert r.p == [9, (1 | 1 << 63) - (1 << 64)]
+
+
+def test_common_subsequences_of_any_length_equal_the_table():
+    import random
+
+    from splitlens.functions import similarity
+
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    r = random.Random(3)
+    some = lambda: "".join(r.choices("abé中😀", k=r.choice([0, 1, 5, 63, 64, 65, 127, 128, 129, 200])))
+    a, b = [some() for _ in range(120)], [some() for _ in range(120)]
+    want = [table(x, y) for x, y in zip(a, b, strict=True)]
+    assert similarity.common_subsequences(a, b).tolist() == want
+    similarity._CELLS, before = 500, similarity._CELLS
+    try:
+        assert similarity.common_subsequences(a, b).tolist() == want
+    finally:
+        similarity._CELLS = before
+    assert similarity.common_subsequences([], []).tolist() == []
+    assert similarity.common_subsequence("a" * 3000 + "b", "b" + "a" * 2900) == 2900

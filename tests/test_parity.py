@@ -162,11 +162,18 @@ def test_registry_hits_and_exports(spark, tmp_path):
     assert job["name"] == "s1" and job["modelSeeds"] == [1, 2] and job["sequences"][0]["protein"]["sequence"] == "MKV"
 
 
-def test_large_results_stay_folders(spark, tmp_path, monkeypatch):
+def test_results_are_one_file_or_a_folder_as_asked(spark, tmp_path):
     rows = spark.range(50, numPartitions=3).selectExpr("id", "array(id, null) as a")
     assert [json.loads(x)["id"] for x in sinks.write_rows(rows, tmp_path / "r.jsonl").read_text().splitlines()] == list(range(50))
-    monkeypatch.setattr(sinks, "SINGLE_BYTES", 10)
-    assert sinks.write_rows(rows, tmp_path / "r.jsonl").is_dir() and spark.read.json(str(tmp_path / "r.jsonl")).count() == 50
+    sinks._at(tmp_path / "r.jsonl")[1].delete(sinks._at(tmp_path / "r.jsonl")[0], True)
+    assert sinks.write_rows(rows, tmp_path / "r.jsonl", False).is_dir() and spark.read.json(str(tmp_path / "r.jsonl")).count() == 50
+    named = rows.selectExpr("id", "concat('a,\"b ', id) as `x y`", "a")
+    text = sinks.write_records(named, tmp_path / "one.csv").read_text().splitlines()
+    assert len(text) == 51 and text[0] == "id,x y,a" and sum(x.startswith("id,") for x in text) == 1
+    sinks.write_records(named, tmp_path / "many.csv", False)
+    for path in ("one.csv", "many.csv"):
+        back = spark.read.csv(str(tmp_path / path), header=True, escape='"')
+        assert back.columns == ["id", "x y", "a"] and sorted(int(r.id) for r in back.collect()) == list(range(50)) and back.where("id = 7").first()["x y"] == 'a,"b 7'
     assert sinks.write_rows(rows.limit(0), tmp_path / "none.jsonl") is None
 
 
@@ -247,3 +254,65 @@ def test_consensus_cliffs_equal_brute_force(spark):
             if kind:
                 want[kind] = want.get(kind, 0) + 1
     assert {r.kind: r.n for r in queries.q_consensus_cliffs(spark, sf).collect()} == want
+
+
+def test_a_result_that_lost_something_is_not_whole(spark, tmp_path):
+    sinks.write_json({"a": 1}, tmp_path / "summary.json")
+    sinks.write_rows(spark.range(9), tmp_path / "cliffs.jsonl")
+    assert not sinks.is_done(tmp_path)
+    sinks.write_manifest(tmp_path, ["summary.json", "cliffs.jsonl"])
+    assert sinks.is_done(tmp_path) and not sinks.is_done(tmp_path, benchmark=True)
+    whole = (tmp_path / "cliffs.jsonl").read_text()
+    (tmp_path / "cliffs.jsonl").write_text(whole[:-4])
+    (tmp_path / ".cliffs.jsonl.crc").unlink(missing_ok=True)
+    assert not sinks.is_done(tmp_path)
+    (tmp_path / "cliffs.jsonl").write_text(whole)
+    assert sinks.is_done(tmp_path)
+    (tmp_path / "manifest.json").write_text("{")
+    (tmp_path / ".manifest.json.crc").unlink(missing_ok=True)
+    assert not sinks.is_done(tmp_path)
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 1003])
+def test_exact_splits_have_the_sizes_of_the_random_split(spark, n, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(splitters, "_FEW", 5)
+    monkeypatch.setattr(splitters, "_DIGITS", 1)
+    df = spark.range(n).withColumn("split", F.lit("old"))
+    for fractions in ((0.8, 0.1, 0.1), (0.0, 0.5, 0.5), (1.0, 0.0, 0.0)):
+        got = {r.id: r.split for r in splitters.exact_split(df, "id", fractions).collect()}
+        order = sorted(range(n), key=lambda i: hashlib.md5(f"123:{i}".encode()).hexdigest())
+        a, b = int(fractions[0] * n), int((fractions[0] + fractions[1]) * n)
+        assert got == {i: "train" if k < a else "valid" if k < b else "test" for k, i in enumerate(order)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_group_walks_on_the_histogram_equal_the_walk_over_groups(spark, seed, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(splitters, "_FEW", 3)
+    monkeypatch.setattr(splitters, "_DIGITS", 1)
+    r = random.Random(seed)
+    groups = [(g if g else None, r.choice([1, 1, 1, 2, 2, 3, 5, 40])) for g in range(r.choice([1, 60, 200]))]
+    rows = [(g, i) for g, n in groups for i in range(n)]
+    got = splitters.hashed_group_split(spark.createDataFrame(rows, "g int, i int"), "g").collect()
+    assert len(got) == len(rows)
+    order = sorted(groups, key=lambda x: (-x[1], "" if x[0] is None else hashlib.md5(f"123:{x[0]}".encode()).hexdigest()))
+    monkeypatch.setattr(splitters.np.random, "RandomState", lambda seed: types.SimpleNamespace(shuffle=lambda x: None))
+    want = dict(zip([g for g, _ in order], splitters.assign_groups([n for _, n in order]), strict=True))
+    assert {(x.g, x.split) for x in got} == set(want.items())
+
+
+def test_auc_over_many_ranges(spark, monkeypatch):
+    from splitlens.operators import metrics
+
+    r = random.Random(4)
+    rows = [(r.randint(0, 1), r.randint(0, 60) / 7) for _ in range(800)]
+    df = spark.createDataFrame(rows, "y int, score double")
+    whole = (metrics.roc_auc(df).first()[0], metrics.average_precision(df).first()[0])
+    pos, neg = [s for y, s in rows if y], [s for y, s in rows if not y]
+    assert whole[0] == pytest.approx(sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg)))
+    monkeypatch.setattr(metrics, "STEPS", 5)
+    assert (metrics.roc_auc(df).first()[0], metrics.average_precision(df).first()[0]) == pytest.approx(whole)
+    assert metrics.roc_auc(df.limit(0)).first()[0] is None
