@@ -27,6 +27,7 @@ EPSILON = 1e-9
 MOST_BITS = 1 << 14  # of a domain that is scanned
 _MADE, _COMPARED = 1e-6, 1e-10  # seconds: for a pair that a join makes, for a bit of a pair that is compared
 LONG = 32  # strings above this are joined on longer grams
+SEGMENTED = 0.8  # from this threshold on, segments of shorter strings have two letters or more
 
 
 def _ranked(items: DataFrame) -> DataFrame:
@@ -101,12 +102,13 @@ def _grams(text: Column, q: int) -> Column:
     return grams
 
 
-def string_candidates(strings: DataFrame, threshold: float) -> DataFrame:
+def string_candidates(strings: DataFrame, threshold: float, way: str | None = None) -> DataFrame:
     """Pairs of ids whose strings (``text``) may have an indel ratio of ``threshold`` or more.
 
     Such strings keep a common subsequence of threshold * (la + lb) / 2, hence share that many characters as
-    multisets, and la * t / (2 - t) at least whatever the partner's length. Long strings are joined on runs of q
-    characters instead, of which each of the at most 2 * la * (1 - t) / t edits breaks q."""
+    multisets, and la * t / (2 - t) at least whatever the partner's length. From ``SEGMENTED`` on, short strings are joined on
+    letters or on ``segments`` of letters, whichever makes fewer pairs by the counts of their keys (``way`` overrides that);
+    long ones are joined on runs of q characters, of which each of the at most 2 * la * (1 - t) / t edits breaks q."""
     t = threshold
     longest_partner = (2 - t) / t if t > 0 else math.inf
     edits = 2 * (1 - t) / t if t > 0 else math.inf
@@ -114,21 +116,77 @@ def string_candidates(strings: DataFrame, threshold: float) -> DataFrame:
     sized = strings.select("id", "text", F.length("text").alias("size")).where("text is not null and size > 0")
     fits = F.least("sa", "sb") * 2 >= t * (F.col("sa") + F.col("sb")) - EPSILON
 
+    def letters(part: DataFrame) -> DataFrame:
+        return _ranked(numbered(part, 1)).where(F.col("rank") <= F.col("size") - F.ceil(t * F.col("size") / (2 - t) - EPSILON) + 1)
+
+    def lettered(part: DataFrame) -> DataFrame:
+        return _meeting(letters(part), fits)
+
     def numbered(part: DataFrame, n: int) -> DataFrame:
         each = part.select("id", "size", F.posexplode(_grams(F.col("text"), n)).alias("pos", "gram"))
         occurrence = F.row_number().over(Window.partitionBy("id", "gram").orderBy("pos"))
         return each.withColumn("feature", F.struct("gram", occurrence.alias("n"))).select("id", "size", "feature")
 
+    short, long_ = sized.where(F.col("size") <= math.floor(LONG * longest_partner)), sized.where(F.col("size") > LONG)
+    if t < SEGMENTED:
+        if q == 1:
+            return lettered(sized)
+        found = lettered(short)
+    else:
+        left, right = _segments(short, t)
+        if way is None:
+            key = ["n", "no", "letters"]
+            of = lambda df, *by: df.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("k"))
+            segmented = of(left, *key).join(of(right, *key).withColumnRenamed("k", "o"), key).agg(F.sum(F.col("k") * F.col("o"))).first()[0] or 0.0
+            way = "segments" if segmented <= (of(letters(short), "feature").agg(F.sum(F.col("k") * F.col("k") / 2)).first()[0] or 0.0) else "letters"
+        found = _meeting_segments(left, right) if way == "segments" else lettered(short)
     if q == 1:
-        short, long_ = sized, None
+        rest = lettered(long_)
     else:
-        short, long_ = sized.where(F.col("size") <= math.floor(LONG * longest_partner)), sized.where(F.col("size") > LONG)
-    by_letter = _ranked(numbered(short, 1)).where(F.col("rank") <= F.col("size") - F.ceil(t * F.col("size") / (2 - t) - EPSILON) + 1)
-    found = _meeting(by_letter, fits)
-    if long_ is not None:
         by_gram = _ranked(numbered(long_, q)).where(F.col("rank") <= q * F.floor(edits * F.col("size") + EPSILON) + 1)
-        found = found.unionByName(_meeting(by_gram, fits)).distinct()
-    return found
+        rest = _meeting(by_gram, fits)
+    return found.unionByName(rest).distinct()
+
+
+def _segments(sized: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
+    """What strings have and what they ask for, so that similar ones meet by pigeonhole. The shorter string of a pair, of length n, is cut evenly into one segment more than the
+    edits that any partner can be away. The first segment up to whose end there are no more edits than segments before it is
+    unharmed: it stands in the longer string, at most as far from its place as there are edits before it, and as the
+    edits behind it allow. So strings meet on length, segment number and its letters."""
+
+    def edits(short: Column, long_: Column) -> Column:
+        return F.floor((1 - t) * (short + long_) + EPSILON).cast("int")
+
+    def pieces(n: Column) -> Column:
+        return edits(n, F.floor(n * (2 - t) / t + EPSILON)) + 1
+
+    def start(n: Column, i: Column) -> Column:
+        m = pieces(n)
+        return (i * F.floor(n / m) + F.greatest(F.lit(0), i - (m - n % m))).cast("int")
+
+    n = F.col("size")
+    own = F.transform(F.sequence(F.lit(0), pieces(n) - 1), lambda i: F.struct(i.alias("no"), F.substring("text", start(n, i) + 1, start(n, i + 1) - start(n, i)).alias("letters")))
+    left = sized.select(F.col("id").alias("x"), n.alias("n"), F.explode(own).alias("s")).select("x", "n", "s.no", "s.letters")
+    shorter = F.sequence(F.ceil(n * t / (2 - t) - EPSILON).cast("int"), n)
+    each = sized.select("id", "text", "size", F.explode(shorter).alias("n"))
+    short, more = F.col("n"), F.col("size") - F.col("n")
+    most, m = edits(short, F.col("size")), pieces(short)
+
+    def asked(i: Column) -> Column:
+        at, length = start(short, i), start(short, i + 1) - start(short, i)
+        low = F.greatest(-i, more - (m - 1 - i), -F.floor((most - more) / 2).cast("int"), -at)
+        high = F.least(i, more + (m - 1 - i), F.floor((most + more) / 2).cast("int"), F.col("size") - length - at)
+        shifts = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(shifts, lambda d: F.struct(i.alias("no"), F.substring("text", at + d + 1, length).alias("letters"))))
+
+    probes = F.flatten(F.transform(F.sequence(F.lit(0), m - 1), asked))
+    right = each.where(more <= most).select(F.col("id").alias("y"), "n", F.explode(probes).alias("s")).select("y", "n", "s.no", "s.letters")
+    return left, right
+
+
+def _meeting_segments(left: DataFrame, right: DataFrame) -> DataFrame:
+    met = left.join(right, ["n", "no", "letters"]).where("x != y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def string_ratio_pairs(strings: DataFrame, threshold: float) -> DataFrame:

@@ -316,3 +316,35 @@ def test_auc_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(metrics, "STEPS", 5)
     assert (metrics.roc_auc(df).first()[0], metrics.average_precision(df).first()[0]) == pytest.approx(whole)
     assert metrics.roc_auc(df.limit(0)).first()[0] is None
+
+
+@pytest.mark.parametrize("threshold", [0.75, 0.8, 0.87, 0.9, 0.95, 1.0])
+def test_string_candidates_lose_no_pair(spark, threshold):
+    """Families with letters gone and put in, around the lengths where ways change; few letters, so that many segments are equal."""
+    r = random.Random(11)
+    names = set()
+    for size in (1, 2, 3, 5, 8, 13, 20, 31, 33, 38, 45, 70):
+        base = "".join(r.choices("ab c", k=size))
+        for _ in range(7):
+            own = list(base)
+            for _ in range(r.randint(0, max(1, size // 8))):
+                if own and r.random() < 0.5:
+                    own.pop(r.randrange(len(own)))
+                else:
+                    own.insert(r.randint(0, len(own)), r.choice("ab cx"))
+            names.add("".join(own))
+    names = sorted(n for n in names if n)
+    got = {(x.a, x.b): x.similarity for x in similarity.string_ratio_pairs(spark.createDataFrame([(n, n) for n in names], "id string, text string"), threshold).collect()}
+    want = {(a, b): indel_ratio_of(a, b) for a in names for b in names if a < b and indel_ratio_of(a, b) >= threshold}
+    assert got == want
+
+
+def test_few_candidates_by_the_better_way(spark):
+    r = random.Random(6)
+    names = sorted({"".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(15, 36))) for _ in range(400)})
+    names += sorted({x[:9] + x[10:] for x in names[:50]})
+    df = spark.createDataFrame([(x, x) for x in names], "id string, text string")
+    want = {(a, b) for a in names for b in names if a < b and indel_ratio_of(a, b) >= 0.9}
+    for way in ("segments", "letters", None):
+        assert want <= {(min(x.a, x.b), max(x.a, x.b)) for x in similarity.string_candidates(df, 0.9, way).collect()}
+    assert similarity.string_candidates(df, 0.9).count() < 0.01 * len(names) ** 2 / 2
