@@ -10,7 +10,8 @@ Equal lines meet by a 128-bit key of their words and are combined before they ar
 1. One edit leaves the first or the second half of the shorter line as it is, so near lines share a half,
    named by the shorter length. Lines none of whose halves occur in a different line are done.
 2. Each different line left is cut into ``PARTS`` parts, at places that follow from the shorter length: one edit
-   falls into one part and leaves all before and after it. Lines that share this with no other are done too.
+   falls into one part and leaves all before and after it. Lines that share this with no other are done too. Parts of
+   more than ``WIDE`` words are cut again in the same way, so a line of n words emits some log n keys of its length, not n.
 3. For the part that is left, a line emits its deletion neighbourhood as hashed keys: (length, place i, words
    without word i) and, for the line that may be the shorter, (length, i, all words). Two lines share a key if
    and only if one edit at that place does it.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from splitlens.llm.common import chosen, flat, place, release, saved
 
-LEAST_WORDS, PARTS = 8, 8
+LEAST_WORDS, PARTS, WIDE = 8, 8, 24  # WIDE: words of a part that is cut again
 BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -53,18 +54,25 @@ def _half_keys(line: Column, n: Column) -> Column:
     return F.array(*out)
 
 
-def _parts(lines: DataFrame) -> DataFrame:
-    """For each part of a line (``pos``, ``w``, ``n``), as the shorter and as the longer one of a pair: the key of what stands
-    before and after it, ``part``. A row for each, so that the code of one key is all that is generated."""
-    v = F.explode(F.sequence(F.lit(0), F.lit(2 * PARTS - 1)))
-    each = lines.select("pos", "w", "n", v.alias("v")).select("pos", "w", "n", (F.col("n") - F.floor(F.col("v") / PARTS)).cast("int").alias("shorter"), F.pmod("v", F.lit(PARTS)).alias("j"))
-    begin, end = (F.floor(F.col("shorter") * i / PARTS).cast("int") for i in (F.col("j"), F.col("j") + 1))
-    each = each.select("pos", "w", "n", "shorter", "j", begin.alias("begin"), end.alias("end"))
+def _parts(places: DataFrame) -> DataFrame:
+    """For each part of the words ``begin`` to ``end`` of a line (``pos``, ``w``, ``n``), as the one of a pair whose shorter line has
+    ``shorter`` words: the key of all that stands before and after it, ``part``. A row for each, so that the code of one
+    key is all that is generated."""
+    each = places.select("pos", "w", "n", "shorter", "begin", (F.col("end") - F.col("begin")).alias("room"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("j"))
+    begin, end = ((F.col("begin") + F.floor(F.col("room") * i / PARTS)).cast("int") for i in (F.col("j"), F.col("j") + 1))
+    each = each.select("pos", "w", "n", "shorter", begin.alias("begin"), end.alias("end"))
     after = F.col("shorter") - F.col("end")
-    key = F.xxhash64(F.lit(7), "shorter", "j", F.slice("w", F.lit(1), F.col("begin")), F.lit(8), F.slice("w", F.col("n") - after + 1, after))
+    key = F.xxhash64(F.lit(7), "shorter", "begin", "end", F.slice("w", F.lit(1), F.col("begin")), F.lit(8), F.slice("w", F.col("n") - after + 1, after))
     return each.select("pos", F.xxhash64(F.lit(3), "w").alias("k1"), key.alias("part"), "shorter", "begin", "end")
 
 
+def _shared_parts(places: DataFrame) -> DataFrame:
+    """The parts of ``places`` whose surroundings another line has, too: ``pos``, ``shorter``, ``begin``, ``end``."""
+    parts = saved(_parts(places), "parts")
+    shared = saved(parts.groupBy("part").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a < b").select("part"), "shared-parts")
+    return parts.join(shared, "part").select("pos", "shorter", "begin", "end").distinct()
+
+
 def _neighbourhood(spread: DataFrame) -> DataFrame:
     """Keys of a line (``pos``, ``w``, ``n``) for edits between ``begin`` and ``end``, a row for each: as the longer line
     without word i; as the shorter one (``shorter`` = n) without word i, for another word, and whole, for one more."""
@@ -122,10 +130,16 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     left = saved(texts.select(F.struct("doc_id", "line_no", "rk").alias("pos"), F.transform(F.split(normal(F.get("all", F.col("line_no"))), " "), lambda x: F.xxhash64(x)).alias("w")), "near-lines")
     release(spark)
     left = left.withColumn("n", F.size("w"))
-    parts = saved(_parts(left), "parts")
-    shared_parts = saved(parts.groupBy("part").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a < b").select("part"), "shared-parts")
-    open_ = parts.join(shared_parts, "part").groupBy("pos").agg(F.collect_set(F.struct("shorter", "begin", "end")).alias("places"))
-    spread = left.join(open_, "pos").select("pos", "w", "n", F.explode("places").alias("p")).select("pos", "w", "n", "p.*")
+    whole = left.withColumn("shorter", F.explode(F.array(F.col("n"), F.col("n") - 1))).withColumn("begin", F.lit(0)).withColumn("end", F.col("shorter"))
+    open_ = _shared_parts(whole)
+    room = -(-(left.agg(F.max("n")).first()[0] or 0) // PARTS)
+    while room > WIDE:  # long lines: the part that is left is cut again, so that a line emits few keys, whatever its length
+        open_ = saved(open_, "open-parts")
+        wide = F.col("end") - F.col("begin") > WIDE
+        open_ = open_.where(~wide).unionByName(_shared_parts(left.join(open_.where(wide), "pos"))).distinct()
+        room = -(-room // PARTS)
+    places = open_.groupBy("pos").agg(F.collect_set(F.struct("shorter", "begin", "end")).alias("places"))
+    spread = left.join(places, "pos").select("pos", "w", "n", F.explode("places").alias("p")).select("pos", "w", "n", "p.*")
     variants = saved(_neighbourhood(spread), "variants")
     shared = saved(variants.groupBy("k1", "k2").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).where("first < last").select("k1", "k2", "first"), "shared")
     release(spark)
@@ -139,13 +153,16 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` with repeated lines taken out of the text, and then ``__n_lines`` and ``__n_removed``. With
     ``drop_emptied``, rows go whose lines with words are all gone."""
     gone = repeated_lines(docs, id_col=id_col, text_col=text_col, least_words=least_words)
-    gone = gone.groupBy("doc_id", "rk").agg(F.collect_list("line_no").alias("gone"))
+    gone = gone.groupBy("doc_id", "rk").agg(F.sort_array(F.collect_list("line_no")).alias("numbers"))
+    # a byte for each line up to the last that goes: 1 for those that go
+    gaps = F.transform(F.sequence(F.lit(0), F.size("numbers") - 1), lambda k: F.concat(F.repeat(F.lit("0"), F.get("numbers", k) - F.when(k > 0, F.get("numbers", k - 1)).otherwise(-1) - 1), F.lit("1")))
+    gone = gone.select("doc_id", "rk", F.size("numbers").alias("gone"), F.array_join(gaps, "").cast("binary").alias("flags"))
     rows, name = flat(docs), place(docs, text_col)
     text, id_ = F.col(name), F.col(place(docs, id_col))
     both = rows.withColumn("mark", F.xxhash64(text)).join(gone, (id_.cast("long") == F.col("doc_id")) & (F.col("mark") == F.col("rk")), "left")
     parts = F.split(text, "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    out = both.withColumn("n_lines", F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long")).withColumn("n_removed", F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long"))
+    kept = F.array_join(F.filter(parts, lambda x, i: F.substring("flags", i + 1, F.lit(1)) != F.lit(b"1")), "\n")
+    out = both.withColumn("n_lines", F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long")).withColumn("n_removed", F.coalesce("gone", F.lit(0)).cast("long"))
     out = out.withColumn(name, F.when(F.col("gone").isNull(), text).otherwise(kept))
     if drop_emptied:
         out = out.where((F.col("n_removed") == 0) | (F.btrim(text, F.lit(BLANK)) != ""))
