@@ -72,7 +72,7 @@ def fused_by_hand(rows, scores, languages):
     first = lambda v: max(range(n), key=lambda i: (v[i], -i))
     s = [[x * language_id.TEMPER for x in row] for row in scores]
     s = [[x - max(row) for x in row] for row in s]
-    site = lambda r: (r["host"] or language_id_host(r["url"]) or "").lower() or None
+    site = lambda r: ((r["host"] if r["host"] is not None else language_id_host(r["url"])) or "").lower() or None
     sure = [bool(r["text"]) and 1 / sum(map(math.exp, v)) >= language_id.SURE for r, v in zip(rows, s, strict=True)]
     votes, hosts = {}, [site(r) for r in rows]
     for h, v, ok in zip(hosts, s, sure, strict=True):
