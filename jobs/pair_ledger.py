@@ -31,6 +31,7 @@ from splitlens.functions.labels import split_bit
 from splitlens.operators import conflicts
 from splitlens.session import get_session
 from splitlens.sources.records import canonical
+from splitlens.streaming.incremental import files
 
 log = logger("pair_ledger")
 PAIR = ["entity", "target_seq"]
@@ -81,10 +82,7 @@ def read_ledger(spark: SparkSession, out: str) -> DataFrame:
 def run(spark: SparkSession, records_path: str, out: str, checkpoint: str, config: dict[str, Any] | None = None) -> int:
     """Takes what is new below ``records_path``; returns how many records that were."""
     config = config or load_config(None, "pair_ledger")
-    known, path = spark.read.parquet(records_path), records_path.rstrip("/")
-    if [f.rsplit("/", 1)[-1] for f in known.inputFiles()] == [path.rsplit("/", 1)[-1]]:
-        path = f"{path[:-1]}[{path[-1]}]"  # a stream takes a folder or a pattern; this one fits the single file
-    stream = spark.readStream.schema(known.schema).option("maxFilesPerTrigger", int(config.get("max_files_per_batch", 1000))).parquet(path)
+    stream = files(spark, records_path, maxFilesPerTrigger=int(config.get("max_files_per_batch", 1000)))
     spark.createDataFrame([], LEDGER).write.mode("ignore").partitionBy("bucket").parquet(f"{out}/ledger")  # the first run's
     log.info("reading what is new in %s", records_path)
     read: list[int] = []

@@ -11,19 +11,21 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 CHEMISTRY = "entity string, inchi string, valid boolean, comment string, weight double, fp array<int>, frame array<int>, scaffold string"
 
 
 def flag_duplicates(records: DataFrame, keys: tuple[str, ...] = ("entity", "inchi")) -> DataFrame:
     """``valid`` false and ``comment`` Duplicate on every row that repeats one of the keys within its split; the first
-    in order stays. Null keys equal each other."""
-    repeat = F.lit(False)
-    for key in keys:
-        if key in records.columns:
-            repeat = repeat | (F.row_number().over(Window.partitionBy("split", key).orderBy("row_id")) > 1)
-    out = records.withColumn("__repeat", repeat)
+    in order stays. Null keys equal each other. A key's first row is found by an aggregation, which combines a hot key
+    before it is shuffled, and joined back, where adaptive joins split one."""
+    out, repeat = records, F.lit(False)
+    for i, key in enumerate(k for k in keys if k in records.columns):
+        own, split, first = f"__key{i}", f"__split{i}", f"__first{i}"
+        firsts = records.groupBy(F.col("split").alias(split), F.col(key).alias(own)).agg(F.min("row_id").alias(first))
+        out = out.join(firsts, (F.col("split") == F.col(split)) & F.col(key).eqNullSafe(F.col(own))).drop(own, split)
+        repeat = repeat | (F.col("row_id") > F.col(first))
+    out = out.withColumn("__repeat", repeat).drop(*[c for c in out.columns if c.startswith("__first")])
     valid = F.col("valid") if "valid" in records.columns else F.lit(True)
     comment = F.col("comment") if "comment" in records.columns else F.lit(None).cast("string")
     return out.withColumn("comment", F.when(F.col("__repeat"), "Duplicate").otherwise(comment)).withColumn("valid", valid & ~F.col("__repeat")).drop("__repeat")

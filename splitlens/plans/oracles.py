@@ -83,6 +83,11 @@ def _cliffs(test: str) -> str:
     ) SELECT kind, a AS id_a, b AS id_b, round(similarity, 6) AS tanimoto, CAST(la - lb AS DOUBLE) AS delta FROM kinds WHERE kind IS NOT NULL AND {test}"""
 
 
+#: Longest common subsequence of columns a and b.
+_LCS = """list_last(list_reduce(list_transform(range(1, len(a) + 1), lambda i: [i]), lambda prev, i:
+                    list_reduce(list_transform(range(1, len(b) + 1), lambda j: [j]), lambda acc, j:
+                        list_append(acc, CASE WHEN a[i[1]] = b[j[1]] THEN prev[j[1]] + 1 ELSE greatest(prev[j[1] + 1], list_last(acc)) END), [CAST(0 AS BIGINT)]),
+                    list_transform(range(0, len(b) + 1), lambda j: CAST(0 AS BIGINT))))"""
 _MULTI = f"""{_ITEMS}, multi AS (
     SELECT target_seq, count(DISTINCT entity) AS n_entities,
            CAST(max(CASE split WHEN 'train' THEN 1 ELSE 0 END) + max(CASE split WHEN 'valid' THEN 2 ELSE 0 END) + max(CASE split WHEN 'test' THEN 4 ELSE 0 END) AS INTEGER) AS mask,
@@ -151,6 +156,27 @@ def oracle_sql() -> dict[str, str]:
                 SELECT *, row_number() OVER (PARTITION BY query ORDER BY identity_pct >= 99.99 DESC, CASE WHEN identity_pct < 99.99 THEN identity_pct END DESC,
                     CASE WHEN identity_pct < 99.99 THEN score END DESC, reference, identity_pct, score) AS place FROM a)
             SELECT query, reference, round(identity_pct, 6) AS identity_pct, score FROM r WHERE place = 1""",
+        "consensus_cliffs": f"""WITH names AS (SELECT DISTINCT p_name AS s FROM part), pairs AS (SELECT x.s AS a, y.s AS b FROM names AS x, names AS y), sets AS (
+                SELECT *, list_distinct(string_split(a, '')) AS u, list_distinct(string_split(b, '')) AS v FROM pairs), similar_ AS (
+                SELECT a, b FROM sets WHERE len(list_intersect(u, v)) >= 0.8 * (len(u) + len(v) - len(list_intersect(u, v))) OR 2 * {_LCS} >= 0.8 * (len(a) + len(b))
+            ), recs AS (SELECT p_partkey AS k, p_name AS name, p_brand AS label, {_split('p_partkey')} AS split FROM part), kinds AS (
+                SELECT CASE WHEN x.split <> 'test' AND y.split = 'test' THEN 'cross_tv_test'
+                            WHEN (x.split = 'test') = (y.split = 'test') AND x.name <> y.name AND (CASE x.split WHEN 'train' THEN 0 WHEN 'valid' THEN 1 ELSE 2 END, x.k) < (CASE y.split WHEN 'train' THEN 0 WHEN 'valid' THEN 1 ELSE 2 END, y.k)
+                            THEN CASE WHEN x.split = 'test' THEN 'intra_test' ELSE 'intra_tv' END END AS kind
+                FROM recs AS x JOIN similar_ AS s ON x.name = s.a JOIN recs AS y ON y.name = s.b WHERE x.label <> y.label
+            ) SELECT kind, count(*) AS n FROM kinds WHERE kind IS NOT NULL GROUP BY kind""",
+        "alert_counts_many": f"""WITH {_DOCS}, rules AS (SELECT CAST(item_id AS VARCHAR) AS rule, array_to_string(string_split(coalesce(text, ''), ' ')[1:2], ' ') AS words FROM benchmark)
+            SELECT rule, count(*) AS n FROM docs JOIN rules ON words <> '' AND contains(entity, words) GROUP BY rule""",
+        "contamination_stream": f"""WITH {_DOCS} SELECT sha256(entity) AS key, CAST(max(CASE split WHEN 'train' THEN 1 ELSE 0 END) + max(CASE split WHEN 'valid' THEN 2 ELSE 0 END) + 4 AS INTEGER) AS mask
+            FROM (SELECT DISTINCT entity, split FROM docs WHERE entity IS NOT NULL) GROUP BY entity HAVING bool_or(split = 'test') AND bool_or(split <> 'test')""",
+        "label_strings": """SELECT o_orderkey, 'price' AS kind, CAST(o_totalprice AS DOUBLE) AS number, NULL AS text FROM orders UNION ALL SELECT o_orderkey, 'customer', CAST(o_custkey AS DOUBLE), NULL FROM orders
+            UNION ALL SELECT o_orderkey, 'priority', NULL, o_orderpriority FROM orders UNION ALL SELECT o_orderkey, 'status', NULL, o_orderstatus FROM orders""",
+        "label_flatten": "SELECT l_orderkey * 10 + l_linenumber AS row_id, 3 AS n, CAST(l_quantity AS DOUBLE) AS label0, CAST(l_discount AS DOUBLE) AS label1, CAST(l_tax AS DOUBLE) AS label2 FROM lineitem",
+        "default_ids": f"""WITH r AS (SELECT o_orderkey, {_split('o_orderkey')} AS split, row_number() OVER () AS place FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY place) - 1 AS row_id FROM r)
+            SELECT o_orderkey, split, row_id, CAST(row_id AS VARCHAR) AS id FROM n""",
+        "weight_stats": "SELECT round(avg(p_retailprice), 6) AS mean, round(stddev_pop(p_retailprice), 6) AS std, count(p_retailprice) AS n FROM part",
+        "task_inference": """WITH v AS (SELECT 'quality' AS label, CAST(quality AS DOUBLE) AS x FROM labels UNION ALL SELECT 'toxic', toxic FROM labels UNION ALL SELECT 'label', label FROM embeddings UNION ALL SELECT 'o_totalprice', o_totalprice FROM orders)
+            SELECT label, CASE WHEN bool_and(x IN (0, 1)) AND count(DISTINCT x) <= 10 THEN 'classification' ELSE 'regression' END AS task FROM v GROUP BY label""",
         "exact_split": """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5('123:' || o_orderkey)) - 1 AS place, count(*) OVER () AS n FROM orders)
             SELECT CASE WHEN place < CAST(floor(CAST(0.8 AS DOUBLE) * n) AS BIGINT) THEN 'train' WHEN place < CAST(floor(CAST(0.9 AS DOUBLE) * n) AS BIGINT) THEN 'valid' ELSE 'test' END AS split,
                    count(*) AS n, sum(o_orderkey) AS keys FROM r GROUP BY split""",
@@ -164,11 +190,8 @@ def oracle_sql() -> dict[str, str]:
                        CASE WHEN w.t + g.n <= s.train OR w.b + g.n <= s.both_ THEN w.b + g.n ELSE w.b END
                 FROM walk AS w JOIN g ON g.i = w.i + 1, whole AS s
             ) SELECT g.o_custkey, w.side AS split, g.n FROM g JOIN walk AS w ON w.i = g.i""",
-        "string_ratio_pairs": """WITH names AS (SELECT DISTINCT p_name AS s FROM part), pairs AS (SELECT x.s AS a, y.s AS b FROM names AS x JOIN names AS y ON x.s < y.s), scored AS (
-                SELECT a, b, 2 * list_last(list_reduce(list_transform(range(1, len(a) + 1), lambda i: [i]), lambda prev, i:
-                    list_reduce(list_transform(range(1, len(b) + 1), lambda j: [j]), lambda acc, j:
-                        list_append(acc, CASE WHEN a[i[1]] = b[j[1]] THEN prev[j[1]] + 1 ELSE greatest(prev[j[1] + 1], list_last(acc)) END), [CAST(0 AS BIGINT)]),
-                    list_transform(range(0, len(b) + 1), lambda j: CAST(0 AS BIGINT)))) / CAST(len(a) + len(b) AS DOUBLE) AS similarity FROM pairs)
+        "string_ratio_pairs": f"""WITH names AS (SELECT DISTINCT p_name AS s FROM part), pairs AS (SELECT x.s AS a, y.s AS b FROM names AS x JOIN names AS y ON x.s < y.s), scored AS (
+                SELECT a, b, 2 * {_LCS} / CAST(len(a) + len(b) AS DOUBLE) AS similarity FROM pairs)
             SELECT a, b, similarity FROM scored WHERE similarity >= 0.7""",
         "alignment_top50": """WITH a AS (SELECT l_suppkey AS query, l_orderkey || '-' || l_linenumber AS reference, 90 + 100 * l_discount AS identity_pct, l_quantity AS score, l_returnflag AS comparison FROM lineitem), r AS (
                 SELECT *, row_number() OVER (PARTITION BY comparison, query ORDER BY identity_pct >= 99.99 DESC, CASE WHEN identity_pct < 99.99 THEN identity_pct END DESC,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from splitlens.config import AuditConfig
 from splitlens.functions import labels
 from splitlens.operators import alerts, alignment, baselines, cliffs, conflicts, hygiene, metrics, neighbors, similarity, splitters, standardize, structures, targets
+from splitlens.session import shared_folder
 from splitlens.sources.records import canonical
+from splitlens.streaming import incremental
 
 BITS, THRESHOLD = 64, 0.5
 
@@ -175,6 +178,24 @@ def q_alert_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screened.select("row_id", F.col("n_warnings").cast("long").alias("n_warnings"), "first_warning")
 
 
+def q_alert_counts_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for each benchmark item: its first two words."""
+    words = F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 2), " ")
+    items = table(spark, sf_dir, "benchmark").select("item_id", words.alias("words")).where("words != ''")
+    escaped = F.regexp_replace("words", r"([^\p{L}\p{N} ])", r"\\$1")
+    rules = alerts.rules_from(items.orderBy("item_id").select(F.lit("items").alias("rule_set_name"), F.col("item_id").cast("string").alias("description"), escaped.alias("smarts"), F.lit(0).alias("max"), F.lit(0).alias("priority")))
+    return alerts.alert_counts(alerts.screen(documents(spark, sf_dir), "entity", rules))
+
+
+def q_contamination_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that a stream of the documents finds in train or valid and in test."""
+    stream = incremental.files(spark, f"{sf_dir}/documents.parquet").select(F.col("text").alias("entity"), split_of(F.col("doc_id"), 7, 1).alias("split"))
+    out = f"{shared_folder(spark)}/contamination-{uuid.uuid4().hex}"
+    found = incremental.newly_contaminated(stream).writeStream.trigger(availableNow=True).outputMode("append").format("parquet")
+    found.option("checkpointLocation", f"{out}/checkpoint").option("path", f"{out}/found").start().awaitTermination()
+    return spark.read.schema("key string, mask int").parquet(f"{out}/found")
+
+
 def q_duplicate_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standardize.flag_duplicates(documents(spark, sf_dir)).select("row_id", "split", "valid", "comment")
 
@@ -198,6 +219,40 @@ def q_label_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("c_custkey", number.alias("number"), F.when(number.isNull(), key).alias("text"))
 
 
+def q_label_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of a table as labels: numbers, numbers with blanks around, words, and words that begin with a number."""
+    columns = {"price": F.col("o_totalprice").cast("string"), "customer": F.concat(F.lit("  "), "o_custkey", F.lit("\t")), "priority": F.col("o_orderpriority"), "status": F.col("o_orderstatus")}
+    each = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("raw")) for k, v in columns.items()])).alias("s")).select("o_orderkey", "s.*")
+    number, key = labels.coerced(F.col("raw"))
+    return each.select("o_orderkey", "kind", number.alias("number"), F.when(number.isNull(), key).alias("text"))
+
+
+def q_label_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested labels as one list."""
+    nested = F.array(F.array("l_quantity"), F.array("l_discount", "l_tax"))
+    own = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", nested.alias("label"), F.lit("train").alias("split"))
+    records = canonical(own, AuditConfig("regression", columns={"entity": "l_partkey", "label": "label"}), F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return records.select("row_id", F.size("label_num").alias("n"), *[F.get("label_num", F.lit(i)).alias(f"label{i}") for i in range(3)])
+
+
+def q_default_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records without an id column are numbered within their split, as read."""
+    own = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", split_of(F.col("o_orderkey")).alias("split"))
+    records = canonical(own, AuditConfig("classification", columns={"entity": "o_custkey", "label": "o_orderstatus"}))
+    return records.select("o_orderkey", "split", "row_id", "id")
+
+
+def q_weight_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(hygiene.population_stats(table(spark, sf_dir, "part"), "p_retailprice"), "mean", "std")
+
+
+def q_task_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which task labels ask for that no config names."""
+    found = [("quality", "labels", "doc_id"), ("toxic", "labels", "doc_id"), ("label", "embeddings", "vec_id"), ("o_totalprice", "orders", "o_orderkey")]
+    records = lambda c, t, k: canonical(table(spark, sf_dir, t).select(k, c, F.lit("train").alias("split")), AuditConfig("classification", columns={"entity": k, "label": c}), F.col(k))
+    return spark.createDataFrame([(c, baselines.infer_task(records(c, t, k))) for c, t, k in found], "label string, task string")
+
+
 def q_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     return part.select("p_partkey", labels.slug(F.concat(F.lit(" *"), "p_type", F.lit(" / "), "p_brand", F.lit("?!"))).alias("slug"))
@@ -368,16 +423,29 @@ def q_hashed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitters.hashed_split(own, "o_custkey").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-def q_baseline_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The operator's forest on all components of vectors, their labels as numbers."""
+def _vector_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Vectors' components as columns, their labels as numbers."""
     v = table(spark, sf_dir, "embeddings").withColumn("split", split_of(F.col("vec_id")))
     names = [f"x{i}" for i in range(v.agg(F.max(F.size("embedding"))).first()[0] or 0)]
     own = v.select("vec_id", "label", "split", *[F.get("embedding", F.lit(i)).cast("double").alias(x) for i, x in enumerate(names)])
-    records = canonical(own, AuditConfig("regression", columns={"entity": "vec_id", "label": "label", "id": "vec_id"}), F.col("vec_id"))
+    return canonical(own, AuditConfig("regression", columns={"entity": "vec_id", "label": "label", "id": "vec_id"}), F.col("vec_id")), names
+
+
+def q_baseline_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator's forest on all components of vectors, their labels as numbers."""
+    records, names = _vector_records(spark, sf_dir)
     done = baselines.run_baselines(records, "regression", columns=names, models=("random_forest",))
     m = done["models"]["random_forest"]["metrics"]
     return spark.createDataFrame([(m["mse"], m["pearson"])], "mse double, pearson double")
 
 
+def q_baseline_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator's network on the same, in 40 steps."""
+    records, names = _vector_records(spark, sf_dir)
+    done = baselines.run_baselines(records, "regression", columns=names, models=("mlp",), iterations=40)
+    m = done["models"]["mlp"]["metrics"]
+    return spark.createDataFrame([(m["mse"], m["pearson"])], "mse double, pearson double")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name[2:]: f for name, f in globals().items() if name.startswith("q_")}

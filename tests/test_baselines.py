@@ -1,6 +1,10 @@
 import random
 
-from splitlens.operators import baselines
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from splitlens.operators import baselines, networks
 from splitlens.plans import queries
 
 
@@ -13,7 +17,49 @@ def test_forest_query_uses_every_component_and_the_default_trees(spark, tmp_path
         rows.append((i, v, int(10 * v[11])))
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     seen, models = [], baselines._models
-    monkeypatch.setattr(baselines, "_models", lambda task, seed, trees, width: seen.append((trees, width)) or models(task, seed, trees, width))
+    monkeypatch.setattr(baselines, "_models", lambda task, seed, trees, width, classes: seen.append((trees, width)) or models(task, seed, trees, width, classes))
     found = queries.q_baseline_rf(spark, str(tmp_path)).first()
     assert seen == [(baselines.TREES, 12)]
     assert found.pearson > 0.9
+
+
+@pytest.mark.parametrize("classes", [True, False])
+def test_slopes_of_a_network_equal_differences(classes):
+    r = np.random.default_rng(2)
+    shape = networks.Shape((3, 5, 4, 3 if classes else 1), classes)
+    theta, x = shape.start(1), r.normal(size=(7, 3))
+    y = np.eye(3)[r.integers(0, 3, 7)] if classes else r.normal(size=(7, 1))
+    slope = shape.slope(theta, x, y)[1:]
+    for k in range(0, len(theta), 5):
+        d = np.zeros_like(theta)
+        d[k] = 1e-6
+        assert np.isclose((shape.slope(theta + d, x, y)[0] - shape.slope(theta - d, x, y)[0]) / 2e-6, slope[k], atol=1e-4)
+
+
+def test_networks_learn_and_do_not_depend_on_partitions(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(300, 2)) * [1, 50]
+    z = np.where(x[:, 0] > 0.5, 2.0, np.where(x[:, 1] > 0, 1.0, 5.0))
+    rows = [([float(a), float(b)], float(100 + 30 * a * a), float(c)) for (a, b), c in zip(x, z, strict=True)]
+    table = spark.createDataFrame(rows, "features array<double>, number double, kind double")
+    of = lambda df, y: df.select("features", F.col(y).alias("y"))
+    monkeypatch.setattr(networks, "FAN", 2)
+    one = networks.fit(of(table.coalesce(1), "number"), "regression", (16,), 60)
+    two = networks.fit(of(table.repartition(5), "number"), "regression", (16,), 60)
+    assert np.allclose(one.theta, two.theta, atol=1e-6)
+    got = one.predicted(of(table, "number")).collect()
+    assert np.corrcoef([g.y for g in got], [g.prediction for g in got])[0, 1] > 0.95 and got[0].probabilities is None
+    kinds = networks.fit(of(table, "kind"), "classification", (16,), 60)
+    assert kinds.labels == [1.0, 2.0, 5.0]
+    got = kinds.predicted(of(table, "kind")).collect()
+    assert sum(g.y == g.prediction for g in got) > 270 and abs(sum(got[0].probabilities) - 1) < 1e-9
+    with pytest.raises(ValueError):
+        networks.fit(of(table.limit(0), "kind"), "classification")
+
+
+def test_bits_become_sparse_vectors(spark):
+    from splitlens.operators.baselines import features
+
+    rows = spark.createDataFrame([(1, [0, 3, 7], [1.0]), (2, [], [0.0]), (3, None, [1.0])], "row_id long, fp array<int>, label_num array<double>")
+    got = [r.features for r in features(rows, 8).orderBy("row_id").collect()]
+    assert [list(g.toArray()) for g in got] == [[1, 0, 0, 1, 0, 0, 0, 1], [0] * 8, [0] * 8] and got[0].__class__.__name__ == "SparseVector"

@@ -1,6 +1,9 @@
 """The jobs on growing copies of small tables: nothing counts twice, and reruns give the same."""
 
 import json
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +123,17 @@ def test_configs_are_json_files(tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"buckets": 2}))
     assert load_config(tmp_path / "c.json", "pair_ledger") == {"buckets": 2}
     assert load_config(None, "clean_splits")["entity"] == "text"
+
+
+def test_command_lines(spark, tmp_path):
+    """Each in a process and session of its own."""
+    root = str(Path(clean_splits.__file__).resolve().parent.parent)
+    docs, labels, out = tables(spark, tmp_path)
+    records = grown(spark, tmp_path, 2)
+    runs = [["jobs.clean_splits", "--records", docs, "--labels", labels, "--out", out], ["jobs.pair_ledger", "--records", records, "--out", str(tmp_path / "ledger"), "--checkpoint", str(tmp_path / "check")]]
+    for job in runs:
+        done = subprocess.run([sys.executable, "-m", *job], cwd=root, capture_output=True, text=True, timeout=300)
+        assert done.returncode == 0, done.stderr[-2000:]
+        assert "reading" in done.stderr and "wrote" in done.stderr and "read " in done.stderr
+    assert spark.read.parquet(f"{out}/records").count() == len(TEXTS)
+    assert len(ledger_rows(spark, tmp_path / "ledger")) == 3
