@@ -140,8 +140,9 @@ def write_manifest(folder: str | Path, names: Iterable[str]) -> None:
 
 
 def is_done(folder: str | Path, benchmark: bool = False) -> bool:
-    """Whether a result is whole, so that it can be skipped: its manifest is there, and so is every file in it, as large as it
-    was. A result that was cut off has no manifest, and one that lost a file or a part of one isn't whole."""
+    """Whether a result is whole, so that it can be skipped: its manifest is there, and so is every file in it, rows as large as
+    they were. A result that was cut off has no manifest, and one that lost a file or a part of its rows isn't whole; a summary
+    may be edited."""
     if not exists(f"{folder}/{MANIFEST}"):
         return False
     lines = SparkSession.active().read.text(f"{folder}/{MANIFEST}", wholetext=True).first()
@@ -149,4 +150,4 @@ def is_done(folder: str | Path, benchmark: bool = False) -> bool:
         files = json.loads(lines[0])["files"]
     except (TypeError, ValueError, KeyError):
         return False
-    return "summary.json" in files and (not benchmark or "performance.json" in files) and all(_bytes(f"{folder}/{n}") == size for n, size in files.items())
+    return "summary.json" in files and (not benchmark or "performance.json" in files) and all((found := _bytes(f"{folder}/{n}")) == size or (found is not None and n == "summary.json") for n, size in files.items())
