@@ -7,8 +7,9 @@ windows are looked up in the set, hits are verified word by word, and hit words
 No shuffle.
 
 The set is built once, on the driver, and broadcast as sorted arrays in blocks of at most ``block_bytes`` of test text, a
-documented bound (the arrays take some five times as much); a larger benchmark makes further narrow passes over the
-same partitions instead of a larger broadcast. Only an item that is longer than a block by itself exceeds it.
+documented bound (the arrays take some five times as much). Up to ``MOST_BLOCKS`` blocks are narrow passes over the same
+partitions; a benchmark that needs more is met by joins (``ngram_join``), with the same results. Only an item that is longer
+than a block by itself exceeds it.
 
 Defined results: a null or empty text has no words and no hits; a null or wordless item has no
 window; repeated items are items of their own, and ids are reported once; an item without id counts
@@ -27,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splitlens.llm.common import chosen, column, flat, lean, place
+from splitlens.llm.ngram_join import SPAN_TYPE, joined, runs
 from splitlens.llm.textscan import LOWER, NOT_ALNUM, Spans, scan
 
 WINDOW = 10
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, MOST_BLOCKS = 4 << 20, 4
 SPANS, ITEMS, WORDS, HITS = "__hit_spans", "__hit_items", "__hit_words", "__n_hits"
-SPAN_TYPE = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
 
 class Windows:
@@ -104,11 +105,6 @@ def window_words(folded: np.ndarray, s, first: int, size: int) -> bytes:
     return b" ".join(folded[a:b].tobytes() for a, b in zip(s.starts[first : first + size].tolist(), s.ends[first : first + size].tolist(), strict=True))
 
 
-def _runs(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
-    return edge[::2], edge[1::2]
-
-
 def _scan_batch(batch: pa.RecordBatch, text_col: str, grams: NgramSet) -> pa.RecordBatch:
     old_spans, old_items = column(batch, "spans"), column(batch, "items")
     n = batch.num_rows
@@ -132,7 +128,7 @@ def _scan_batch(batch: pa.RecordBatch, text_col: str, grams: NgramSet) -> pa.Rec
                 covered |= np.cumsum(delta[lo:hi]) > 0
             for x in before:
                 covered[x["first"] : x["end"]] = True
-            a, b = _runs(covered)
+            a, b = runs(covered)
             spans[s.row + d] = [{"first": x, "end": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)]
             ids = touched.get(d, set()) | set(old_items[s.row + d].as_py() if before else ())
             items[s.row + d] = sorted(x for x in ids if x is not None)
@@ -147,6 +143,8 @@ def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, item_id_col: st
     test = chosen(benchmark, i=item_id_col, t=item_text_col).select(F.col("i").cast("long").alias("i"), "t").distinct()
     size = test.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(2 * size / block_bytes)) if size > block_bytes else 1
+    if blocks > MOST_BLOCKS:
+        return joined(flat(docs), text, test, n)
     out = flat(docs).select("*", F.array().cast("array<struct<first:bigint,end:bigint>>").alias("spans"), F.array().cast("array<bigint>").alias("items"), F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("hits"))
     for k in range(blocks):
         own = test if blocks == 1 else test.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)

@@ -191,7 +191,7 @@ def test_urls_of_many_shards_and_clashing_columns(spark):
 # decontamination
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 200, 40])  # one block, a few, joins
 def test_hits_equal_brute_force(spark, block_bytes):
     import random
 
