@@ -118,14 +118,15 @@ def _scan_batch(batch: pa.RecordBatch, text_col: str, grams: NgramSet) -> pa.Rec
             delta[first] += 1
             delta[first + size] -= 1
             touched.setdefault(int(np.searchsorted(s.bounds, first, "right")) - 1, set()).update(ids)
+        inside = None if delta is None else np.cumsum(delta) > 0  # over the whole slice: what ends with a document is taken off in the next one's first word
         for d in range(len(s)):
             before = old_spans[s.row + d].as_py() if old_spans is not None else []
             if d not in touched and not before:
                 continue
             lo, hi = int(s.bounds[d]), int(s.bounds[d + 1])
             covered = np.zeros(hi - lo, bool)
-            if delta is not None:
-                covered |= np.cumsum(delta[lo:hi]) > 0
+            if inside is not None:
+                covered |= inside[lo:hi]
             for x in before:
                 covered[x["first"] : x["end"]] = True
             a, b = runs(covered)

@@ -227,6 +227,19 @@ def test_hits_equal_brute_force(spark, block_bytes):
         decontamination.decontaminate(docs, bench, mode="x")
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 300, 40])
+def test_hit_documents_side_by_side_are_hit_to_their_ends(spark, block_bytes):
+    """A hit that ends with a document takes nothing from the one that follows, however many lie in one partition."""
+    import random
+
+    r = random.Random(8)
+    items = [(i, sentence(r, k)) for i, k in enumerate([10, 3, 12, 30, 1, 10])]
+    docs = spark.createDataFrame([(i, t) for i, t in items for _ in range(2)] + [(99, sentence(r, 9))], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r["__n_hits"], r["__hit_words"]) for r in decontamination.hit_spans(docs, bench, block_bytes=block_bytes).collect()}
+    assert all(got[i] == (len(t.split()), len(t.split())) for i, t in items)
+
+
 # top-k
 
 
