@@ -12,6 +12,7 @@ from splitlens import config as cfg
 from splitlens import sinks
 from splitlens.operators.alerts import rules_from, screen
 from splitlens.operators.alignment import Scoring
+from splitlens.operators import boosting
 from splitlens.operators.baselines import run_baselines
 from splitlens.operators.standardize import cleaner, valid_only
 from splitlens.plans.audit import AuditResult, audit, audit_targets
@@ -34,7 +35,7 @@ def write_result(result: AuditResult, folder: Path, single: bool = True) -> dict
 def benchmark_result(result: AuditResult, settings: cfg.AuditConfig, folder: Path) -> dict:
     """Metrics of every model, and the name of the file that holds its predictions. An error is a result, too."""
     try:
-        done = run_baselines(result.records, settings.task, seed=settings.seed, fp_bits=settings.fp_bits)
+        done = run_baselines(result.records, settings.task, seed=settings.seed, fp_bits=settings.fp_bits, rounds=int(settings.info.get("boosting_rounds", boosting.ROUNDS)))
         for name, model in done["models"].items():
             path = sinks.write_rows(model["predictions"], folder / f"predictions-{name}.jsonl", bool(settings.info.get("single_files", True)))
             model["predictions"] = path.name if path else None

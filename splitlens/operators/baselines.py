@@ -1,11 +1,11 @@
-"""Baseline models on Spark ML."""
+"""Baseline models: Spark ML's, and own ones where Spark has none."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitlens.operators import networks
+from splitlens.operators import boosting, networks
 from splitlens.operators.metrics import average_precision, regression_metrics, roc_auc
 
 TREES, MOST_CLASSES = 500, 10
@@ -46,12 +46,12 @@ def _models(task: str, seed: int, trees: int, width: int, classes: int) -> dict:
         return {
             "random_forest": c.RandomForestClassifier(numTrees=trees, **common),
             "mlp": Pipeline(stages=[scaled, c.MultilayerPerceptronClassifier(layers=[width, *networks.HIDDEN, classes], maxIter=300, **common | {"featuresCol": "scaled"})]),
-            "gradient_boosting": c.GBTClassifier(maxIter=20, **common),
+            "gradient_boosting": None,
         }
-    return {"random_forest": r.RandomForestRegressor(numTrees=trees, **common), "mlp": None, "gradient_boosting": r.GBTRegressor(maxIter=20, **common)}
+    return {"random_forest": r.RandomForestRegressor(numTrees=trees, **common), "mlp": None, "gradient_boosting": None}
 
 
-def run_baselines(records: DataFrame, task: str | None = None, *, seed: int | None = None, trees: int = TREES, models: tuple[str, ...] | None = None, columns: list[str] | None = None, fp_bits: int = 2048, iterations: int = networks.ITERATIONS) -> dict:
+def run_baselines(records: DataFrame, task: str | None = None, *, seed: int | None = None, trees: int = TREES, models: tuple[str, ...] | None = None, columns: list[str] | None = None, fp_bits: int = 2048, iterations: int = networks.ITERATIONS, rounds: int = boosting.ROUNDS) -> dict:
     """Train on train and valid, predict test: ``{task, models: {name: {metrics, predictions}}}``; all models unless some are
     named."""
     from pyspark.ml.functions import vector_to_array
@@ -70,12 +70,14 @@ def run_baselines(records: DataFrame, task: str | None = None, *, seed: int | No
     for name, model in _models(task, seed or 0, trees, width, max(2, classes)).items():
         if models is not None and name not in models:
             continue
-        if model is None:  # Spark has no network for numbers
-            listed = lambda df: df.withColumn("features", vector_to_array("features")).select("row_id", "features", "y")
+        listed = lambda df: df.withColumn("features", vector_to_array("features")).select("row_id", "features", "y")
+        if name == "gradient_boosting":
+            predicted = boosting.fit(listed(train), task, rounds, seed=seed or 0).predicted(listed(test))
+        elif model is None:  # Spark has no network for numbers
             predicted = networks.fit(listed(train), task, seed=seed or 0, iterations=iterations).predicted(listed(test))
         else:
             predicted = model.fit(train).transform(test)
-        score = vector_to_array("probability")[1] if task == "classification" else F.col("prediction")
+        score = vector_to_array("probability")[1] if task == "classification" and model is not None else F.col("prediction")
         scored = predicted.select("row_id", "y", score.alias("score"))
         if task == "classification":
             metrics = roc_auc(scored).first().asDict() | average_precision(scored).first().asDict()

@@ -65,12 +65,21 @@ class Shape:
 def _summed(data: DataFrame, parts: int, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """The sum of a vector of each batch (features, targets) over the table, which has ``parts`` partitions."""
 
+    def numbers(batch: pa.RecordBatch) -> np.ndarray:
+        x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+        return of(x, batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64))
+
+    return sums(data, parts, numbers)
+
+
+def sums(data: DataFrame, parts: int, of: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """The sum of a vector of each batch over the table, which has ``parts`` partitions."""
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if batch.num_rows:
-                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                one = of(x, batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64))
+                one = of(batch)
                 total = one if total is None else total + one
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
