@@ -6,12 +6,13 @@ test, equal entities are no pair (they are conflicts); across, they are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitlens.functions.labels import classification_delta, exceeds, regression_delta
 from splitlens.functions.similarity import tanimoto
 from splitlens.operators.similarity import MEASURES, consensus_pairs
+from splitlens.session import written
 
 
 def distinct_entities(records: DataFrame) -> DataFrame:
@@ -21,6 +22,11 @@ def distinct_entities(records: DataFrame) -> DataFrame:
     return found.select(F.col("entity").alias("id"), F.col("entity").alias("text"), "fp", "frame")
 
 
+def _with_bits(records: DataFrame) -> DataFrame:
+    """Entities that have bits or framework bits."""
+    return distinct_entities(records).where("fp is not null or frame is not null").select(F.col("id").alias("entity"))
+
+
 def cliff_rows(records: DataFrame, threshold: float, task: str, sigma3: list[float] | None = None, measures: tuple[str, ...] = MEASURES) -> DataFrame:
     """``kind`` (intra_tv, intra_test, cross_tv_test), both records, the three similarities and ``delta``. Similarities that
     ``measures`` leaves out are null."""
@@ -49,5 +55,32 @@ def cliff_rows(records: DataFrame, threshold: float, task: str, sigma3: list[flo
     return joined.drop("a", "b")
 
 
-def cliff_counts(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+def cliff_counts(records: DataFrame, threshold: float, task: str, sigma3: list[float] | None = None, measures: tuple[str, ...] = MEASURES) -> DataFrame:
+    """``kind`` and ``n``, the number of its ``cliff_rows``; a kind without rows is left out.
+
+    No records are paired. They are counted by entity, side and label, and pairs of entities multiply these counts: for classes, all
+    pairs of records less those of equal labels, so no label meets another one; for numbers, labels meet labels."""
+    own = records.where("entity is not null and split is not null").withColumn("test", F.col("split") == "test")
+    label = "label_key" if task == "classification" else "label_num"
+    counts = written(own.where(F.col(label).isNotNull()).groupBy("entity", "test", label).agg(F.count(F.lit(1)).alias("n")), "label-counts")
+    same = counts.groupBy("entity").agg(F.bool_or("test").alias("t"), F.bool_or(~F.col("test")).alias("tv")).where("t and tv")
+    known = _with_bits(records).select(F.col("entity").alias("__entity"))
+    same = same.join(known, F.col("entity") == F.col("__entity"), "left_semi").select(F.col("entity").alias("a"), F.col("entity").alias("b"))
+    pairs = written(consensus_pairs(written(distinct_entities(records), "entities"), threshold, measures).select("a", "b").unionByName(same), "similar-entities")
+    side = lambda of, x, *more: of.select(*[F.col(c).alias(f"{c}_{x}") for c in ("entity", "test", "n", *more)])
+    kind = F.when(F.col("test_A") != F.col("test_B"), "cross_tv_test").when(F.col("a") != F.col("b"), F.when(F.col("test_A"), "intra_test").otherwise("intra_tv"))
+    twice = (F.col("a") == F.col("b")) & F.col("test_A")  # an entity meets itself across once
+
+    def met(of: DataFrame, alike: Column | None = None, *more: str) -> DataFrame:
+        on = F.col("b") == F.col("entity_B")
+        both = pairs.join(side(of, "A", *more), F.col("a") == F.col("entity_A")).join(side(of, "B", *more), on if alike is None else on & alike)
+        return both.where(~twice).withColumn("kind", kind).where("kind is not null").withColumn("n", F.col("n_A") * F.col("n_B"))
+
+    if task == "classification":
+        every = met(counts.groupBy("entity", "test").agg(F.sum("n").alias("n"))).select("kind", "n")
+        equal = met(counts, F.col("label_key_A") == F.col("label_key_B"), "label_key").select("kind", (-F.col("n")).alias("n"))
+        found = every.unionByName(equal)
+    else:
+        far = exceeds(regression_delta(F.col("label_num_A"), F.col("label_num_B")), F.array(*[F.lit(float(x)) for x in sigma3 or [0.0]]))
+        found = met(counts, None, "label_num").where(far).select("kind", "n")
+    return found.groupBy("kind").agg(F.sum("n").alias("n")).where("n > 0")

@@ -63,7 +63,7 @@ def audit(records: DataFrame, config: AuditConfig) -> AuditResult:
     sigma3 = hygiene.three_sigma(records) if config.task == "regression" else None
     found = conflicts.classification_conflicts(records) if sigma3 is None else conflicts.regression_conflicts(records, sigma3)
     rows = cliffs.cliff_rows(records, config.threshold, config.task, sigma3)
-    n = {r.kind: r.n for r in cliffs.cliff_counts(rows).collect()}
+    n = {r.kind: r.n for r in cliffs.cliff_counts(records, config.threshold, config.task, sigma3).collect()}
     scalar = len(labels) <= 1
     mean, std = [r.mean for r in labels], [r.std if r.std is not None else 0.0 for r in labels]
     weight = _first(hygiene.population_stats(records.where(hygiene.in_tv()), "weight")) if "weight" in records.columns else {}

@@ -363,8 +363,7 @@ def q_consensus_cliffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").withColumn("split", split_of(F.col("p_partkey"))).withColumn("fp", F.array_distinct(F.transform(F.split("p_name", ""), lambda c: F.ascii(c))))
     own = part.select("p_partkey", "p_name", F.col("p_brand").alias("label"), "split", "fp")
     records = canonical(own, AuditConfig("classification", columns={"entity": "p_name", "id": "p_partkey", "label": "label"}), F.col("p_partkey"))
-    rows = cliffs.cliff_rows(records, 0.8, "classification")
-    return cliffs.cliff_counts(rows)
+    return cliffs.cliff_counts(records, 0.8, "classification")
 
 
 def q_nn_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
