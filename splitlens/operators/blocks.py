@@ -9,7 +9,7 @@ replicated to its cells by a shuffle, and each cell is compared by one product o
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -92,19 +92,20 @@ def dealt(sized: DataFrame, blocks: list[Block], id_col: str = "id") -> DataFram
     return sized.join(table, "size").withColumn("block", (F.col("first") + F.pmod(F.xxhash64(id_col), F.col("parts"))).cast("int")).drop("first", "parts")
 
 
-def packed(sized: DataFrame, blocks: list[Block], n_bits: int) -> DataFrame:
-    """``sized`` (``id``, ``bits``, ``size``) as one row a block: ``block``, ``ids``, ``sizes``, ``packed``."""
+def packed(sized: DataFrame, blocks: list[Block], n_bits: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """``sized`` (``id``, ``bits``, ``size``) as one row a block: ``block``, ``ids``, ``sizes``, ``packed``, and a list for each column of ``more``."""
     kind = sized.schema["id"].dataType.simpleString()
-    own = dealt(sized, blocks).select("block", "id", "bits", "size")
+    own = dealt(sized, blocks).select("block", "id", "bits", "size", *more)
+    lists = "".join(f", `{c}` array<{sized.schema[c].dataType.simpleString()}>" for c in more)
 
     def pack(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
         bits = rows["bits"].chunk(0)
         data = matrix(bits, n_bits).tobytes()
         one = lambda name: pa.array([rows[name].chunk(0)], pa.list_(rows[name].type))
-        return pa.table({"block": rows["block"].slice(0, 1), "ids": one("id"), "sizes": one("size"), "packed": pa.array([data], pa.binary())})
+        return pa.table({"block": rows["block"].slice(0, 1), "ids": one("id"), "sizes": one("size"), "packed": pa.array([data], pa.binary())} | {c: one(c) for c in more})
 
-    return own.groupBy("block").applyInArrow(pack, f"block int, ids array<{kind}>, sizes array<int>, packed binary")
+    return own.groupBy("block").applyInArrow(pack, f"block int, ids array<{kind}>, sizes array<int>, packed binary{lists}")
 
 
 @dataclass
@@ -125,9 +126,9 @@ class Rows:
         return np.unpackbits(self.packed[at], axis=1, count=n_bits).astype(np.float32)
 
 
-def products(a: Rows, b: Rows, n_bits: int):
+def products(a: Rows, b: Rows, n_bits: int, most: int = PRODUCT):
     """Shared elements of all sets of ``a`` with runs of ``b``: where the run begins, and the matrix."""
-    rows, step = a.bits(slice(None), n_bits), max(1, PRODUCT // max(len(a.ids), n_bits, 1))
+    rows, step = a.bits(slice(None), n_bits), max(1, most // max(len(a.ids), n_bits, 1))
     for at in range(0, len(b.ids), step):
         yield at, rows @ b.bits(slice(at, at + step), n_bits).T
 
@@ -144,6 +145,18 @@ def meet(left: DataFrame, right: DataFrame, cells: DataFrame, compare: Callable[
     return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(compared, schema)
 
 
+def meet_in_parts(own: DataFrame, cells: DataFrame, compare: Callable[[pa.Table, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``meet`` of blocks with their like, of which ``compare`` yields the rows part by part: a task holds two blocks and one part."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).sort_by("right")
+        if len(rows) == 2:
+            yield from compare(rows.slice(0, 1), rows.slice(1, 1))
+
+    side = lambda c, right: cells.join(own, F.col(c) == F.col("block")).select("i", "j", F.lit(right).alias("right"), *[c for c in own.columns if c != "block"])
+    return side("i", 0).unionByName(side("j", 1)).groupBy("i", "j").applyInArrow(compared, schema)
+
+
 def cells_of(spark, partners: list[tuple[int, list[range]]]) -> DataFrame:
     """``i`` and ``j``, from each left block's runs of right blocks."""
     runs = [(i, r.start, r.stop - 1) for i, ranges in partners for r in ranges if len(r)]

@@ -6,14 +6,23 @@ test, equal entities are no pair (they are conflicts); across, they are.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitlens.functions.labels import classification_delta, exceeds, regression_delta
 from splitlens.functions.similarity import tanimoto
-from splitlens.operators.similarity import MEASURES, consensus_pairs
+from splitlens.operators import blocks
+from splitlens.operators.similarity import MEASURES, consensus_pairs, fitting_cells, way_of
 from splitlens.session import written
 
+COLUMNS = ("entity", "split", "row_id", "id", "label_num", "label_key")
+PART, ROWS = 1 << 20, 1 << 16  # pairs that are compared at once, rows that are handed on at once
+
 
 def distinct_entities(records: DataFrame) -> DataFrame:
     """One row per entity that isn't null: ``text``, its bits, and an id that follows from the text."""
@@ -27,9 +36,105 @@ def _with_bits(records: DataFrame) -> DataFrame:
     return distinct_entities(records).where("fp is not null or frame is not null").select(F.col("id").alias("entity"))
 
 
-def cliff_rows(records: DataFrame, threshold: float, task: str, sigma3: list[float] | None = None, measures: tuple[str, ...] = MEASURES) -> DataFrame:
-    """``kind`` (intra_tv, intra_test, cross_tv_test), both records, the three similarities and ``delta``. Similarities that
-    ``measures`` leaves out are null."""
+def _scan(records: DataFrame, threshold: float, task: str, sigma3: list[float], columns: tuple[str, ...]) -> DataFrame | None:
+    """``cliff_rows`` by bits alone: records are compared as rows of bit matrices, block by block, and a task yields finished pairs,
+    so that nothing but blocks is shuffled. None where sets are joined better by prefixes or entities are fewer than half of the records."""
+    spark, bits = records.sparkSession, distinct_entities(records).where("fp is not null").select(F.col("id").alias("entity"), F.col("fp").alias("bits"), F.size("fp").alias("size"))
+    order = F.when(F.col("split") == "train", 0).when(F.col("split") == "valid", 1).otherwise(2)
+    carried = tuple(dict.fromkeys(("entity", "row_id", "label_num", *columns)))
+    known = records.where("split is not null").select(*carried, order.alias("order"), (F.col("split") == "test").alias("test"), F.to_json("label_key").alias("label"))
+    own = written(known.join(bits, "entity").withColumn("id_", F.xxhash64("order", "row_id", "entity")), "cliff-records")
+    sets = own.select(F.col("id_").alias("id"), "bits", "size")
+    n, n_entities = own.agg(F.count(F.lit(1)), F.countDistinct("entity")).first()
+    if not n or n > 2 * n_entities or threshold > 1:
+        return None
+    way, sizes, n_bits = way_of(own.select(F.col("entity").alias("id"), "bits", "size").dropDuplicates(["id"]), threshold)
+    if way != "scan":
+        return None
+    sizes, n_bits = blocks.histogram(sets)
+    made = blocks.blocks_of(sizes, n_bits, spark.sparkContext.defaultParallelism)
+    more = (*[c for c in carried if c != "id"], "order", "test", "label", *(["id_own"] if "id" in carried else []))
+    renamed = own.withColumnRenamed("id", "id_own") if "id" in carried else own
+    packed = written(blocks.packed(renamed.withColumnRenamed("id_", "id"), made, n_bits, more), "packed-records")
+    given = [(c, "id_own" if c == "id" else c) for c in dict.fromkeys((*columns, "label_num"))]
+    kinds = {c: records.schema[c].dataType.simpleString() for c, _ in given}
+    schema = "kind int, tanimoto double" + "".join(f", {c}_A {kinds[c]}, {c}_B {kinds[c]}" for c, _ in given)
+    classes = task == "classification"
+
+    def compare(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
+        a, b = blocks.Rows.of(left, n_bits), blocks.Rows.of(right, n_bits)
+        within = left["i"][0] == left["j"][0]
+        flat = {c: pa.concat_arrays([t[c].combine_chunks().flatten() for t in (left, right)]) for c in more}
+        code = lambda x: x.dictionary_encode().indices.fill_null(-1).to_numpy()
+        entity, test = code(flat["entity"]), flat["test"].to_numpy(zero_copy_only=False).astype(bool)
+        place = np.empty(len(entity), np.int64)
+        keys = ["order", "row_id", "entity"]
+        place[pc.sort_indices(pa.table({c: flat[c] for c in keys}), [(c, "ascending") for c in keys], null_placement="at_start").to_numpy()] = np.arange(len(entity))
+        if classes:
+            label = code(flat["label"])
+        else:
+            nums = flat["label_num"]
+            lengths = nums.value_lengths().fill_null(0).to_numpy()
+            number = np.full((len(nums), max(1, int(lengths.max(initial=0)))), np.nan)
+            number[np.arange(number.shape[1]) < lengths[:, None]] = nums.flatten().to_numpy(zero_copy_only=False)
+            least = np.array([sigma3[min(i, len(sigma3) - 1)] for i in range(number.shape[1])])
+        waiting: list[list[np.ndarray]] = []
+
+        def rows(x: np.ndarray, y: np.ndarray, similarity: np.ndarray) -> pa.RecordBatch:
+            swap = np.where(test[x] == test[y], place[x] > place[y], test[x])
+            one, other = pa.array(np.where(swap, y, x)), pa.array(np.where(swap, x, y))
+            kind = np.where(test[x] != test[y], 2, test[x].astype(np.int32)).astype(np.int32)
+            arrays = {"kind": pa.array(kind), "tanimoto": pa.array(similarity)}
+            for c, name in given:
+                arrays |= {f"{c}_A": flat[name].take(one), f"{c}_B": flat[name].take(other)}
+            return pa.RecordBatch.from_pydict(arrays)
+
+        share = threshold / (1 + threshold)
+        low, high = (a.sizes * share - 0.01).astype(np.float32), (b.sizes * share).astype(np.float32)
+        for at, both in blocks.products(a, b, n_bits, PART):
+            x, y = np.divmod(np.flatnonzero(both >= low[:, None] + high[at : at + both.shape[1]]), both.shape[1])
+            shared = both[x, y].astype(np.float64)
+            either = a.sizes[x] + b.sizes[y + at] - shared
+            similarity = np.where(either == 0, 1.0, shared / np.maximum(either, 1))
+            y = y + at
+            keep = (similarity >= threshold) & (not within or x < y)  # a pair within a block is met from both sides
+            x, y, similarity = x[keep], y[keep] + len(a.ids), similarity[keep]
+            keep = (entity[x] != entity[y]) | (test[x] != test[y])
+            if classes:
+                keep &= (label[x] != label[y]) & (label[x] >= 0) & (label[y] >= 0)
+            else:
+                with np.errstate(invalid="ignore"):
+                    apart = ~(np.abs(number[x] - number[y]) < least) & (least != 0)
+                keep &= apart.any(1)  # no number, or endless ones: the exact test follows
+            waiting.append([x[keep], y[keep], similarity[keep]])
+            if sum(len(w[0]) for w in waiting) >= ROWS:
+                found = [np.concatenate(c) for c in zip(*waiting, strict=True)]
+                waiting.clear()
+                for k in range(0, len(found[0]), ROWS):
+                    yield rows(*[c[k : k + ROWS] for c in found])
+        found = [np.concatenate(c) for c in zip(*waiting, strict=True)] if waiting else []
+        if found and len(found[0]):
+            yield rows(*found)
+
+    pairs = blocks.meet_in_parts(packed, fitting_cells(spark, made, threshold), compare, schema)
+    none = F.lit(None).cast("double")
+    kind = F.when(F.col("kind") == 2, "cross_tv_test").when(F.col("kind") == 1, "intra_test").otherwise("intra_tv")
+    delta = (classification_delta if classes else regression_delta)(F.col("label_num_A"), F.col("label_num_B"))
+    out = pairs.select("tanimoto", none.alias("scaffold_tanimoto"), none.alias("string_ratio"), *[f"{c}_{n}" for n in "AB" for c, _ in given], kind.alias("kind"), delta.alias("delta"))
+    if not classes:
+        out = out.where(exceeds(F.col("delta"), F.array(*[F.lit(float(x)) for x in sigma3])))
+    return out.select("tanimoto", "scaffold_tanimoto", "string_ratio", *[f"{c}_{n}" for n in "AB" for c in columns], "kind", "delta")
+
+
+def cliff_rows(
+    records: DataFrame, threshold: float, task: str, sigma3: list[float] | None = None, measures: tuple[str, ...] = MEASURES, columns: tuple[str, ...] = COLUMNS
+) -> DataFrame:
+    """``kind`` (intra_tv, intra_test, cross_tv_test), both records (``columns`` of them), the three similarities and ``delta``.
+    Similarities that ``measures`` leaves out are null."""
+    if "fp" in measures and "text" not in measures and "fp" in records.columns and ("frame" not in measures or "frame" not in records.columns):
+        found = _scan(records, threshold, task, sigma3 or [0.0], columns)
+        if found is not None:
+            return found
     pairs = consensus_pairs(distinct_entities(records), threshold, measures)
     scores = ["tanimoto", "scaffold_tanimoto", "string_ratio"]
     both = pairs.select("a", "b", *scores).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), *scores))
@@ -52,7 +157,7 @@ def cliff_rows(records: DataFrame, threshold: float, task: str, sigma3: list[flo
     else:
         joined = joined.withColumn("delta", regression_delta(F.col("label_num_A"), F.col("label_num_B")))
         joined = joined.where(exceeds(F.col("delta"), F.array(*[F.lit(float(x)) for x in sigma3 or [0.0]])))
-    return joined.drop("a", "b")
+    return joined.select(*scores, *[f"{c}_{n}" for n in "AB" for c in columns], "kind", "delta")
 
 
 def cliff_counts(records: DataFrame, threshold: float, task: str, sigma3: list[float] | None = None, measures: tuple[str, ...] = MEASURES) -> DataFrame:

@@ -56,13 +56,18 @@ def _by_prefixes(sized: DataFrame, prefixes: DataFrame, threshold: float) -> Dat
     return pairs.join(a, "a").join(b, "b").select("a", "b", tanimoto(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def fitting_cells(spark, made: list[blocks.Block], threshold: float) -> DataFrame:
+    """Each block with those up to itself whose sizes allow the threshold."""
+    first = lambda b: next(a.no for a in made if a.alike(b) >= threshold - EPSILON)
+    return blocks.cells_of(spark, [(b.no, [range(first(b), b.no + 1)]) for b in made])
+
+
 def _by_scan(sized: DataFrame, sizes: dict[int, int], n_bits: int, threshold: float) -> DataFrame:
     """Blocks of sets meet the blocks of sets that aren't larger, nor too small."""
     spark, kind = sized.sparkSession, sized.schema["id"].dataType.simpleString()
     made = blocks.blocks_of(sizes, n_bits, spark.sparkContext.defaultParallelism)
     own = written(blocks.packed(sized, made, n_bits), "packed-sets")
-    first = lambda b: next(a.no for a in made if a.alike(b) >= threshold - EPSILON)
-    cells = blocks.cells_of(spark, [(b.no, [range(first(b), b.no + 1)]) for b in made])
+    cells = fitting_cells(spark, made, threshold)
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = blocks.Rows.of(left, n_bits), blocks.Rows.of(right, n_bits)
@@ -87,15 +92,24 @@ def tanimoto_pairs(sets: DataFrame, threshold: float, way: str | None = None) ->
     sized = sets.where("bits is not null").select("id", "bits", F.size("bits").alias("size"))
     prefixes = _prefixes(sized, threshold)
     sizes, n_bits = blocks.histogram(sized)
-    if way is None and (n_bits > MOST_BITS or not sizes):
-        way = "prefix"
-    if way is None:
-        made = prefixes.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
-        n = sum(sizes.values())
-        way = "prefix" if made / 2 * _MADE <= n * n / 2 * n_bits * _COMPARED else "scan"
+    way = way or by_cost(prefixes, sizes, n_bits)
     return _by_scan(sized, sizes, n_bits, threshold) if way == "scan" else _by_prefixes(sized, prefixes, threshold)
 
 
+def by_cost(prefixes: DataFrame, sizes: dict[int, int], n_bits: int) -> str:
+    if n_bits > MOST_BITS or not sizes:
+        return "prefix"
+    made = prefixes.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
+    n = sum(sizes.values())
+    return "prefix" if made / 2 * _MADE <= n * n / 2 * n_bits * _COMPARED else "scan"
+
+
+def way_of(sized: DataFrame, threshold: float) -> tuple[str, dict[int, int], int]:
+    """The way that counts choose for ``sized`` (``id``, ``bits``, ``size``), with the histogram of sizes and the domain."""
+    sizes, n_bits = blocks.histogram(sized)
+    return by_cost(_prefixes(sized, threshold), sizes, n_bits), sizes, n_bits
+
+
 def _grams(text: Column, q: int) -> Column:
     """Each run of ``q`` characters with the number of its occurrence, so that a multiset is a set."""
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - q + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(q)))

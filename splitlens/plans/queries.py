@@ -284,13 +284,13 @@ def _cliff_columns(rows: DataFrame) -> DataFrame:
 
 def q_cliff_pairs_cls(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = vector_records(spark, sf_dir)
-    return _cliff_columns(cliffs.cliff_rows(records, THRESHOLD, "classification", measures=("fp", "frame")))
+    return _cliff_columns(cliffs.cliff_rows(records, THRESHOLD, "classification", measures=("fp", "frame"), columns=("row_id",)))
 
 
 def q_cliff_pairs_reg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The threshold of a label difference is given, 3."""
     records = vector_records(spark, sf_dir, "regression")
-    return _cliff_columns(cliffs.cliff_rows(records, THRESHOLD, "regression", [3.0], ("fp", "frame")))
+    return _cliff_columns(cliffs.cliff_rows(records, THRESHOLD, "regression", [3.0], ("fp", "frame"), ("row_id",)))
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

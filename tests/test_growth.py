@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 from splitlens.config import AuditConfig
-from splitlens.operators import cliffs
+from splitlens.operators import blocks, cliffs
 from splitlens.plans import queries
 from splitlens.sources.records import canonical
 
@@ -40,3 +40,30 @@ def test_cliff_counts_are_those_of_the_rows(spark, seed):
         for measures in (("fp",), ("fp", "frame", "text")):
             want = Counter(x.kind for x in cliffs.cliff_rows(records, 0.7, task, sigma3, measures).collect())
             assert {x.kind: x.n for x in cliffs.cliff_counts(records, 0.7, task, sigma3, measures).collect()} == dict(want)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_cliffs_of_dense_bits_leave_the_scan_finished(spark, seed, monkeypatch, capsys):
+    """Several blocks, entities with several records and two labels, empty sets, missing labels, endless numbers: the rows of the
+    joins, without a join of pairs."""
+    r = random.Random(seed)
+    monkeypatch.setattr(blocks, "BLOCK_SETS", 40)
+    monkeypatch.setattr(cliffs, "ROWS", 50)
+    monkeypatch.setattr(cliffs, "PART", 2000)
+    own = [(f"e{i}", r.choice([None, [], *[sorted(r.sample(range(12), r.choice([4, 6, 8]))) for _ in range(9)]])) for i in range(130)]
+    label = lambda: r.choice([None, 0.0, 1.0, 2.5, float("inf")])
+    rows = [(i % 90, *(own[i] if i < len(own) else r.choice(own)), label(), label(), r.choice(["train", "valid", "test", "test"])) for i in range(180)]
+    df = spark.createDataFrame([*rows, (5, None, [1], 1.0, 1.0, "train")], "id int, entity string, fp array<int>, x double, y double, split string")
+    scan = cliffs._scan
+    for task, sigma3 in (("classification", None), ("regression", [1.5, 0.0]), ("regression", [2.0, 1.0])):
+        records = canonical(df, AuditConfig(task, columns={"entity": "entity", "id": "id"}, label_cols=["x", "y"]), df.id)
+        found = cliffs.cliff_rows(records, 0.5, task, sigma3, ("fp", "frame"))
+        found.explain()
+        assert "Join" not in capsys.readouterr().out.replace("Joined", "").split("FlatMapGroups")[0]
+        monkeypatch.setattr(cliffs, "_scan", lambda *_: None)
+        want = cliffs.cliff_rows(records, 0.5, task, sigma3, ("fp", "frame"))
+        assert found.columns == want.columns
+        both = [Counter(map(str, x.collect())) for x in (found, want)]
+        assert both[0] == both[1] and len(both[0]) > 100
+        monkeypatch.setattr(cliffs, "_scan", scan)
+        assert cliffs.cliff_rows(records, 0.5, task, sigma3, ("fp",), ("row_id",)).count() == both[0].total()
