@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 
 BLOCK_SETS, BLOCK_BYTES = 4096, 4 << 20
 EPSILON = 1e-9
-PRODUCT = 1 << 22  # numbers in one product
+PRODUCT = 1 << 20  # numbers in one product: a task holds a few matrices of this size, whatever the tables
 
 
 def matrix(lists: pa.Array, n_bits: int) -> np.ndarray:

@@ -21,7 +21,7 @@ from splitlens.operators.similarity import MEASURES, consensus_pairs, fitting_ce
 from splitlens.session import written
 
 COLUMNS = ("entity", "split", "row_id", "id", "label_num", "label_key")
-PART, ROWS = 1 << 20, 1 << 16  # pairs that are compared at once, rows that are handed on at once
+PART, ROWS = blocks.PRODUCT, 1 << 16  # pairs that are compared at once, rows that are handed on at once
 
 
 def distinct_entities(records: DataFrame) -> DataFrame:

@@ -37,8 +37,12 @@ def _bests(queries: DataFrame, made: list[blocks.Block], packed: DataFrame, met:
         a, b = blocks.Rows.of(left, n_bits), blocks.Rows.of(right, n_bits)
         best = np.zeros(len(a.ids))
         for at, both in blocks.products(a, b, n_bits):
-            either = a.sizes[:, None] + b.sizes[None, at : at + both.shape[1]] - both.astype(np.float64)
-            best = np.maximum(best, np.where(either == 0, 1.0, both / np.maximum(either, 1)).max(1, initial=0.0))
+            shared = both.astype(np.float64)
+            either = a.sizes[:, None] + b.sizes[None, at : at + both.shape[1]] - shared
+            none = either == 0
+            np.divide(shared, np.maximum(either, 1, out=either), out=shared)
+            shared[none] = 1.0
+            best = np.maximum(best, shared.max(1, initial=0.0))
         return pa.table({"id": a.ids, "similarity": pa.array(best)})
 
     own = blocks.packed(queries, made, n_bits)

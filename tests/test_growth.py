@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from splitlens.config import AuditConfig
@@ -67,3 +68,10 @@ def test_cliffs_of_dense_bits_leave_the_scan_finished(spark, seed, monkeypatch,
         assert both[0] == both[1] and len(both[0]) > 100
         monkeypatch.setattr(cliffs, "_scan", scan)
         assert cliffs.cliff_rows(records, 0.5, task, sigma3, ("fp",), ("row_id",)).count() == both[0].total()
+
+
+def test_products_of_whole_blocks_stay_small():
+    sets = blocks.Rows(None, np.zeros(blocks.BLOCK_SETS, np.int32), np.zeros((blocks.BLOCK_SETS, 8), np.uint8))
+    sets.ids = range(blocks.BLOCK_SETS)
+    parts = list(blocks.products(sets, sets, 64))
+    assert max(p.size for _, p in parts) <= 1 << 20 and sum(p.shape[1] for _, p in parts) == blocks.BLOCK_SETS
