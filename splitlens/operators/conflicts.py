@@ -3,7 +3,8 @@
 No rows are paired. For classification one aggregation by (entity, label) gives the splits of each label, and a
 second by entity counts labels by split set: two splits conflict on an entity that both have and that has more
 than one label in them together. For regression, the largest difference within or across splits follows from
-each split's extremes. Both hold a hot entity as one combined row per task.
+each split's extremes. Records of classes are dealt by key first; a hot entity is one task's, which holds a row for each of
+its labels. Numbers hold a hot entity as one combined row per task.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from splitlens.functions.labels import SPLIT_BITS, split_bit
 
+PART_ROWS = 500_000
+
 #: Kind of conflict and the split sets that it compares.
 KINDS = {
     "intra_train": (1, 1),
@@ -34,9 +37,17 @@ def _kinds(tests: dict[str, Column], key: list[str]) -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
+def _by_key(records: DataFrame, key: list[str]) -> DataFrame:
+    """``records`` dealt by key into parts of about ``PART_ROWS``. Aggregations by key follow where the rows are: keys that are
+    nearly all different would fill a task's memory by its share of the input, as large as that may be, only to be dealt after that."""
+    n = records.count()
+    return records.repartition(max(records.sparkSession.sparkContext.defaultParallelism, -(-n // PART_ROWS)), *key)
+
+
 def classification_conflicts(records: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Key columns and ``kinds`` of each entity in conflict. Missing labels equal each other and nothing else."""
     key = key or ["entity"]
+    records = _by_key(records.select(*key, "label_key", "split"), key)
     labels = records.groupBy(*key, "label_key").agg(F.bit_or(split_bit(F.col("split"))).alias("mask"))
     sets = {b for pair in KINDS.values() for b in (*pair, pair[0] | pair[1])}
     n = {b: F.count(F.when(F.col("mask").bitwiseAND(b) != 0, 1)).alias(f"n{b}") for b in sorted(sets)}

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from splitlens.config import AuditConfig
-from splitlens.operators import blocks, cliffs
+from splitlens.operators import blocks, cliffs, conflicts
 from splitlens.plans import queries
 from splitlens.sources.records import canonical
 
@@ -75,3 +75,17 @@ def test_products_of_whole_blocks_stay_small():
     sets.ids = range(blocks.BLOCK_SETS)
     parts = list(blocks.products(sets, sets, 64))
     assert max(p.size for _, p in parts) <= 1 << 20 and sum(p.shape[1] for _, p in parts) == blocks.BLOCK_SETS
+
+
+def test_conflicts_are_found_in_parts_that_follow_the_rows(spark, monkeypatch, capsys):
+    monkeypatch.setattr(conflicts, "PART_ROWS", 100)
+    df = spark.range(3000).selectExpr("cast(if(id < 1500, 0, id div 2) AS string) AS entity", "if(id % 3 = 0, 'train', 'test') AS split", "array(cast(id % 2 AS string)) AS label_key")
+    found = conflicts.classification_conflicts(df)
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "30)" in plan and plan.count("Exchange") == 1
+    kinds = {}
+    for i in range(3000):
+        kinds.setdefault(0 if i < 1500 else i // 2, []).append(("train" if i % 3 == 0 else "test", i % 2))
+    n = sum(1 for own in kinds.values() if len({x for _, x in own}) > 1 and {"train", "test"} <= {s for s, _ in own})
+    assert conflicts.conflict_counts(found).first().cross_train_test == n > 100
